@@ -23,6 +23,21 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(gone, 0) AS BIGI
 FROM d LEFT JOIN kept USING (rid)
 """
 
+OP2 = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (
+  SELECT rid, doc_id, i, line, trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS t
+  FROM (SELECT rid, doc_id, unnest(lines) AS line, unnest(range(1, len(lines) + 1)) AS i FROM d)
+), k AS (
+  SELECT *, CASE WHEN length(t) >= 20 THEN translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') END AS k FROM l
+), g AS (
+  SELECT k, max(doc_id) AS keeper FROM k WHERE k IS NOT NULL GROUP BY k HAVING count(DISTINCT doc_id) >= 3
+), m AS (SELECT rid, k.doc_id, i, line, coalesce(k.doc_id <> keeper, FALSE) AS gone FROM k LEFT JOIN g ON g.k = k.k)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY rid, doc_id
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1}
+    return {"op1_substring_dedup": OP1, "op2_line_dedup": OP2}
