@@ -38,6 +38,25 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
 FROM m GROUP BY rid, doc_id
 """
 
+OP3 = r"""
+WITH u AS (
+  SELECT page_id, CASE WHEN contains(url, '://') THEN regexp_replace(url[strpos(url, '://') + 3:], '[?#](.|\n)*$', '') ELSE '' END AS rest FROM pages
+), s AS (
+  SELECT page_id, translate(split_part(coalesce(rest, ''), '/', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    CASE WHEN contains(rest, '/') THEN rest[strpos(rest, '/'):] ELSE '' END AS path FROM u
+), r AS (
+  SELECT * FROM (VALUES ('net/', 'net', '/', 'block'), ('example.net/en/', 'example.net', '/en/', 'allow'),
+    ('example.com/de/', 'example.com', '/de/', 'block'), ('org/fr/', 'org', '/fr/', 'allow')) AS t(rule, h, p, verdict)
+), f AS (
+  SELECT page_id, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
+  FROM s JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id
+)
+SELECT s.page_id, host, path, rule,
+  coalesce(verdict, CASE WHEN regexp_matches(host, 'spam|pills|casino|porn|xxx') OR contains(path, 'free-download') OR contains(path, '/login')
+    THEN 'block' ELSE 'allow' END) AS verdict
+FROM s LEFT JOIN f USING (page_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1, "op2_line_dedup": OP2}
+    return {"op1_substring_dedup": OP1, "op2_line_dedup": OP2, "op3_url_filter": OP3}

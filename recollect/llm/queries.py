@@ -9,6 +9,11 @@ from pyspark.sql import functions as F
 
 from recollect.llm.line_dedup import line_dedup
 from recollect.llm.substring_dedup import substring_dedup
+from recollect.llm.url_filter import url_filter
+
+#: Host rules of the URL contract, and the globs that judge what no host rule fits.
+HOST_RULES = [("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow")]
+URL_GLOBS = [("*spam*?*", "block"), ("*pills*?*", "block"), ("*casino*?*", "block"), ("*porn*?*", "block"), ("*xxx*?*", "block"), ("*?*free-download*", "block"), ("*?*/login*", "block")]
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,5 +28,9 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(_table(spark, sf_dir, "documents"), min_chars=20, min_docs=3, digest=True).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter(_table(spark, sf_dir, "pages"), HOST_RULES, URL_GLOBS, default="allow").drop("glob")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_line_dedup)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_line_dedup, op3_url_filter)}
