@@ -38,3 +38,14 @@ def content_key(text: Column) -> Column:
 def narrow(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Only the two columns an operator reads, under fixed names."""
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
+
+
+def join_split(left: DataFrame, right: DataFrame, on: list[str], how: str) -> DataFrame:
+    """A join whose skewed left partitions adaptive execution can split.
+
+    It splits only where both inputs come straight from a shuffle of their own.  A
+    right side that was just aggregated by the same keys has none, so a redundant
+    key (a hash of the others) asks for one; that side is small after aggregation.
+    """
+    again = F.xxhash64(*on)
+    return left.withColumn("_again", again).join(right.withColumn("_again", again), [*on, "_again"], how).drop("_again")

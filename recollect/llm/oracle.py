@@ -57,6 +57,22 @@ SELECT s.page_id, host, path, rule,
 FROM s LEFT JOIN f USING (page_id)
 """
 
+OP5 = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), p AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL
+), e AS (
+  SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * shared >= 80 * (a.n + b.n - shared)
+), e2 AS (SELECT x, y FROM e UNION SELECT y, x FROM e
+), r AS (SELECT x AS doc_id, x AS reach FROM (SELECT DISTINCT x FROM e2) UNION SELECT r.doc_id, e2.y FROM r JOIN e2 ON e2.x = r.reach
+), c AS (SELECT doc_id, min(reach) AS c FROM r GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, d.doc_id) AS component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1, "op2_line_dedup": OP2, "op3_url_filter": OP3}
+    return {"op1_substring_dedup": OP1, "op2_line_dedup": OP2, "op3_url_filter": OP3, "op5_ngram_jaccard_join": OP5}

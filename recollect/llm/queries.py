@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recollect.llm.line_dedup import line_dedup
+from recollect.llm.ngram_join import ngram_jaccard_components
 from recollect.llm.substring_dedup import substring_dedup
 from recollect.llm.url_filter import url_filter
 
@@ -32,5 +33,9 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(_table(spark, sf_dir, "pages"), HOST_RULES, URL_GLOBS, default="allow").drop("glob")
 
 
+def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_jaccard_components(_table(spark, sf_dir, "documents"), k=5, percent=80)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_line_dedup, op3_url_filter)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_line_dedup, op3_url_filter, op5_ngram_jaccard_join)}
