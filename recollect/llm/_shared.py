@@ -45,7 +45,7 @@ def join_split(left: DataFrame, right: DataFrame, on: list[str], how: str) -> Da
 
     It splits only where both inputs come straight from a shuffle of their own.  A
     right side that was just aggregated by the same keys has none, so a redundant
-    key (a hash of the others) asks for one; that side is small after aggregation.
+    key (one bit of the others' hash) asks for one; that side is small after aggregation.
     """
-    again = F.xxhash64(*on)
+    again = F.xxhash64(*on).bitwiseAND(F.lit(1))
     return left.withColumn("_again", again).join(right.withColumn("_again", again), [*on, "_again"], how).drop("_again")

@@ -33,7 +33,7 @@ from recollect.llm._shared import cut, join_split, narrow
 from recollect.llm._text import BASES, Words, chunks, mix, signed, spans, windows
 from recollect.llm.components import components
 
-SIGNATURE_WORDS = 16  # 1024 bits
+LEAST_BITS = 1024  # of a signature; it has twice its set's size at least, a power of two
 SMALL_BLOCK = 32  # sets of a block that are paired directly
 TILE = 2048  # sets of a tile
 FREQUENT = 1 << 20  # entries at most in the list of frequent shingles
@@ -64,11 +64,29 @@ def _nodes(value: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return spans(mix(value), bounds[:-1], bounds[1:], BASES[1]) ^ mix(n)
 
 
-def _signatures(text: np.ndarray, value: np.ndarray, texts: int) -> np.ndarray:
-    bit = (mix(value ^ np.uint64(0x5851F42D4C957F2D)) >> np.uint64(54)).astype(np.int64)  # 10 bits
-    flags = np.zeros((texts, SIGNATURE_WORDS * 64), dtype=bool)
-    flags[text, bit] = True
-    return np.packbits(flags, axis=1)
+def _signatures(text: np.ndarray, value: np.ndarray, n: np.ndarray) -> list[bytes]:
+    """The bitmap of every set; half of a bitmap or-ed with the other half is the one of half the bits."""
+    out: list[bytes] = [b""] * len(n)
+    bits = np.maximum(LEAST_BITS, 1 << np.ceil(np.log2(np.maximum(2 * n, 1))).astype(np.int64))
+    hashed = mix(value ^ np.uint64(0x5851F42D4C957F2D))
+    for m in np.unique(bits).tolist():
+        some = np.flatnonzero(bits == m)
+        place = np.full(len(n), -1)
+        place[some] = np.arange(len(some))
+        mine = place[text] >= 0
+        flags = np.zeros((len(some), m), dtype=bool)
+        flags[place[text[mine]], (hashed[mine] & np.uint64(m - 1)).astype(np.int64)] = True
+        for i, row in zip(some.tolist(), np.packbits(flags, axis=1), strict=True):
+            out[i] = row.tobytes()
+    return out
+
+
+def _most_overlap(x: np.ndarray, nx: np.ndarray, y: np.ndarray, ny: np.ndarray) -> np.ndarray:
+    """An upper bound of the overlap of sets with signatures x (the wider) and y, row by row."""
+    while x.shape[-1] > y.shape[-1]:
+        half = x.shape[-1] // 2
+        x = x[..., :half] | x[..., half:]
+    return np.minimum(nx - np.bitwise_count(x & ~y).sum(axis=-1, dtype=np.int64), ny - np.bitwise_count(y & ~x).sum(axis=-1, dtype=np.int64))
 
 
 def _parts(batch: pa.RecordBatch, k: int):
@@ -86,11 +104,10 @@ def _unit_rows(k: int):
         seen, sets, common, pending = np.zeros(0, np.uint64), 0, (np.zeros(0, np.uint64), np.zeros(0, np.int64)), []
         for batch in batches:
             for row, end, text, value, bounds, n, node in _parts(batch, k):
-                signature = _signatures(text, value, end - row)
                 some = batch.slice(row, end - row)
                 m = end - row
                 yield pa.RecordBatch.from_arrays(
-                    [some.column("doc_id"), some.column("unit"), pa.array(signed(node)), pa.array(n.astype(np.int64)), pa.array([x.tobytes() for x in signature], pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())],
+                    [some.column("doc_id"), some.column("unit"), pa.array(signed(node)), pa.array(n.astype(np.int64)), pa.array(_signatures(text, value, n), pa.binary()), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64())],
                     names=["doc_id", "unit", "node", "n", "signature", "key", "times"],
                 )
                 fresh, first = np.unique(node, return_index=True)
@@ -176,10 +193,6 @@ def _block_rows(percent: int):
     return run
 
 
-def _as_bits(column) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint64).reshape(-1, SIGNATURE_WORDS)
-
-
 def _least_overlap(nx, ny, percent: int):
     """The least overlap of sizes nx and ny with Jaccard >= percent / 100."""
     return -(-percent * (nx + ny) // (100 + percent))
@@ -188,12 +201,17 @@ def _least_overlap(nx, ny, percent: int):
 def _plausible(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x, y = _as_bits(batch.column("sig_a")), _as_bits(batch.column("sig_b"))
-            nx, ny = (batch.column(c).to_numpy() for c in ("n_a", "n_b"))
-            most = np.minimum(nx - np.bitwise_count(x & ~y).sum(axis=1), ny - np.bitwise_count(y & ~x).sum(axis=1))
-            keep = pa.array(most >= _least_overlap(nx, ny, percent))
+            swap = batch.column("n_a").to_numpy() < batch.column("n_b").to_numpy()  # the larger set first
+            sig = [np.array(batch.column(c).to_pylist(), dtype=object) for c in ("sig_a", "sig_b")]
+            n = [batch.column(c).to_numpy() for c in ("n_a", "n_b")]
+            sx, sy, nx, ny = np.where(swap, sig[1], sig[0]), np.where(swap, sig[0], sig[1]), np.where(swap, n[1], n[0]), np.where(swap, n[0], n[1])
+            widths = np.array([(len(p), len(q)) for p, q in zip(sx, sy, strict=True)]).reshape(-1, 2)
+            keep = np.zeros(batch.num_rows, dtype=bool)
+            for w in np.unique(widths, axis=0):
+                some = np.flatnonzero((widths == w).all(axis=1))
+                x, y = (np.frombuffer(b"".join(s[some]), dtype=np.uint64).reshape(len(some), -1) for s in (sx, sy))
+                keep[some] = _most_overlap(x, nx[some], y, ny[some]) >= _least_overlap(nx[some], ny[some], percent)
+            keep = pa.array(keep)
             yield pa.RecordBatch.from_arrays([batch.column("a").filter(keep), batch.column("b").filter(keep)], names=["a", "b"])
 
     return run
@@ -207,7 +225,10 @@ def _tile_forest(percent: int, exact: bool):
         order = np.lexsort((table.column("node").to_numpy(), n))
         table = table.take(pa.array(order))
         n, node = n[order], table.column("node").to_numpy()
-        bits = _as_bits(table.column("signature"))
+        signatures = table.column("signature").to_pylist()
+        width = np.array([len(x) for x in signatures])  # grows with n, so each width is one range of rows
+        ranges = {int(w): (int(np.searchsorted(width, w)), int(np.searchsorted(width, w, side="right"))) for w in np.unique(width)}
+        bits = {w: np.frombuffer(b"".join(signatures[b:e]), dtype=np.uint64).reshape(e - b, -1) for w, (b, e) in ranges.items()}
         sets = [np.frombuffer(x, dtype=np.uint64) for x in table.column("shingles").to_pylist()] if exact else []
         root = np.arange(len(n))
         for i in range(1, len(n)):
@@ -215,7 +236,9 @@ def _tile_forest(percent: int, exact: bool):
             other = np.flatnonzero(root[low:i] != root[i]) + low
             if not len(other):
                 continue
-            most = np.minimum(n[i] - np.bitwise_count(bits[i] & ~bits[other]).sum(axis=1), n[other] - np.bitwise_count(bits[other] & ~bits[i]).sum(axis=1))
+            mine = bits[width[i]][i - ranges[width[i]][0]]
+            parts = [(w, other[(other >= b) & (other < e)] - b) for w, (b, e) in ranges.items() if b < i]
+            most = np.concatenate([_most_overlap(mine, n[i], bits[w][at], n[at + ranges[w][0]]) for w, at in parts if len(at)])
             good = most >= _least_overlap(n[other], n[i], percent)
             other = other[good][np.argsort(-most[good], kind="stable")]
             for j in other.tolist():
@@ -257,13 +280,13 @@ def _set_rows(k: int):
             for row, end, text, value, bounds, n, node in _parts(batch, k):
                 some = batch.slice(row, end - row)
                 right = np.flatnonzero(signed(node) == some.column("node").to_numpy())
-                signature = _signatures(text, value, end - row)
+                signature = _signatures(text, value, n)
                 yield pa.RecordBatch.from_arrays(
                     [
                         some.column("family").take(pa.array(right)),
                         pa.array(signed(node[right])),
                         pa.array(n[right].astype(np.int64)),
-                        pa.array([signature[i].tobytes() for i in right], pa.binary()),
+                        pa.array([signature[i] for i in right], pa.binary()),
                         pa.array([value[bounds[i] : bounds[i + 1]].tobytes() for i in right], pa.binary()),
                     ],
                     names=["family", "node", "n", "signature", "shingles"],

@@ -60,6 +60,19 @@ def test_against_brute_force(spark, monkeypatch):
     assert run(spark, rows) == brute(rows)
 
 
+def test_long_sets_of_several_signature_widths(spark):
+    rnd = random.Random(6)
+    rows = []
+    for g, length in enumerate((500, 1000, 1020, 2100, 5000)):
+        base = [f"g{g}_{rnd.randint(0, 10**6)}" for _ in range(length)]
+        for c in range(4):
+            words = base[: length - rnd.randint(0, length // 6)]
+            words[rnd.randrange(len(words))] = "x"
+            rows.append((10 * g + c, " ".join(words)))
+    rows += [(100 + i, " ".join(["p"] * 20 + [f"q{i}_{j}" for j in range(2000)])) for i in range(40)]
+    assert run(spark, rows) == brute(rows)
+
+
 def test_large_group_and_shared_passage(spark):
     rnd = random.Random(4)
     base = [f"b{i}" for i in range(120)]
