@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recollect.llm import toxicity
+from recollect.llm._shared import shared_folder
 from recollect.llm.line_dedup import line_dedup
 from recollect.llm.ngram_join import ngram_jaccard_components
+from recollect.llm.packing import pack
 from recollect.llm.quality_rules import fold, score_quality, train
 from recollect.llm.substring_dedup import substring_dedup
+from recollect.llm.token_orc import read_tokens, write_tokens
 from recollect.llm.url_filter import url_filter
 
 #: Host rules of the URL contract, and the globs that judge what no host rule fits.
@@ -39,6 +44,16 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_components(_table(spark, sf_dir, "documents"), k=5, percent=80)
 
 
+def op6_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
+    write_tokens(_table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
+    return read_tokens(spark, path)
+
+
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1, size=2048)
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     model = train(docs, _table(spark, sf_dir, "labels"), folds=3, held_out=1)
@@ -54,4 +69,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_line_dedup, op3_url_filter, op5_ngram_jaccard_join, op8_quality_classifier, op10_toxicity)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_line_dedup, op3_url_filter, op5_ngram_jaccard_join, op6_token_orc, op7_packing, op8_quality_classifier, op10_toxicity)}
