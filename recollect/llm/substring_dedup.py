@@ -11,8 +11,8 @@
 
 Equal texts are handled once: a text held by several rows loses every word that
 any window covers.  Counts use partial aggregation, and both joins on a hash are
-plain equi-joins that adaptive execution can split, so a frequent passage does
-not meet in one task.
+equi-joins that adaptive execution can split, so a frequent passage does not meet
+in one task.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm._shared import content_key, narrow
+from recollect.llm._shared import content_key, join_split, narrow
 from recollect.llm._text import BASES, Words, chunks, mix, signed, sliding, windows
 
 NEVER = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -176,12 +176,12 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     repeated = (
         anchors.groupBy("anchor").agg(F.min(F.xxhash64("content")).alias("low"), F.max(F.xxhash64("content")).alias("high"), F.max("twice").alias("twice")).where("low < high or twice").select("anchor")
     )
-    wanted = anchors.select("content", "anchor").join(repeated, "anchor", "left_semi").groupBy("content").agg(F.collect_set("anchor").alias("anchors"))
+    wanted = join_split(anchors.select("content", "anchor"), repeated, ["anchor"], "left_semi").groupBy("content").agg(F.collect_set("anchor").alias("anchors"))
     unique = rows.groupBy("content").agg(F.first("text").alias("text"))
     copies = rows.groupBy("content").agg(F.count(F.lit(1)).alias("copies"))
     found = unique.join(wanted, "content").mapInArrow(_window_rows(size, anchor), "content binary, start int, w1 long, w2 int")
     twice = found.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2")
-    starts = found.join(twice, ["w1", "w2"], "left_semi").groupBy("content").agg(F.collect_list("start").alias("starts"))
+    starts = join_split(found, twice, ["w1", "w2"], "left_semi").groupBy("content").agg(F.collect_list("start").alias("starts"))
     empty = F.array().cast("array<int>")
     whole = unique.join(starts, "content", "left").join(copies, "content").select("content", "text", "copies", F.coalesce("starts", empty).alias("starts"))
     shape = "content binary, n_words long, n_removed long, kept_sha256 string, removed array<int>" + (", kept_text string" if keep_text else "")
