@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from recollect.llm import toxicity
 from recollect.llm._shared import shared_folder
+from recollect.llm.decontaminate import contaminated
 from recollect.llm.line_dedup import line_dedup
 from recollect.llm.ngram_join import ngram_jaccard_components
 from recollect.llm.packing import pack
@@ -61,6 +62,10 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(F.col("doc_id"), 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), share=0.5)
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
     network = toxicity.train(docs, _table(spark, sf_dir, "labels"), folds=5, held_out=0)
@@ -69,4 +74,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_line_dedup, op3_url_filter, op5_ngram_jaccard_join, op6_token_orc, op7_packing, op8_quality_classifier, op10_toxicity)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_line_dedup, op3_url_filter, op5_ngram_jaccard_join, op6_token_orc, op7_packing, op8_quality_classifier, op9_decontaminate, op10_toxicity)}
