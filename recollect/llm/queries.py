@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from recollect.llm import toxicity
 from recollect.llm._shared import shared_folder
 from recollect.llm.decontaminate import contaminated
+from recollect.llm.imatch import compare_with_edits, lexicon
 from recollect.llm.line_dedup import line_dedup
 from recollect.llm.ngram_join import ngram_jaccard_components
 from recollect.llm.packing import pack
@@ -41,6 +42,11 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter(_table(spark, sf_dir, "pages"), HOST_RULES, URL_GLOBS, default="allow").drop("glob")
 
 
+def op4_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return compare_with_edits(docs, lexicon(docs, low=0.15, high=0.9))
+
+
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_components(_table(spark, sf_dir, "documents"), k=5, percent=80)
 
@@ -74,4 +80,4 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_line_dedup, op3_url_filter, op5_ngram_jaccard_join, op6_token_orc, op7_packing, op8_quality_classifier, op9_decontaminate, op10_toxicity)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_line_dedup, op3_url_filter, op4_fingerprints, op5_ngram_jaccard_join, op6_token_orc, op7_packing, op8_quality_classifier, op9_decontaminate, op10_toxicity)}
