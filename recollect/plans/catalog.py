@@ -12,9 +12,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from recollect.functions import lexicons, scores
+from recollect.functions import extract, intents, lexicons, scores
 from recollect.functions.tokens import mentions, tokens, word_tokens
-from recollect.operators import evaluation, graph, joins, tables
+from recollect.operators import evaluation, graph, joins, lifecycle, tables
+from recollect.streaming import events
 
 AS_OF = "2024-02-01 00:00:00"
 Query = Callable[[SparkSession, str], DataFrame]
@@ -402,3 +403,102 @@ _add(
     lambda spark, d: (lambda b: b.join(b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("truth")), "item_id").select("item_id", F.round(evaluation.token_f1(F.col("text"), F.col("truth")), 6).alias("f1")))(_read(spark, d, "benchmark")),
 )
 
+
+# ---- extraction from sentences with a known truth, and questions
+
+_SAID = "(SELECT c_custkey, c_custkey % 9 + 1 AS years, CASE r_name WHEN 'MIDDLE EAST' THEN 'Middle East' ELSE upper(left(r_name, 1)) || lower(substr(r_name, 2)) END AS place, lower(c_mktsegment) AS thing FROM customer JOIN nation ON n_nationkey = c_nationkey JOIN region ON r_regionkey = n_regionkey)"
+
+
+def said(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One sentence pair of every customer, built from its columns."""
+    customer, nation, region = (_read(spark, sf_dir, t) for t in ("customer", "nation", "region"))
+    rows = customer.join(nation, customer["c_nationkey"] == nation["n_nationkey"]).join(region, nation["n_regionkey"] == region["r_regionkey"])
+    years = (F.col("c_custkey") % 9 + 1).cast("string")
+    return rows.select("c_custkey", F.concat(F.lit("I moved from "), F.initcap("r_name"), F.lit(" "), years, F.lit(" years ago. I like "), F.lower("c_mktsegment"), F.lit(".")).alias("text"))
+
+
+_add(
+    "extract_facts",
+    f"SELECT c_custkey, 'moved_from' AS relation, 'state_change' AS fact_type, lower(place) AS object FROM {_SAID} UNION ALL SELECT c_custkey, 'likes', 'preference', thing FROM {_SAID}",
+    lambda spark, d: extract.extract_facts(said(spark, d)).drop("text"),
+)
+_add("duration_expression", f"SELECT c_custkey, CAST(years * 365 AS INT) AS days FROM {_SAID}", lambda spark, d: said(spark, d).select("c_custkey", extract.duration_days(F.col("text")).alias("days")))
+_add(
+    "resolve_first_person",
+    f"SELECT c_custkey, 'Ann moved from ' || place || ' ' || years || ' years ago. Ann like ' || thing || '.' AS text FROM {_SAID}",
+    lambda spark, d: said(spark, d).select("c_custkey", extract.resolve_first_person(F.col("text"), F.lit("Ann")).alias("text")),
+)
+_add(
+    "strip_timestamps",
+    f"SELECT c_custkey, 'I moved from ' || place || ' ' || years || ' years ago. I like ' || thing || '.' AS text FROM {_SAID}",
+    lambda spark, d: said(spark, d).select("c_custkey", extract.strip_timestamps(F.concat(F.lit("[1:56 pm on 8 May, 2023] "), "text")).alias("text")),
+)
+_add(
+    "parse_date_any", "SELECT o_orderkey, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders",
+    lambda spark, d: _read(spark, d, "orders").select("o_orderkey", extract.parse_date_any(F.when(F.col("o_orderkey") % 2 == 0, F.date_format("o_orderdate", "d MMMM yyyy")).otherwise(F.date_format("o_orderdate", "MMMM d, yyyy"))).cast("string").alias("day")),
+)
+_add(
+    "as_statement", "SELECT c_custkey, 'customer ' || c_custkey || ' lives in ' || c_nationkey AS statement FROM customer",
+    lambda spark, d: _read(spark, d, "customer").select("c_custkey", extract.as_statement(F.concat(F.lit("customer "), F.col("c_custkey").cast("string")), F.lit("lives_in"), F.col("c_nationkey").cast("string")).alias("statement")),
+)
+
+
+def _intent_sql(table: str, key: str) -> str:
+    parts = []
+    for i, (name, weight, keywords, patterns) in enumerate(intents.INTENTS):
+        total = _mention_sql(keywords) + "".join(f" + 1.5 * regexp_matches(lower(text), '{p}')::INT" for p in patterns)
+        parts.append(f"SELECT {key}, '{name}' AS intent, {-i} AS o, {weight} * ({total}) AS score FROM {table}")
+    return f"SELECT {key}, CASE WHEN max(score) > 0 THEN arg_max(intent, (score, o)) ELSE 'general' END AS intent, CAST(round(CASE WHEN max(score) > 0 THEN least(1.0, max(score) / 3) ELSE 0.3 END, 6) AS DOUBLE) AS confidence FROM ({' UNION ALL '.join(parts)}) GROUP BY {key}"
+
+
+_turn("classify_intent", _intent_sql("conversations", "conv_id, turn"), lambda c: c.withColumn("i", intents.classify_intent(F.col("text"))).select("conv_id", "turn", "i.intent", F.round("i.confidence", 6).alias("confidence")))
+
+# ---- lifecycle
+
+_add(
+    "merge_facts",
+    f"SELECT CAST(subject AS VARCHAR) AS subject, 'status' AS predicate, lower(object) AS object, arg_min(fact_id, (dated, fact_id)) AS fact_id, count(*) AS evidence, round(least(1.0, 0.5 + 0.1 * (count(*) - 1)), 6) AS confidence FROM {_ORDERS} GROUP BY subject, lower(object)",
+    lambda spark, d: lifecycle.merge_facts(_history(spark, d).withColumns({"predicate": F.lit("status"), "confidence": F.lit(0.5)})).withColumn("confidence", F.round("confidence", 6)),
+)
+_turn(
+    "promote_stm",
+    "SELECT conv_id AS session_id, count(*) AS items, CAST(sum(length(text)) AS BIGINT) AS chars, coalesce(bool_or(back <= 3 AND regexp_matches(lower(text), 'done|fixed|complete|working')), FALSE) AS completed FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations) GROUP BY conv_id",
+    lambda c: lifecycle.session_summary(c.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), "text")),
+)
+_turn(
+    "units_all_levels",
+    """WITH t AS (SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS follows FROM conversations)
+  SELECT 'utterance' AS level, 'u' || conv_id || '_' || turn AS unit_id, 's' || conv_id AS parent_id, conv_id AS session_id FROM t
+  UNION ALL SELECT 'turn', 't' || conv_id || '_' || turn, 's' || conv_id, conv_id FROM t WHERE role = 'user' AND follows = 'assistant'
+  UNION ALL SELECT DISTINCT 'session', 's' || conv_id, NULL, conv_id FROM t""",
+    lambda c: lifecycle.units_all_levels(c.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), F.col("role").alias("speaker"))),
+)
+_add(
+    "duplicate_groups",
+    None,
+    lambda spark, d: (lambda docs: lifecycle.leaders(docs, joins.jaccard_pairs(docs, 90).select("a", "b")).withColumnsRenamed({"id": "doc_id"}))(_read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")),
+)
+
+# ---- streams, each run over all events that are there
+
+_add(
+    "stream_dedupe", "SELECT DISTINCT user_id, event_type FROM events",
+    lambda spark, d: events.drain(events.dedupe(events.event_stream(spark, d), ["user_id", "event_type"], "60 days").select("user_id", "event_type"), events.work_folder(spark)),
+)
+_add(
+    "stream_latest_fact",
+    "SELECT user_id, event_type, max(event_id) AS event_id FROM events GROUP BY ALL",
+    lambda spark, d: events.latest(events.event_stream(spark, d).select("user_id", "event_type", "event_id"), ["user_id", "event_type"], "event_id", events.work_folder(spark)),
+)
+_add(
+    "stream_closed_windows",
+    "SELECT * FROM (SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS n FROM events GROUP BY 1, 2) WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE",
+    lambda spark, d: events.drain(events.windowed_counts(events.event_stream(spark, d), "event_type", "1 hour", "10 minutes"), events.work_folder(spark)).withColumn("start", F.col("start").cast("timestamp_ntz")),
+)
+_add(
+    "stream_sessions",
+    """WITH g AS (SELECT user_id, ts, coalesce(ts >= lag(ts) OVER w + INTERVAL 6 HOUR, TRUE)::INT AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+  s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS k FROM g)
+  SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""",
+    lambda spark, d: events.drain(events.sessions(events.event_stream(spark, d), "user_id", "6 hours", "10 minutes"), events.work_folder(spark)).withColumn("start", F.col("start").cast("timestamp_ntz")),
+)

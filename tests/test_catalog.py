@@ -35,7 +35,7 @@ def rows(frame):
     return sorted(tuple(shown(x) for x in r) for r in frame.astype(object).itertuples(index=False))
 
 
-@pytest.mark.parametrize("name", sorted(catalog.QUERIES))
+@pytest.mark.parametrize("name", sorted(catalog.SQL))
 def test_against_sql(spark, sql, name):
     got = catalog.QUERIES[name](spark, DATA).toPandas()
     want = sql.execute(catalog.SQL[name]).df()

@@ -90,3 +90,38 @@ def test_sensory_filter(spark):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_leaders_equal_the_greedy_pass(spark):
+    from recollect.operators.lifecycle import leaders
+
+    rnd = random.Random(3)
+    for n, share in ((30, 0.1), (20, 0.4), (5, 0.0)):
+        pairs = [(i, j) for j in range(n) for i in range(j) if rnd.random() < share]
+        lead = {}
+        for j in range(n):
+            found = [i for i, k in pairs if k == j and lead[i] == i]
+            lead[j] = min(found) if found else j
+        rows, edges = spark.createDataFrame([(i,) for i in range(n)], "id int"), spark.createDataFrame(pairs, "a int, b int")
+        assert {r.id: r.leader for r in leaders(rows, edges).collect()} == lead
+
+
+def test_extraction(spark):
+    from recollect.functions import extract
+
+    turns = spark.createDataFrame([("Caroline", "[1:56 pm on 8 May, 2023] I really love hiking! I moved from Sweden 4 years ago."), ("Bob", "Bob: I work at Acme , and my dog is mine.")], "who string, text string")
+    clean = turns.withColumn("text", extract.clean_format(extract.strip_timestamps(F.col("text"))))
+    facts = {(r.who, r.relation, r.object) for r in extract.extract_facts(clean).collect()}
+    assert facts == {("Caroline", "likes", "hiking"), ("Caroline", "moved_from", "sweden"), ("Bob", "works_at", "acme")}
+    got = clean.select("who", extract.resolve_first_person(F.col("text"), F.col("who")).alias("t"), extract.duration_days(F.col("text")).alias("d")).orderBy("who").collect()
+    assert got[0].t == "Bob work at Acme, and Bob's dog is Bob's." and [r.d for r in got] == [None, 1460]
+    dates = spark.createDataFrame([("7 May 2023",), ("May 7, 2023",), ("2023-05-07",), ("May 2023",), ("2023",), ("soon",)], "t string")
+    assert [str(r.x) for r in dates.select(extract.parse_date_any(F.col("t")).alias("x")).collect()] == ["2023-05-07"] * 3 + ["2023-05-15", "2023-06-15", "None"]
+
+
+def test_intents(spark):
+    from recollect.functions.intents import classify_intent
+
+    asked = {"What is the meaning of life": "factual", "Do you remember what happened": "episodic_recall", "How to bake, steps to follow": "procedural", "fix this bug, it fails": "problem_solving", "compare a vs b": "comparison", "xyz": "general", None: "general"}
+    df = spark.createDataFrame([(q,) for q in asked], "q string").select(classify_intent(F.col("q")).alias("i"))
+    assert [r.i.intent for r in df.collect()] == list(asked.values())
