@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from recollect.functions import extract, intents, lexicons, scores
 from recollect.functions.tokens import mentions, tokens, word_tokens
-from recollect.operators import evaluation, graph, joins, lifecycle, tables
+from recollect.operators import evaluation, graph, joins, lifecycle, ranking, tables
 from recollect.streaming import events
 
 AS_OF = "2024-02-01 00:00:00"
@@ -502,3 +502,93 @@ _add(
   SELECT user_id, min(ts) AS start, count(*) AS n FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 6 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE""",
     lambda spark, d: events.drain(events.sessions(events.event_stream(spark, d), "user_id", "6 hours", "10 minutes"), events.work_folder(spark)).withColumn("start", F.col("start").cast("timestamp_ntz")),
 )
+
+# ---- rollups, rankings and question terms
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of every question: documents that share a token, scored by overlap / (n + 1)."""
+    docs = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("memory_id"), "text", "lang")
+    return _overlaps(spark, sf_dir).withColumn("score", F.round(F.col("overlap") / (F.col("query_size") + 1), 6)).join(docs, "memory_id")
+
+
+_SCORED = f"WITH {_OVER}, s AS (SELECT query_id, memory_id, lang, text, round(overlap / (n + 1), 6) AS score FROM o JOIN documents ON doc_id = memory_id)"
+_add(
+    "per_tier_cap",
+    f"""{_SCORED}, t AS (SELECT *, row_number() OVER (PARTITION BY query_id, lang ORDER BY score DESC, memory_id) AS r FROM s)
+  SELECT query_id, memory_id, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory_id) AS rank FROM t WHERE r <= 5) WHERE rank <= 10""",
+    lambda spark, d: ranking.per_tier_cap(_scored(spark, d), "lang").select("query_id", "memory_id", "rank"),
+)
+_add(
+    "dedupe_first",
+    f"{_SCORED} SELECT query_id, memory_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id, left(lower(text), 50) ORDER BY score DESC, memory_id) AS r FROM s) WHERE r = 1",
+    lambda spark, d: ranking.dedupe_first(_scored(spark, d).withColumns({"_p": F.substring(F.lower("text"), 1, 50), "_s": -F.col("score")}), "_p", ["_s", "memory_id"]).select("query_id", "memory_id"),
+)
+_add(
+    "diversity_bonus",
+    f"{_SCORED} SELECT query_id, memory_id, round(score + CASE WHEN row_number() OVER (PARTITION BY query_id, lang ORDER BY score DESC, memory_id) = 1 THEN 0.1 ELSE 0 END, 6) AS score FROM s",
+    lambda spark, d: ranking.diversity_bonus(_scored(spark, d), "lang").select("query_id", "memory_id", F.round("score", 6).alias("score")),
+)
+_add("mmr_rerank", None, lambda spark, d: ranking.mmr_rerank(_scored(spark, d), most=20).withColumn("score", F.round("score", 6)))
+_add(
+    "rank_shift",
+    f"{_SCORED} SELECT query_id, memory_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory_id) - row_number() OVER (PARTITION BY query_id ORDER BY score * (1 + 1.0 / length(text)) DESC, memory_id) AS INT) AS shift FROM s WHERE length(text) > 0",
+    lambda spark, d: _scored(spark, d).where("length(text) > 0")
+    .withColumn("shift", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "memory_id")) - F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.col("score") * (1 + 1.0 / F.length("text"))), "memory_id")))
+    .select("query_id", "memory_id", "shift"),
+)
+_add(
+    "entity_rollup",
+    "SELECT lower(trim(replace(c_mktsegment, '_', ' '))) AS name, arg_min(c_mktsegment, c_custkey) AS spelling, count(*) AS mentions FROM customer GROUP BY 1",
+    lambda spark, d: _read(spark, d, "customer").groupBy(F.lower(F.trim(F.replace("c_mktsegment", F.lit("_"), F.lit(" ")))).alias("name")).agg(F.min_by("c_mktsegment", "c_custkey").alias("spelling"), F.count(F.lit(1)).alias("mentions")),
+)
+_add(
+    "relation_rollup",
+    "SELECT l_suppkey AS source, l_partkey AS target, max(l_quantity) AS confidence, count(*) AS n FROM lineitem GROUP BY ALL",
+    lambda spark, d: _read(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("source"), F.col("l_partkey").alias("target")).agg(F.max("l_quantity").alias("confidence"), F.count(F.lit(1)).alias("n")),
+)
+_add(
+    "triplet_rollup",
+    "SELECT l_suppkey AS source, l_partkey AS target, arg_min(l_orderkey, (l_shipdate, l_orderkey)) AS first_order FROM lineitem GROUP BY ALL",
+    lambda spark, d: _read(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("source"), F.col("l_partkey").alias("target")).agg(F.min_by("l_orderkey", F.struct("l_shipdate", "l_orderkey")).alias("first_order")),
+)
+_add(
+    "load_graph_tables",
+    "SELECT s_suppkey, n_name, r_name FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey",
+    lambda spark, d: (lambda s, n, r: s.join(n, s["s_nationkey"] == n["n_nationkey"]).join(r, n["n_regionkey"] == r["r_regionkey"]).select("s_suppkey", "n_name", "r_name"))(*(_read(spark, d, t) for t in ("supplier", "nation", "region"))),
+)
+_add(
+    "evidence_join", "SELECT d.doc_id, quality, quality IS NOT NULL AS known FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id",
+    lambda spark, d: _read(spark, d, "documents").select("doc_id").join(_read(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left").withColumn("known", F.col("quality").isNotNull()),
+)
+_add(
+    "facts_not_in", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)",
+    lambda spark, d: _read(spark, d, "documents").select("doc_id").join(_read(spark, d, "labels").select("doc_id"), "doc_id", "left_anti"),
+)
+_doc("capitalised_names", r"SELECT doc_id, CAST(len(list_distinct(list_filter(regexp_split_to_array(text, '[^\p{L}\p{N}_]+'), lambda w: regexp_full_match(w, '[A-Z][a-z]+') AND w NOT IN ('What', 'When', 'Where', 'Who', 'How', 'Why')))) AS INT) AS n FROM documents", lambda d: d.select("doc_id", F.size(F.array_except(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?U)\b([A-Z][a-z]+)\b"), F.lit(1))), F.lit(["What", "When", "Where", "Who", "How", "Why"]))).alias("n")))
+_doc("first_sentence_summary", "SELECT doc_id, left(split_part(text, '.', 1), 200) AS summary FROM documents", lambda d: d.select("doc_id", F.substring(F.split_part("text", F.lit("."), F.lit(1)), 1, 200).alias("summary")))
+_doc(
+    "latest_update_dedupe",
+    rf"""WITH k AS (SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(regexp_split_to_array(lower(text), '\s+'), lambda w: w <> '')[1:10]))[1:5], '_') AS k FROM documents)
+  SELECT max(doc_id) AS doc_id FROM k GROUP BY k""",
+    lambda d: d.withColumn("k", F.array_join(F.slice(F.array_sort(F.array_distinct(F.slice(F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != ""), 1, 10))), 1, 5), "_")).groupBy("k").agg(F.max("doc_id").alias("doc_id")).select("doc_id"),
+)
+_doc("compression", "SELECT lang, count(*) AS n, round(sum(least(200, length(text)))::DOUBLE / sum(length(text)), 6) AS ratio FROM documents GROUP BY lang", lambda d: d.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(F.least(F.lit(200), F.length("text"))) / F.sum(F.length("text")), 6).alias("ratio")))
+_mem(
+    "duration_parts",
+    "SELECT id, d // 365 AS years, d % 365 // 30 AS months, d % 365 % 30 // 7 AS weeks, d % 365 % 30 % 7 AS days FROM (SELECT id, id % 2000 AS d FROM MEM)",
+    lambda m: m.select("id", scores.duration_parts(F.col("id") % 2000).alias("p")).select("id", "p.*"),
+)
+_mem("store_filters", "SELECT id, CASE WHEN importance >= 0.8 THEN 'long_term' WHEN importance >= 0.4 THEN 'short_term' ELSE 'none' END AS tier FROM MEM", lambda m: m.select("id", F.when(F.col("importance") >= 0.8, "long_term").when(F.col("importance") >= 0.4, "short_term").otherwise("none").alias("tier")))
+_mem(
+    "decay_pass",
+    f"SELECT id, round(strength, 6) AS old, round({_clamp('strength * exp(-' + _slow('0.01', 'importance + 0.5') + ' * hours)')}, 6) AS strength FROM MEM",
+    lambda m: m.select("id", F.round("strength", 6).alias("old"), F.round(scores.strength_now(F.col("strength"), F.col("importance"), F.col("access_count"), F.col("hours"), 0.01), 6).alias("strength")),
+)
+_turn("stm_by_role", "SELECT conv_id, turn FROM conversations WHERE role = 'user'", lambda c: c.where(tables.where_spec({"role": "user"})).select("conv_id", "turn"))
+_turn(
+    "topic_digest",
+    "SELECT role, string_agg(text, '; ' ORDER BY conv_id, turn) AS digest FROM (SELECT *, row_number() OVER (PARTITION BY role ORDER BY conv_id, turn) AS r FROM conversations) WHERE r <= 5 GROUP BY role",
+    lambda c: tables.first_rows(c, ["role"], [F.col("conv_id"), F.col("turn")], 5).groupBy("role").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("conv_id", "turn", "text"))), lambda x: x["text"]), "; ").alias("digest")),
+)
+_turn("tier_stats", "SELECT role, count(*) AS items, count(DISTINCT conv_id) AS sessions FROM conversations GROUP BY role", lambda c: c.groupBy("role").agg(F.count(F.lit(1)).alias("items"), F.count_distinct("conv_id").alias("sessions")))

@@ -125,3 +125,37 @@ def test_intents(spark):
     asked = {"What is the meaning of life": "factual", "Do you remember what happened": "episodic_recall", "How to bake, steps to follow": "procedural", "fix this bug, it fails": "problem_solving", "compare a vs b": "comparison", "xyz": "general", None: "general"}
     df = spark.createDataFrame([(q,) for q in asked], "q string").select(classify_intent(F.col("q")).alias("i"))
     assert [r.i.intent for r in df.collect()] == list(asked.values())
+
+
+def test_readers(spark, tmp_path):
+    import json
+
+    from recollect.sources.conversations import hash_embedding, pack_json, read_haystack_json, read_sessions_json, tag_index
+
+    talk = {f"session_{n}": [{"speaker": "A", "text": f"turn {n}"}, {"speaker": "B", "text": "answer"}] for n in (1, 2, 10)}
+    talk |= {f"session_{n}_date_time": f"{n} May 2023" for n in (1, 2, 10)} | {"speaker_a": "A"}
+    (tmp_path / "a.json").write_text(json.dumps([{"sample_id": "s", "conversation": talk, "qa": []}]))
+    got = read_sessions_json(spark, str(tmp_path / "a.json")).orderBy("session", "seq").collect()
+    assert [(r.session, r.seq, r.speaker) for r in got] == [(n, i, w) for n in (1, 2, 10) for i, w in enumerate("AB")]
+    assert got[-1].said_on == "10 May 2023"
+    ask = [{"question_id": f"q{i}", "question_type": t, "haystack_sessions": [[{"role": "user", "content": "hi"}], [{"role": "user", "content": "x"}, {"role": "assistant", "content": "y"}]], "haystack_dates": ["d1", "d2"], "haystack_session_ids": ["a", "b"]} for i, t in enumerate("uvu")]
+    (tmp_path / "b.json").write_text(json.dumps(ask))
+    rows = read_haystack_json(spark, str(tmp_path / "b.json"), question_type="u", limit=1).orderBy("session", "seq").collect()
+    assert [(r.question_id, r.session_id, r.seq, r.text, r.said_on) for r in rows] == [("q0", "a", 0, "hi", "d1"), ("q0", "b", 0, "x", "d2"), ("q0", "b", 1, "y", "d2")]
+    tagged = spark.createDataFrame([(1, ["a", "b", "a"]), (2, [])], "id int, tags array<string>")
+    assert sorted(map(tuple, tag_index(tagged).collect())) == [(1, "a"), (1, "b")]
+    assert pack_json(tagged, ["tags"]).orderBy("id").first().data == '{"tags":["a","b","a"]}'
+    vectors = spark.createDataFrame([("the cat sat the",), ("",)], "t string").select(hash_embedding(F.col("t")).alias("v")).collect()
+    assert abs(sum(x.weight**2 for x in vectors[0].v) - 1) < 1e-9 and len(vectors[0].v) == 3 and vectors[1].v == []
+
+
+def test_ranking(spark):
+    from recollect.operators import ranking
+
+    rows = [(1, 1, 0.9, "a b c", "x"), (1, 2, 0.89, "a b c", "x"), (1, 3, 0.7, "d e f", "y"), (2, 4, 0.5, "z", "x")]
+    df = spark.createDataFrame(rows, "query_id long, memory_id long, score double, text string, tier string")
+    got = {(r.query_id, r["rank"]): r.memory_id for r in ranking.mmr_rerank(df).collect()}
+    assert got == {(1, 1): 1, (1, 2): 3, (1, 3): 2, (2, 1): 4}
+    assert [r.memory_id for r in ranking.per_tier_cap(df, "tier", 1, 2).where("query_id = 1").orderBy("rank").collect()] == [1, 3]
+    assert sorted(r.memory_id for r in ranking.dedupe_first(df, "text", ["memory_id"]).collect()) == [1, 3, 4]
+    assert {r.memory_id: round(r.score, 2) for r in ranking.diversity_bonus(df, "tier").collect()} == {1: 1.0, 2: 0.89, 3: 0.8, 4: 0.6}
