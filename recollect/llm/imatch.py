@@ -4,7 +4,7 @@ A term is a lower-cased word, hashed to one of 2**24 lexicon slots.  A slot's
 document frequency comes from all texts; terms in the chosen band of normalised
 inverse document frequency, ln(N / df) / ln(N), are kept.  Of the kept distinct
 terms in sorted order, one hash is taken over all and one over each of several
-randomised lexicon subsets.  A subset holds one slot of 4, 16, 64 or 256, so that
+randomised lexicon subsets.  A subset holds one slot of 4, 16, 64, 256 or 1024, so that
 texts of any length have subsets in which only a few of their terms fall.
 
 The fingerprint is the list of those hashes.  Two fingerprints are as alike as the
@@ -27,7 +27,7 @@ from recollect.llm._shared import narrow
 from recollect.llm._text import Words, chunks
 
 SLOT_BITS = 24
-RATES = [4] * 6 + [16] * 6 + [64] * 6 + [256] * 6  # one slot in so many lies in a subset
+RATES = [4] * 4 + [16] * 10 + [64] * 14 + [256] * 14 + [1024] * 6  # one slot in so many lies in a subset
 PRIME = 2**31 - 1
 BLANK = "\u0000"
 
