@@ -159,3 +159,15 @@ def test_ranking(spark):
     assert [r.memory_id for r in ranking.per_tier_cap(df, "tier", 1, 2).where("query_id = 1").orderBy("rank").collect()] == [1, 3]
     assert sorted(r.memory_id for r in ranking.dedupe_first(df, "text", ["memory_id"]).collect()) == [1, 3, 4]
     assert {r.memory_id: round(r.score, 2) for r in ranking.diversity_bonus(df, "tier").collect()} == {1: 1.0, 2: 0.89, 3: 0.8, 4: 0.6}
+
+
+def test_conflicts(spark):
+    from recollect.operators import conflicts
+
+    triplets = spark.createDataFrame([(1, "c", "lives_in", "NY"), (2, "c", "lives_in", "SF"), (3, "c", "likes", "x"), (4, "c", "dislikes", "x"), (5, "c", "likes", "y"), (6, "d", "lives_in", "SF")], "triplet_id long, source string, relation string, target string")
+    assert sorted(map(tuple, conflicts.triplet_conflicts(triplets).collect())) == [(1, 2, "exclusive"), (3, 4, "polarity")]
+    facts = spark.createDataFrame([(1, 10, 0.9, 1, 0.1, "inference"), (2, 20, 0.5, 9, 0.8, "user_input")], "fact_id long, created_at int, confidence double, access_count int, importance double, source string")
+    pairs = spark.createDataFrame([(1, 2)], "a long, b long")
+    won = {s: conflicts.resolve(pairs, facts, s).first().winner for s in conflicts.STRATEGIES}
+    assert won == {"recency": 2, "confidence": 1, "frequency": 2, "importance": 2, "source": 2, "keep_both": None, "merge": None, "defer": None}
+    assert [r.fact_id for r in conflicts.apply_resolutions(facts, conflicts.resolve(pairs, facts, "recency")).collect()] == [2]
