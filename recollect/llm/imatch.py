@@ -232,7 +232,7 @@ def compare_with_edits(docs: DataFrame, kept: np.ndarray, ranges: int | None = N
     guest = F.when(F.try_element_at(hosts, order).isNotNull(), F.struct(F.try_element_at(hosts, order).alias("bucket"), F.lit(True).alias("guest")))
     dealt = rows.withColumn("place", F.explode(F.array_compact(F.array(F.struct(bucket.alias("bucket"), F.lit(False).alias("guest")), guest))))
     dealt = dealt.select("place.bucket", "place.guest", order.alias("at"), "doc_id", "text")
-    dealt = dealt.repartition("bucket").sortWithinPartitions("bucket", "guest", "at", F.coalesce("text", F.lit("")))
+    dealt = dealt.repartitionByRange("bucket").sortWithinPartitions("bucket", "guest", "at", F.coalesce("text", F.lit("")))
     shape = ", ".join(f"{n} {k}" for n, k in _SHAPE)
     shared = docs.sparkSession.sparkContext.broadcast(kept)
     return dealt.select("bucket", "guest", "doc_id", "text").mapInArrow(_edited_rows(shared), shape)
