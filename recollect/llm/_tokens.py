@@ -12,10 +12,12 @@ import os
 import re
 from collections.abc import Sequence
 from itertools import chain
+from string import ascii_uppercase
 
 import numpy as np
 
 REMEMBERED = 800_000  # units; about 150 MB
+TAIL = ".,!?;:*#$%&|)"  # runs of these behind a letter are tokens of their own
 TOGETHER = 1000  # new units of one call to the library
 _MARKS = ("\n", " \x01 ")  # one of them is a token of its own between two units
 _CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -51,6 +53,8 @@ class UnitEncoder:
                 break
         else:
             raise ValueError(f"no mark keeps units apart in {path}")
+        same = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in (f" {ascii_uppercase} Ab\u00c4", f" {ascii_uppercase} Ab\u00c4".lower())]
+        self.fold = same[0] == same[1]  # a tokenizer that lower-cases has fewer units if A-Z are lower-cased before
         self.forget()
 
     @classmethod
@@ -91,13 +95,13 @@ class UnitEncoder:
         return out, lengths
 
     def _learn(self) -> None:
-        """Encode the new units; a word with a stop or comma behind it is put together from the two."""
+        """Encode the new units; a word with punctuation behind it is put together from the two."""
         if not self.fresh:
             return
         old, known = self.count[0] - len(self.fresh), len(self.ids)
         base, tail, alone = [], [], []
         for i, unit in enumerate(self.fresh):  # grows meanwhile
-            word = unit.rstrip(".,")
+            word = unit.rstrip(TAIL)
             if len(word) < len(unit) and unit[0] == " " and word[-1:].isalpha():
                 base.append(self.rest[word[1:]])
                 tail.append(unit[len(word) :])
@@ -139,6 +143,8 @@ class UnitEncoder:
         """(ids of all texts in turn, where each text's ids end)."""
         if self.count[0] > REMEMBERED:
             self.forget()
+        if self.fold:
+            texts = [t.encode().lower().decode() for t in texts]  # of bytes, lower() changes A-Z only
         rows = [self._numbers(t.split(" ")) if t else [] for t in texts]
         self._learn()
         for i, row in enumerate(rows):
