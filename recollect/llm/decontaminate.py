@@ -28,14 +28,18 @@ UNITS = "% mm cm m km kilometers kilometres meters metres miles mile feet foot i
 
 _NAME = r"(?<=[\p{L}\p{N},;][ \t])\p{Lu}\p{Ll}+(?![\p{L}\p{N}])"
 _NUMBER = r"(?<![\p{L}\p{N}\x02])(?:[0-9]+(?:[.,:/][0-9]+)*|(?i:" + "|".join(NUMBER_WORDS.split()) + r"))(?![\p{L}\p{N}])"
-_UNIT = r"(?<=\x02d )(?:" + "|".join(UNITS.split()) + r")(?![\p{L}\p{N}])"
+_UNIT = r"(?<=\x02d )(?:" + "|".join(UNITS.split()) + r")(?![\p{L}\p{N}\x02])"
 _SLOT = "\x02"
 
 
+def _clean(text: Column) -> Column:
+    """The text without the marks that are used here."""
+    return F.translate(F.coalesce(text, F.lit("")), "\x02\x03\x04", "   ")
+
+
 def template(text: Column) -> Column:
     """Template tokens of a text: lower-case words, and \\x02n, \\x02d, \\x02u for a name, number, unit."""
-    clean = F.replace(F.coalesce(text, F.lit("")), F.lit(_SLOT), F.lit(" "))
-    named = F.regexp_replace(clean, _NAME, _SLOT + "n")
+    named = F.regexp_replace(_clean(text), _NAME, _SLOT + "n")
     counted = F.regexp_replace(named, _NUMBER, _SLOT + "d")
     measured = F.regexp_replace(F.lower(counted), _UNIT, _SLOT + "u")
     return F.filter(F.split(measured, r"[^\p{L}\p{N}\x02]+"), lambda w: w != "")
@@ -44,15 +48,14 @@ def template(text: Column) -> Column:
 def slot_values(text: Column) -> Column:
     """What stood at the placeholders of a text, lower-cased, in order.
 
-    The text is split at its names and numbers the same way, each kept behind a
-    mark, and units are taken from what follows a number.
+    The text is split at its names and numbers the same way, each kept between
+    two marks; a number's closing mark is its own, and only behind it is a unit taken.
     """
-    clean = F.replace(F.coalesce(text, F.lit("")), F.lit(_SLOT), F.lit(" "))
-    named = F.regexp_replace(clean, f"({_NAME})", "\x02n$1\x03")
-    counted = F.regexp_replace(named, "(" + _NUMBER.replace(r"(?<![\p{L}\p{N}\x02])", r"(?<![\p{L}\p{N}\x02])(?<!\x02n)") + ")", "\x02d$1\x03")
-    unit = r"(?<=\x03 )(" + "|".join(UNITS.split()) + r")(?![\p{L}\p{N}])"
+    named = F.regexp_replace(_clean(text), f"({_NAME})", "\x02n$1\x03")
+    counted = F.regexp_replace(named, "(" + _NUMBER.replace(r"(?<![\p{L}\p{N}\x02])", r"(?<![\p{L}\p{N}\x02])(?<!\x02n)") + ")", "\x02d$1\x04")
+    unit = r"(?<=\x04 )(" + "|".join(UNITS.split()) + r")(?![\p{L}\p{N}\x02])"
     measured = F.regexp_replace(F.lower(counted), unit, "\x02u$1\x03")
-    return F.regexp_extract_all(measured, F.lit("\x02[ndu]([^\x03]*)\x03"), F.lit(1))
+    return F.regexp_extract_all(measured, F.lit("\x02[ndu]([^\x03\x04]*)[\x03\x04]"), F.lit(1))
 
 
 def _next(hashes: Column, step: int) -> Column:

@@ -75,3 +75,20 @@ def test_short_items_long_text_and_empty_tables(spark):
     assert [r.doc_id for r in clean(docs, items).collect()] == [None]
     assert contaminated(docs.limit(0), items).count() == 0
     assert contaminated(docs, items.limit(0)).count() == 0
+
+
+def test_a_unit_word_behind_a_name_is_no_value(spark):
+    texts = ["Le soir Marie s'est assise.", "Paul l'a vu et Paul l'a dit.", "They met on Christmas day here.", "for Anna\x03 km, 5\x03 km, 5\x04 km and 7 km", "At Seven h, seven h; Anna h 5-7 h 3.5 % 2/3 m"]
+    rnd = random.Random(5)
+    parts = ["Anna", "Öl", "seven", "Seven", "12", "3.5", "km", "h", "%", "s", "l", "day", "a", "\x02", "\x03", "\x04", "'", ".", ",", "\n", "-", "é"]
+    texts += ["".join(rnd.choice(parts) + rnd.choice([" ", " ", " ", ""]) for _ in range(40)) for _ in range(300)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", template(F.col("t")).alias("a"), slot_values(F.col("t")).alias("b")).collect()
+    assert [r.t for r in rows if sum(w.startswith("\x02") for w in r.a) != len(r.b)] == []
+
+
+def test_verbatim_items_behind_a_name_and_a_unit_word(spark):
+    french = "dans la petite ville où habite Claire il y a 12 maisons et 12 jardins, mais la tante de Claire garde la plus vieille des maisons du bord."
+    english = "the old baker asks Peter for 30 loaves of bread, so Peter carries 30 loaves to the market place."
+    docs = [(1, "Le soir Marie s'est assise. " + french), (2, "They met on Christmas day here. " + english), (3, french), (4, english)]
+    got = {(d, i): (w, f) for d, i, w, f in run(spark, docs, [(7, french), (8, english)])}
+    assert set(got) == {(1, 7), (3, 7), (2, 8), (4, 8)} and all(w == f for w, f in got.values())
