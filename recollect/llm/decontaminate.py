@@ -7,12 +7,17 @@ parameters were changed.  The slots then have to be consistent: along one
 alignment of a text with an item, one value of the item always stands for one
 value of the text.  Windows that break this don't count.
 
+Windows that are mostly placeholders say too little.  Items that keep none (lists
+of names, sums, a few words) are looked for word by word, by the same join.
+
 Only DataFrame functions are used.  The items' windows are broadcast if there are
 at most ``BROADCAST_WINDOWS`` of them; otherwise the same join is shuffled.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,6 +63,17 @@ def slot_values(text: Column) -> Column:
     return F.regexp_extract_all(measured, F.lit("\x02[ndu]([^\x03\x04]*)[\x03\x04]"), F.lit(1))
 
 
+def plain(text: Column) -> Column:
+    """All words and digits of a text, lower-cased."""
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+
+#: The forms in which an item is looked for; a tie goes to the first.
+TEMPLATES, EXACT = (0,), 2
+TOKENS = {0: template, EXACT: plain}
+VALUES = {0: slot_values}
+
+
 def _next(hashes: Column, step: int) -> Column:
     """Hashes of windows twice as long, from those of windows of ``step`` tokens."""
     n = F.greatest(F.size(hashes) - F.lit(step), F.lit(0))
@@ -75,59 +91,94 @@ def _slots(tokens: Column) -> Column:
     return F.size(F.filter(tokens, lambda w: w.startswith(_SLOT)))
 
 
+def _hashes(rows: DataFrame, width: int) -> Column:
+    """Hashes of the windows of ``width`` tokens in rows(..., tokens, short, long)."""
+    if width in (SHORT, WINDOW):
+        return F.col("long" if width == WINDOW else "short")
+    have = F.transform("tokens", lambda w: F.xxhash64(w))
+    for step in range(1, width):
+        n = F.greatest(F.size("tokens") - F.lit(step), F.lit(0))
+        have = F.zip_with(F.slice(have, F.lit(1), n), F.slice(F.transform("tokens", lambda w: F.xxhash64(w)), F.lit(step + 1), n), lambda a, b: F.xxhash64(a, b))
+    return have
+
+
 def _item_windows(benchmark: DataFrame) -> DataFrame:
-    """(item_id, width, at, hash, windows): the windows with enough literal words, and how many an item has."""
-    rows = _windows(benchmark.withColumn("tokens", template(F.col("text"))))
-    width = F.when(F.size("tokens") >= WINDOW, F.lit(WINDOW)).when(F.size("tokens") >= SHORT, F.lit(SHORT))
-    rows = rows.withColumn("width", width).where("width is not null")
-    rows = rows.select("item", "item_id", "tokens", "width", F.posexplode_outer(F.when(F.col("width") == WINDOW, F.col("long")).otherwise(F.col("short"))).alias("at", "hash"))
-    part = F.slice("tokens", F.col("at") + 1, F.col("width"))
-    rows = rows.where(F.col("width") - _slots(part) >= F.col("width") * F.lit(LITERALS) / F.lit(WINDOW))
-    rows = rows.select("item", "item_id", "width", "at", "hash", (_slots(part) > 0).alias("slotted"))
-    return rows.join(rows.groupBy("item").agg(F.count(F.lit(1)).alias("windows")), "item")
+    """(item, item_id, form, width, at, hash, slotted, windows): the windows to look for, and how many the item has in that form.
+
+    A template's windows need enough literal words.  Items that a template leaves
+    without a window have those of their plain words, all of them.
+    """
+
+    def exploded(form: int, rows: DataFrame) -> DataFrame:
+        rows = _windows(rows.withColumn("tokens", TOKENS[form](F.col("text"))))
+        size = F.size("tokens")
+        rows = rows.withColumn("width", F.when(size >= WINDOW, F.lit(WINDOW)).when(size >= SHORT, F.lit(SHORT)).when((size > 0) & F.lit(form == EXACT), size))
+        hashes = F.when(F.col("width") == WINDOW, F.col("long")).when(F.col("width") == SHORT, F.col("short"))
+        for n in range(1, SHORT if form == EXACT else 1):
+            hashes = hashes.when(F.col("width") == n, _hashes(rows, n))
+        rows = rows.where("width is not null").select("item", "item_id", "text", "tokens", F.lit(form).alias("form"), "width", F.posexplode_outer(hashes).alias("at", "hash"))
+        part = F.slice("tokens", F.col("at") + 1, F.col("width"))
+        if form != EXACT:
+            rows = rows.where(F.col("width") - _slots(part) >= F.col("width") * F.lit(LITERALS) / F.lit(WINDOW))
+        return rows.select("item", "item_id", "form", "width", "at", "hash", (_slots(part) > 0).alias("slotted"))
+
+    rows = reduce(DataFrame.unionByName, [exploded(form, benchmark) for form in TEMPLATES])
+    seen = rows.groupBy("item").agg(F.count_distinct("form").alias("_n")).where(F.col("_n") == len(TEMPLATES))
+    rows = rows.unionByName(exploded(EXACT, benchmark.join(seen, "item", "left_anti")))
+    return rows.join(rows.groupBy("item", "form").agg(F.count(F.lit(1)).alias("windows")), ["item", "form"])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(doc_id, item_id, windows, found, share) for every text that holds at least ``share`` of an item's windows.
 
-    ``windows`` are the item's template windows with enough literal words, ``found``
-    those of them that the text holds with consistent slots.  Items of fewer than
-    four template tokens, null or empty items and texts match nothing.  Repeated
-    rows (of either table) and rows without an id repeat in the result.  Empty
-    tables give an empty result; other columns are not read.
+    ``windows`` are the item's windows in the form that the text holds most of,
+    ``found`` those of them that it holds, in a template with consistent slots.
+    An item that a template leaves without windows of enough literal words (fewer
+    than four tokens, mostly names or numbers) is also looked for word by word, as
+    a whole sequence if it has fewer than four words.  Items without a letter or
+    digit, null or empty items and texts match nothing.  Repeated rows (of either
+    table) and rows without an id repeat in the result.  Empty tables give an
+    empty result; other columns are not read.
     """
     rows = narrow(docs, doc_id, text).withColumn("content", content_key(F.col("text")))
     items = benchmark.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text"), F.md5(F.concat_ws("|", F.coalesce(F.col(item_id).cast("string"), F.lit("none")), item_text).cast("binary")).alias("item"))
     indexed = cut(_item_windows(items.dropDuplicates(["item"])))
-    count, short = indexed.agg(F.count(F.lit(1)), F.coalesce(F.max(F.col("width") < WINDOW), F.lit(False))).first()
-    keys = indexed.select("item", "width", F.col("at").alias("item_at"), "hash", "slotted")
-    keys = F.broadcast(keys) if count <= BROADCAST_WINDOWS else keys
-    # the outer form: the plain one would infer a filter that computes the hashes once more
-    texts = _windows(rows.select("content", template(F.col("text")).alias("tokens")))
-    found = texts.select("content", F.lit(WINDOW).alias("width"), F.posexplode_outer("long").alias("at", "hash"))
-    if short:
-        found = found.unionByName(texts.select("content", F.lit(SHORT).alias("width"), F.posexplode_outer("short").alias("at", "hash")))
-    matches = cut(found.join(keys, ["hash", "width"]).select("content", "item", "width", "at", "item_at", "slotted").distinct())
+    kinds = sorted(tuple(r) for r in indexed.groupBy("form", "width").count().collect())
+    count = sum(n for _, _, n in kinds)
+    found = []
+    for form, width, _ in kinds or [(TEMPLATES[0], WINDOW, 0)]:
+        keys = indexed.where((F.col("form") == form) & (F.col("width") == width)).select("item", F.col("at").alias("item_at"), "hash", "slotted")
+        keys = F.broadcast(keys) if count <= BROADCAST_WINDOWS else keys
+        # the outer form: the plain one would infer a filter that computes the hashes once more
+        texts = _windows(rows.select("content", TOKENS[form](F.col("text")).alias("tokens")))
+        texts = texts.select("content", F.lit(form).alias("form"), F.lit(width).alias("width"), F.posexplode_outer(_hashes(texts, width)).alias("at", "hash"))
+        found.append(texts.join(keys, "hash").select("content", "item", "form", "width", "at", "item_at", "slotted"))
+    matches = cut(reduce(DataFrame.unionByName, found).distinct())
 
     # values at the slots of both sides, for the windows that have any
+    def valued(rows: DataFrame, key: str, tokens: str, values: str) -> DataFrame:
+        forms = [F.struct(F.lit(form).alias("form"), TOKENS[form](F.col("text")).alias(tokens), VALUES[form](F.col("text")).alias(values)) for form in TEMPLATES]
+        return rows.select(key, F.explode(F.array(*forms)).alias("_form")).select(key, "_form.*")
+
     slotted = matches.where("slotted")
-    values = rows.join(slotted.select("content").distinct(), "content", "left_semi").dropDuplicates(["content"]).select("content", template(F.col("text")).alias("tokens"), slot_values(F.col("text")).alias("values"))
-    wanted = items.dropDuplicates(["item"]).select("item", template(F.col("text")).alias("item_tokens"), slot_values(F.col("text")).alias("item_values"))
+    values = valued(rows.join(slotted.select("content").distinct(), "content", "left_semi").dropDuplicates(["content"]), "content", "tokens", "values")
+    wanted = valued(items.dropDuplicates(["item"]), "item", "item_tokens", "item_values")
 
     def at_slots(tokens: str, values: str, at: str) -> Column:
         return F.slice(values, _slots(F.slice(tokens, F.lit(1), F.col(at))) + 1, _slots(F.slice(tokens, F.col(at) + 1, F.col("width"))))
 
-    pairs = slotted.join(values, "content").join(F.broadcast(wanted) if count <= BROADCAST_WINDOWS else wanted, "item")
-    pairs = pairs.select("content", "item", "at", "item_at", F.explode_outer(F.arrays_zip(at_slots("item_tokens", "item_values", "item_at").alias("theirs"), at_slots("tokens", "values", "at").alias("ours"))).alias("pair"))
-    pairs = pairs.select("content", "item", (F.col("at") - F.col("item_at")).alias("shift"), "at", "item_at", "pair.theirs", "pair.ours")
-    split = pairs.groupBy("content", "item", "shift", "theirs").agg(F.count_distinct(F.coalesce("ours", F.lit(""))).alias("n")).where("n > 1").drop("n")
-    broken = pairs.join(split, ["content", "item", "shift", "theirs"], "left_semi").select("content", "item", "at", "item_at").distinct()
-    good = matches.join(broken, ["content", "item", "at", "item_at"], "left_anti")
-    held = good.groupBy("content", "item").agg(F.count_distinct("item_at").alias("found"))
-    named = indexed.select("item", "windows").distinct()
-    verdicts = held.join(named, "item").withColumn("share", F.col("found") / F.col("windows")).where(F.col("share") >= share)
+    pairs = slotted.join(values, ["content", "form"]).join(F.broadcast(wanted) if count <= BROADCAST_WINDOWS else wanted, ["item", "form"])
+    pairs = pairs.select("content", "item", "form", "at", "item_at", F.explode_outer(F.arrays_zip(at_slots("item_tokens", "item_values", "item_at").alias("theirs"), at_slots("tokens", "values", "at").alias("ours"))).alias("pair"))
+    pairs = pairs.select("content", "item", "form", (F.col("at") - F.col("item_at")).alias("shift"), "at", "item_at", "pair.theirs", "pair.ours")
+    split = pairs.groupBy("content", "item", "form", "shift", "theirs").agg(F.count_distinct(F.coalesce("ours", F.lit(""))).alias("n")).where("n > 1").drop("n")
+    broken = pairs.join(split, ["content", "item", "form", "shift", "theirs"], "left_semi").select("content", "item", "form", "at", "item_at").distinct()
+    good = matches.join(broken, ["content", "item", "form", "at", "item_at"], "left_anti")
+    held = good.groupBy("content", "item", "form").agg(F.count_distinct("item_at").alias("found"))
+    named = indexed.select("item", "form", "windows").distinct()
+    verdicts = held.join(named, ["item", "form"]).withColumn("share", F.col("found") / F.col("windows")).where(F.col("share") >= share)
+    best = verdicts.groupBy("content", "item").agg(F.max(F.struct("share", (-F.col("form")).alias("form"), "windows", "found")).alias("best")).select("content", "item", "best.windows", "best.found", "best.share")
     ids = items.select("item", "item_id")
-    return rows.select("doc_id", "content").join(verdicts, "content").join(ids, "item").select("doc_id", "item_id", "windows", "found", "share")
+    return rows.select("doc_id", "content").join(best, "content").join(ids, "item").select("doc_id", "item_id", "windows", "found", "share")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, share: float = 0.5) -> DataFrame:

@@ -92,3 +92,9 @@ def test_verbatim_items_behind_a_name_and_a_unit_word(spark):
     docs = [(1, "Le soir Marie s'est assise. " + french), (2, "They met on Christmas day here. " + english), (3, french), (4, english)]
     got = {(d, i): (w, f) for d, i, w, f in run(spark, docs, [(7, french), (8, english)])}
     assert set(got) == {(1, 7), (3, 7), (2, 8), (4, 8)} and all(w == f for w, f in got.values())
+
+
+def test_items_without_literal_words_are_found_word_by_word(spark):
+    items = [(1, "Compute 12 + 45 + 78 + 3 + 9 - 14 + 88 + 20."), (2, "Anna Smith, Bob Miller, Carl Jones, Dora Brown, Emil Stone, Fred White"), (3, "What is love?"), (4, "Why 7"), (5, "Zugzwang!"), (6, "12 + 30 + 45 + 7"), (7, "?!"), (8, None)]
+    docs = [(i, f"Some words, before: {t} And after it.") for i, t in items if t] + [(11, items[0][1].replace("45", "46")), (12, "love is what"), (13, "what is\nLOVE"), (14, "7 why")]
+    assert run(spark, docs, items) == [(1, 1, 2, 2), (13, 3, 1, 1), (2, 2, 5, 5), (3, 3, 1, 1), (4, 4, 1, 1), (5, 5, 1, 1), (6, 6, 1, 1)]
