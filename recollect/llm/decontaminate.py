@@ -7,6 +7,10 @@ parameters were changed.  The slots then have to be consistent: along one
 alignment of a text with an item, one value of the item always stands for one
 value of the text.  Windows that break this don't count.
 
+A capital at the start of a sentence may be a name or not, so there are two
+templates of every text and item: one takes such words literally, the open one
+takes all of them as names.  An item is found by the one that holds more of it.
+
 Windows that are mostly placeholders say too little.  Items that keep none (lists
 of names, sums, a few words) are looked for word by word, by the same join.
 
@@ -16,7 +20,7 @@ at most ``BROADCAST_WINDOWS`` of them; otherwise the same join is shuffled.
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,6 +39,9 @@ _NAME = r"(?<=[\p{L}\p{N},;][ \t])\p{Lu}\p{Ll}+(?![\p{L}\p{N}])"
 _NUMBER = r"(?<![\p{L}\p{N}\x02])(?:[0-9]+(?:[.,:/][0-9]+)*|(?i:" + "|".join(NUMBER_WORDS.split()) + r"))(?![\p{L}\p{N}])"
 _UNIT = r"(?<=\x02d )(?:" + "|".join(UNITS.split()) + r")(?![\p{L}\p{N}\x02])"
 _SLOT = "\x02"
+# in open templates every capitalised word may be a name, wherever it stands
+_ANY_NAME = r"(?<![\p{L}\p{N}])\p{Lu}\p{Ll}+(?![\p{L}\p{N}])"
+_GLUED = r"(?<![\p{L}\p{N}])([0-9]+(?:[.,:/][0-9]+)*)((?i:" + "|".join(UNITS.split()) + r"))(?![\p{L}\p{N}])"
 
 
 def _clean(text: Column) -> Column:
@@ -42,21 +49,30 @@ def _clean(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), "\x02\x03\x04", "   ")
 
 
-def template(text: Column) -> Column:
-    """Template tokens of a text: lower-case words, and \\x02n, \\x02d, \\x02u for a name, number, unit."""
-    named = F.regexp_replace(_clean(text), _NAME, _SLOT + "n")
+def _apart(text: Column) -> Column:
+    """The clean text with a blank between a number and the unit glued to it."""
+    return F.regexp_replace(_clean(text), _GLUED, "$1 $2")
+
+
+def template(text: Column, opened: bool = False) -> Column:
+    """Template tokens of a text: lower-case words, and \\x02n, \\x02d, \\x02u for a name, number, unit.
+
+    ``opened``: every capitalised word is a name, also where a sentence, line or
+    quotation begins, and a unit glued to its number (``20km``) is a unit.
+    """
+    named = F.regexp_replace(_apart(text) if opened else _clean(text), _ANY_NAME if opened else _NAME, _SLOT + "n")
     counted = F.regexp_replace(named, _NUMBER, _SLOT + "d")
     measured = F.regexp_replace(F.lower(counted), _UNIT, _SLOT + "u")
     return F.filter(F.split(measured, r"[^\p{L}\p{N}\x02]+"), lambda w: w != "")
 
 
-def slot_values(text: Column) -> Column:
+def slot_values(text: Column, opened: bool = False) -> Column:
     """What stood at the placeholders of a text, lower-cased, in order.
 
     The text is split at its names and numbers the same way, each kept between
     two marks; a number's closing mark is its own, and only behind it is a unit taken.
     """
-    named = F.regexp_replace(_clean(text), f"({_NAME})", "\x02n$1\x03")
+    named = F.regexp_replace(_apart(text) if opened else _clean(text), f"({_ANY_NAME if opened else _NAME})", "\x02n$1\x03")
     counted = F.regexp_replace(named, "(" + _NUMBER.replace(r"(?<![\p{L}\p{N}\x02])", r"(?<![\p{L}\p{N}\x02])(?<!\x02n)") + ")", "\x02d$1\x04")
     unit = r"(?<=\x04 )(" + "|".join(UNITS.split()) + r")(?![\p{L}\p{N}\x02])"
     measured = F.regexp_replace(F.lower(counted), unit, "\x02u$1\x03")
@@ -69,9 +85,9 @@ def plain(text: Column) -> Column:
 
 
 #: The forms in which an item is looked for; a tie goes to the first.
-TEMPLATES, EXACT = (0,), 2
-TOKENS = {0: template, EXACT: plain}
-VALUES = {0: slot_values}
+TEMPLATES, EXACT = (0, 1), 2
+TOKENS = {0: template, 1: partial(template, opened=True), EXACT: plain}
+VALUES = {0: slot_values, 1: partial(slot_values, opened=True)}
 
 
 def _next(hashes: Column, step: int) -> Column:
