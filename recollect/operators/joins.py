@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -68,37 +70,48 @@ def supersede_chain(facts: DataFrame, keys: list[str], value: str, order: list[s
     return linked.withColumn("is_current", F.col("superseded_by").isNull())
 
 
-def vector_knn(queries: DataFrame, vectors: DataFrame, k: int, least: float, max_queries: int = 10_000) -> DataFrame:
-    """(query_id, vec_id, similarity, rank): the k nearest by cosine of a bounded query table.
+def vector_knn(queries: DataFrame, vectors: DataFrame, k: int, least: float, max_queries: int | None = None, block: int = 10_000) -> DataFrame:
+    """(query_id, vec_id, similarity, rank): the k nearest by cosine of every query.
 
     The vectors stream past the broadcast queries; each task keeps its own best k a
-    query, so what is shuffled does not grow with queries times vectors.  More than
-    ``max_queries`` queries are refused: deal them into blocks of their own.
+    query, so what is shuffled does not grow with queries times vectors.  Queries
+    are dealt by hash of the id into blocks of about ``block``, so the vectors are
+    read once a block and only one block is in a task's memory.  Only a caller who
+    gives ``max_queries`` has more than that refused.
     """
     import numpy as np
     import pandas as pd
 
-    asked = queries.select("query_id", "embedding").limit(max_queries + 1).toPandas()
-    if len(asked) > max_queries:
-        raise ValueError(f"over {max_queries} queries: run them in blocks")
-    ids = asked["query_id"].to_numpy()
-    q = np.array(asked["embedding"].tolist(), dtype=np.float64).reshape(len(asked), -1)
-    q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
-    shared = vectors.sparkSession.sparkContext.broadcast((ids, q))
-
-    def best(batches):
-        ids, q = shared.value
-        kept = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "similarity": pd.Series(dtype="float64")})
-        for batch in batches:
-            if batch.empty or not len(ids):
-                continue
-            v = np.array(batch["embedding"].tolist(), dtype=np.float64)
-            v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
-            i, j = np.nonzero((s := q @ v.T) >= least)
-            kept = pd.concat([kept, pd.DataFrame({"query_id": ids[i], "vec_id": batch["vec_id"].to_numpy()[j], "similarity": s[i, j]})])
-            kept = kept.sort_values(["query_id", "similarity", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k)
-        yield kept
-
-    near = vectors.select("vec_id", "embedding").mapInPandas(best, "query_id long, vec_id long, similarity double")
-    ranked = near.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")))
+    asked = queries.select("query_id", "embedding")
+    count = asked.count()
+    if max_queries is not None and count > max_queries:
+        raise ValueError(f"over {max_queries} queries")
+    blocks = max(1, -(-count // block))
+
+    def near(number: int) -> DataFrame:
+        some = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == number).toPandas()
+        ids = some["query_id"].to_numpy()
+        q = np.array(some["embedding"].tolist(), dtype=np.float64).reshape(len(some), -1)
+        q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-12)
+        shared = vectors.sparkSession.sparkContext.broadcast((ids, q))
+
+        def best(batches):
+            ids, q = shared.value
+            kept = pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "similarity": pd.Series(dtype="float64")})
+            for batch in batches:
+                if batch.empty or not len(ids):
+                    continue
+                v = np.array(batch["embedding"].tolist(), dtype=np.float64)
+                v = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+                step = max(1, 2_000_000 // len(ids))  # of at most 16 MB of similarities
+                for at in range(0, len(v), step):
+                    i, j = np.nonzero((s := q @ v[at : at + step].T) >= least)
+                    kept = pd.concat([kept, pd.DataFrame({"query_id": ids[i], "vec_id": batch["vec_id"].to_numpy()[at + j], "similarity": s[i, j]})])
+                    kept = kept.sort_values(["query_id", "similarity", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k)
+            yield kept
+
+        return vectors.select("vec_id", "embedding").mapInPandas(best, "query_id long, vec_id long, similarity double")
+
+    found = reduce(DataFrame.unionByName, [near(number) for number in range(blocks)])
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "vec_id")))
     return ranked.where(F.col("rank") <= k)

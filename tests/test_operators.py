@@ -76,6 +76,20 @@ def test_vector_knn(spark):
         joins.vector_knn(asked.union(asked), vectors, 2, 0.1, max_queries=1)
 
 
+def test_vector_knn_in_blocks(spark):
+    rnd = random.Random(2)
+    rows = [(i, [rnd.gauss(0, 1) for _ in range(6)]) for i in range(60)]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    asked = vectors.where("vec_id < 40").withColumnRenamed("vec_id", "query_id")
+
+    def found(**more):
+        return sorted((r.query_id, r.vec_id, r["rank"], round(r.similarity, 9)) for r in joins.vector_knn(asked, vectors, 3, 0.1, **more).collect())
+
+    assert found(block=7) == found() and {r[0] for r in found(block=7)} == set(range(40))
+    big = spark.range(10_001).selectExpr("id as query_id", "array(float(id), 1f) as embedding")
+    assert joins.vector_knn(big, vectors.selectExpr("vec_id", "slice(embedding, 1, 2) as embedding"), 1, -1.0).count() == 10_001
+
+
 def test_answer_metrics(spark):
     df = spark.createDataFrame([("The  Cat!", "a cat"), ("", "x"), ("x x y", "y z")], "p string, t string")
     got = df.select(evaluation.exact_match(F.col("p"), F.col("t")).alias("e"), evaluation.token_f1(F.col("p"), F.col("t")).alias("f")).collect()
