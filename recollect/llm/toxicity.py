@@ -27,11 +27,31 @@ from recollect.llm.quality_rules import fold
 WINDOW, STRIDE = 48, 32
 BITS = 16  # hashed inputs: 65,536 words and as many n-grams
 GRAMS = (3, 6, 8)  # bytes, the marks at both ends of a word included; every word has one of the least
+PIECE = 64  # bytes; a longer word enters as pieces of so many
 EMBED, HIDDEN = 4, 8
 WORD_DROPOUT = 0.4  # share of words whose word input is hidden in a training step
 BLOCK = 4096  # windows scored at once
 
 
+def _steps(data: np.ndarray, offsets: np.ndarray) -> Words:
+    """The lower-cased words of some texts, a long word in pieces that overlap by the longest n-gram.
+
+    So no byte and no n-gram of a text without blanks is left out.
+    """
+    words = Words(data, offsets, lower=True)
+    stride = PIECE - max(GRAMS)
+    count = 1 + np.maximum(0, -(-(words.ends - words.starts - PIECE) // stride))
+    if (count > 1).any():
+        word = np.repeat(np.arange(len(count)), count)
+        number = np.arange(len(word)) - np.repeat(np.cumsum(count) - count, count)
+        ends = words.ends[word]
+        words.starts = words.starts[word] + number * stride
+        words.ends = np.minimum(words.starts + PIECE, ends)
+        words.text_of = words.text_of[word]
+        words.first = np.searchsorted(words.starts, words.offsets)
+    return words
+
+
 def _slots(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(64 - BITS)).astype(np.int32)
 
@@ -66,7 +86,7 @@ class Vocabulary:
         hashes = words.hashes()
         unique, first, number = np.unique(hashes, return_index=True, return_inverse=True)
         starts, ends = words.starts[first], words.ends[first]
-        length = np.minimum(ends - starts, 64)
+        length = ends - starts
         # each word between two marks, in one buffer, so that n-grams see where it begins and ends
         begin = np.concatenate([[0], np.cumsum(length + 2)])
         owner = np.repeat(np.arange(len(unique)), length + 2)
@@ -246,7 +266,7 @@ def fit_network(texts: list[str | None], labels: np.ndarray, steps: int = 160, b
     base = float((labels.sum() + 0.5) / (len(labels) + 1))
     parts, hashes, sizes, odds = [], [], [], (_Odds(8), _Odds(20))
     for row, end, data, offsets in chunks(pa.array([t or "" for t in texts], pa.large_string())):
-        words = Words(data, offsets, lower=True)
+        words = _steps(data, offsets)
         vocabulary, number = Vocabulary.of(words)
         pairs = np.unique(words.text_of << 32 | number)
         of_word = vocabulary.part(pairs & 0xFFFFFFFF)
@@ -320,7 +340,7 @@ def _score_rows(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         network = shared.value
         for batch in batches:
-            scores = [_scores(network, Words(data, offsets, lower=True)) for _, _, data, offsets in chunks(batch.column("text"))]
+            scores = [_scores(network, _steps(data, offsets)) for _, _, data, offsets in chunks(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate([np.zeros(0), *scores]))], names=["doc_id", "score"])
 
     return run
@@ -332,8 +352,8 @@ def score_toxicity(docs: DataFrame, network: Network, doc_id: str = "doc_id", te
     A null, empty or blank text has no window and gets the share of toxic rows
     among the labelled ones.  Every text is scored whole and alone, so repeated
     rows score alike; an empty table gives an empty result.  Other columns are
-    not read.  A word of over 64 bytes counts whole as a word; its n-grams are
-    those of the first 64 bytes.
+    not read.  A word of over 64 bytes counts as several, overlapping pieces of
+    64 bytes, so texts without blanks are scored whole too.
     """
     kind = dict(docs.dtypes)[doc_id]
     shared = docs.sparkSession.sparkContext.broadcast(network)

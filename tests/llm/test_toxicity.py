@@ -78,3 +78,26 @@ def test_held_out_accuracy(spark):
     net = train(docs, labels)
     rows = score_toxicity(docs, net).join(labels, "doc_id").where(fold(F.col("doc_id"), 5) == 0).select("score", "toxic").toPandas()
     assert ((rows.score >= 0.5) == (rows.toxic == 1)).mean() > 0.85
+
+
+def test_texts_without_blanks_are_read_whole():
+    import pyarrow as pa
+
+    from recollect.llm._text import text_buffers
+
+    texts = ["", "x" * 64, "y" * 65, "a " + "z" * 500 + " b", None, "\u8bcd" * 300]
+    words = toxicity._steps(*text_buffers(pa.array(texts, pa.large_string())))
+    assert (words.ends - words.starts).max() <= 64
+    for i, t in enumerate(texts):
+        whole = {p for w in range(words.first[i], words.first[i + 1]) for p in range(words.starts[w], words.ends[w] - 7)}
+        raw = words.data[words.offsets[i] : words.offsets[i + 1]].tobytes()
+        assert whole == {words.offsets[i] + p for p in range(len(raw) - 7) if b" " not in raw[p : p + 8]}, t
+    rnd = random.Random(4)
+    signs = [chr(0x4E00 + i) for i in range(60)]
+    plain = ["".join(rnd.choices(signs, k=rnd.randint(40, 200))) for _ in range(300)]
+    labels = np.array([i % 3 == 0 for i in range(300)], dtype=int)
+    marked = [t[:35] + "\u9f8d\u9f9c" + t[35:] if y else t for t, y in zip(plain, labels, strict=True)]
+    network = fit_network(marked, labels)
+    fresh = ["".join(rnd.choices(signs, k=150)) for _ in range(20)]
+    scores = [toxicity._scores(network, toxicity._steps(*text_buffers(pa.array(x, pa.large_string())))) for x in (fresh, [t[:120] + "\u9f8d\u9f9c" + t[120:] for t in fresh])]
+    assert (scores[1] > scores[0]).all()
