@@ -61,37 +61,38 @@ FROM s LEFT JOIN f USING (page_id)
 
 _SUBSETS = ", ".join(f"({j}, {a}, {b}, {rate})" for j, ((a, b), rate) in enumerate(zip(subset_factors(), RATES, strict=True), 1))
 OP4 = rf"""
-WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, coalesce(text, '') AS t FROM documents),
-e AS (
+WITH d AS MATERIALIZED (SELECT row_number() OVER (ORDER BY doc_id) AS r, doc_id, coalesce(text, '') AS t FROM documents),
+e AS MATERIALIZED (
   SELECT a.r, b.r AS next, a.doc_id, length(a.t) AS n, a.t, left(a.t, length(a.t) - length(a.t) // 2) || left(b.t, length(a.t) // 2) AS changed
   FROM d a JOIN d b ON b.r = a.r % (SELECT count(*) FROM d) + 1
 ), k AS (SELECT r, 0 AS kind, t FROM e UNION ALL SELECT r, 1, changed FROM e
-), w AS (
+), w AS MATERIALIZED (
   SELECT DISTINCT r, kind, unnest(regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+')) AS w FROM k
-), s AS (SELECT DISTINCT r, kind, CAST('0x' || left(md5(w), 6) AS BIGINT) AS slot FROM w
+), term AS MATERIALIZED (
+  SELECT w, CAST('0x' || left(h, 6) AS BIGINT) AS slot, CAST('0x' || substr(h, 9, 8) AS BIGINT) AS v FROM (SELECT w, md5(w) AS h FROM (SELECT DISTINCT w FROM w))
 ), band AS (
-  SELECT slot FROM s WHERE kind = 0 GROUP BY slot
+  SELECT slot FROM w JOIN term USING (w) WHERE kind = 0 GROUP BY slot
   HAVING count(*) >= pow((SELECT count(*) FROM d), 1 - 0.9) AND count(*) <= pow((SELECT count(*) FROM d), 1 - 0.15)
-), m AS (SELECT s.*, band.slot IS NOT NULL AS kept FROM s LEFT JOIN band USING (slot)
-), u AS (SELECT r, kind, slot FROM (SELECT *, bool_or(kept) OVER (PARTITION BY r, kind) AS held FROM m) WHERE kept OR NOT held
 ), f(j, a, b, rate) AS (VALUES {_SUBSETS}
-), part AS (
-  SELECT r, kind, 0 AS j, slot FROM u UNION ALL SELECT r, kind, j, slot FROM u JOIN f ON (slot * a + b) % 2147483647 % rate = 0
-), sig AS (SELECT r, kind, j, left(md5(string_agg(CAST(slot AS VARCHAR), ',' ORDER BY slot)), 8) AS h FROM part GROUP BY r, kind, j
-), grid AS (
-  SELECT k.r, k.kind, g.j, CASE WHEN g.j = 0 THEN coalesce(h, left(md5(''), 8)) ELSE coalesce(h, '') END AS h
-  FROM k CROSS JOIN (SELECT unnest(range(0, {len(RATES) + 1})) AS j) g LEFT JOIN sig ON sig.r = k.r AND sig.kind = k.kind AND sig.j = g.j
-), p AS (SELECT r, kind, string_agg(h, ' ' ORDER BY j) AS print FROM grid GROUP BY r, kind
-), pairs AS (SELECT r, r AS other, 1 AS kind FROM e UNION ALL SELECT r, next, 0 FROM e
-), near AS (
-  SELECT pairs.r, pairs.kind, coalesce(CAST(count(*) FILTER (x.j > 0 AND x.h = y.h AND x.h <> '') AS DOUBLE) / nullif(count(*) FILTER (x.j > 0 AND (x.h <> '' OR y.h <> '')), 0), 0) AS share
-  FROM pairs JOIN grid x ON x.r = pairs.r AND x.kind = 0 JOIN grid y ON y.r = pairs.other AND y.kind = pairs.kind AND y.j = x.j
-  GROUP BY pairs.r, pairs.kind
+), lies AS MATERIALIZED (
+  SELECT w, v, kept, unnest(list_prepend(0, js)) AS j FROM (
+    SELECT term.w, v, band.slot IS NOT NULL AS kept, coalesce(js, []) AS js FROM term LEFT JOIN band USING (slot)
+    LEFT JOIN (SELECT slot, list(j) AS js FROM (SELECT DISTINCT slot FROM term) s JOIN f ON (s.slot * a + b) % 2147483647 % rate = 0 GROUP BY slot) USING (slot))
+), held AS (SELECT DISTINCT r, kind FROM w JOIN lies USING (w) WHERE kept AND j = 0
+), sig AS (
+  SELECT r, kind, j, CAST(sum(v) % 4294967296 AS BIGINT) AS h
+  FROM w JOIN lies USING (w) LEFT JOIN held USING (r, kind) WHERE kept OR held.r IS NULL GROUP BY r, kind, j
+), grid AS MATERIALIZED (
+  SELECT g.r, g.kind, g.j, coalesce(h, 0) AS h FROM (SELECT r, kind, unnest(range(0, {len(RATES) + 1})) AS j FROM k) g LEFT JOIN sig USING (r, kind, j)
+), p AS MATERIALIZED (SELECT r, kind, string_agg(format('{{:08x}}', h), ' ' ORDER BY j) AS print, list(h ORDER BY j) AS hs FROM grid GROUP BY r, kind
+), beside AS (
+  SELECT e.*, p0.print AS own, p1.print AS edited, list_zip(p0.hs, p1.hs)[2:] AS z1, list_zip(p0.hs, p2.hs)[2:] AS z0, p2.print AS after
+  FROM e JOIN p p0 ON p0.r = e.r AND p0.kind = 0 JOIN p p1 ON p1.r = e.r AND p1.kind = 1 JOIN p p2 ON p2.r = e.next AND p2.kind = 0
 )
-SELECT e.doc_id, e.n AS n_chars, sha256(e.changed) AS edited_sha256, p0.print AS fingerprint, p1.print AS edited_fingerprint,
-  CASE WHEN p0.print = p1.print THEN 1.0 ELSE n1.share END AS near_edited, CASE WHEN p0.print = p2.print THEN 1.0 ELSE n0.share END AS near_next
-FROM e JOIN p p0 ON p0.r = e.r AND p0.kind = 0 JOIN p p1 ON p1.r = e.r AND p1.kind = 1 JOIN p p2 ON p2.r = e.next AND p2.kind = 0
-JOIN near n1 ON n1.r = e.r AND n1.kind = 1 JOIN near n0 ON n0.r = e.r AND n0.kind = 0
+SELECT doc_id, n AS n_chars, sha256(changed) AS edited_sha256, own AS fingerprint, edited AS edited_fingerprint,
+  CASE WHEN own = edited THEN 1.0 ELSE len(list_filter(z1, lambda x: x[1] = x[2] AND x[1] <> 0)) / greatest(1, len(list_filter(z1, lambda x: x[1] <> 0 OR x[2] <> 0))) END AS near_edited,
+  CASE WHEN own = after THEN 1.0 ELSE len(list_filter(z0, lambda x: x[1] = x[2] AND x[1] <> 0)) / greatest(1, len(list_filter(z0, lambda x: x[1] <> 0 OR x[2] <> 0))) END AS near_next
+FROM beside
 """
 
 OP5 = r"""
