@@ -1,79 +1,124 @@
 """Whole-text tokenization with the tokenizers library, unit by unit.
 
-A text is cut at single spaces between two other characters.  No token of the
-tokenizers used here spans such a place, so the ids of the whole text are those
-of its units in turn; a unit (a word with the space before it) is encoded by the
-library once and remembered.  The memory is bounded and starts anew when full.
+A text is cut where no token of the tokenizer spans: at single spaces and line ends
+between two other characters, and between a letter and a run of punctuation at the
+end of a word.  So the ids of the whole text are those of its units in turn.  Units
+are told apart by 128 bits of hash; the library encodes each once, and its ids are
+remembered.  The memory is bounded: when it is full, the half not used for longest goes.
+
+Which cuts a tokenizer allows is tried out when it is loaded; a cut that changes
+ids is not made.
 """
 
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Sequence
-from itertools import chain
-from string import ascii_uppercase
 
 import numpy as np
+import pyarrow as pa
 
-REMEMBERED = 800_000  # units; about 150 MB
-TAIL = ".,!?;:*#$%&|)"  # runs of these behind a letter are tokens of their own
-TOGETHER = 1000  # new units of one call to the library
-_MARKS = ("\n", " \x01 ")  # one of them is a token of its own between two units
-_CUT = re.compile(r"(?<=\S) (?=\S)")
-_ENCODERS: dict[str, UnitEncoder] = {}
-
-
-class _Numbers(dict):
-    """Numbers for units; a new unit goes to ``fresh`` with what stands before it."""
+from recollect.llm._text import _LOWER, BASES, chunks, mix, spans
 
-    def __init__(self, before: str, fresh: list[str], count: list[int]):
-        super().__init__()
-        self.before, self.fresh, self.count = before, fresh, count
-
-    def __missing__(self, unit: str) -> int:
-        number = self[unit] = self.count[0]
-        self.count[0] += 1
-        self.fresh.append(self.before + unit)
-        return number
+REMEMBERED = 1_000_000  # units; about 80 MB
+TOGETHER = 1000  # new units of one call to the library
+TAIL = ".,!?;:*#$%&|)"
+_MARKS = (" \x01 ", "\n")  # one of them is a token of its own between two units
+_ENCODERS: dict[tuple[str, bool], UnitEncoder] = {}
+
+_BLANK = np.zeros(256, dtype=bool)
+_BLANK[[*range(0x09, 0x0E), *range(0x1C, 0x21)]] = True
+_WIDE = [b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", *(b"\xe2\x80" + bytes([x]) for x in [*range(0x80, 0x8B), 0xA8, 0xA9, 0xAF]), b"\xe2\x81\x9f", b"\xe3\x80\x80"]  # white space beyond ASCII
+_TAIL = np.zeros(256, dtype=bool)
+_TAIL[list(TAIL.encode())] = True
+_LETTER = np.zeros(256, dtype=bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+
+
+def _blanks(data: np.ndarray) -> np.ndarray:
+    """Which bytes belong to white space."""
+    out = _BLANK[data]
+    for lead in {w[0] for w in _WIDE}:
+        at = np.flatnonzero(data == lead)
+        for w in (w for w in _WIDE if w[0] == lead):
+            some = at[at + len(w) <= len(data)]
+            some = some[np.logical_and.reduce([data[some + i] == b for i, b in enumerate(w)])]
+            for i in range(len(w)):
+                out[some + i] = True
+    return out
 
 
 class UnitEncoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, special_as_text: bool = False):
+        """``special_as_text``: the strings of special tokens in a text are ordinary text; by default they are those tokens."""
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark deals out the work
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        for mark in _MARKS:
-            got = self.tokenizer.encode(f" a{mark} b", add_special_tokens=False).ids
-            apart = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in (" a", " b")]
-            if len(got) == 3 and [got[:1], got[2:]] == apart:
-                self.mark, self.mark_id = mark, got[1]
-                break
-        else:
-            raise ValueError(f"no mark keeps units apart in {path}")
-        same = [self.tokenizer.encode(x, add_special_tokens=False).ids for x in (f" {ascii_uppercase} Ab\u00c4", f" {ascii_uppercase} Ab\u00c4".lower())]
-        self.fold = same[0] == same[1]  # a tokenizer that lower-cases has fewer units if A-Z are lower-cased before
-        self.forget()
+        self.tokenizer.encode_special_tokens = special_as_text
+        self.mark, self.mark_id = next(((m, self._ids(f" a{m} b")[1]) for m in _MARKS if self._apart(" a", m, " b") and len(self._ids(f" a{m} b")) == 3), (None, -1))
+        words = ["a", "Ab", "Zqé", "Äß", "é", "x1", "7", "?!", "日", "'s", "(a)"]
+        self.at_space = all(self._apart(a, f" {b}") for a in words for b in words)
+        self.at_line = all(self._apart(a, "\n", b) for a in words for b in words)
+        runs = [*TAIL, *(a + b for a in TAIL for b in TAIL)]
+        self.at_tail = all(self._apart(a, r) and self._apart(f" {a}", r) for a in words[:5] for r in runs)
+        upper = " ABCDEFGHIJKLMNOPQRSTUVWXYZ AbÄ"
+        self.fold = self._ids(upper) == self._ids(upper.lower())  # it lower-cases, so there are fewer units if A-Z are lower-cased before
+        self.key = np.zeros((2, 0), np.uint64)  # hashes of the remembered units, in order of the first
+        self.begin, self.size, self.used = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.pool, self.turn = np.zeros(0, np.uint32), 0
 
     @classmethod
-    def at(cls, path: str) -> UnitEncoder:
+    def at(cls, path: str, special_as_text: bool = False) -> UnitEncoder:
         """The encoder of this Python worker for a file."""
-        if path not in _ENCODERS:
-            _ENCODERS[path] = cls(path)
-        return _ENCODERS[path]
-
-    def forget(self) -> None:
-        self.fresh: list[str] = []
-        self.count = [0]
-        self.first, self.rest = _Numbers("", self.fresh, self.count), _Numbers(" ", self.fresh, self.count)
-        self.ids, self.ends = np.zeros(0, np.uint32), np.zeros(0, np.int64)
-        self.whole = np.zeros(0, dtype=bool)  # whether a unit may stand alone
+        key = (path, special_as_text)
+        if key not in _ENCODERS:
+            _ENCODERS[key] = cls(*key)
+        return _ENCODERS[key]
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _apart(self, *parts: str) -> bool:
+        return self._ids("".join(parts)) == [i for p in parts for i in self._ids(p)]
+
+    def _units(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where each unit begins, and the number of units before each text; no unit spans texts."""
+        n = len(data)
+        begins = np.zeros(n + 1, dtype=bool)
+        begins[offsets] = True
+        if self.at_space or self.at_line:
+            blank = _blanks(data)
+            lone = np.zeros(n, dtype=bool)
+            lone[1:-1] = blank[1:-1] & ~blank[:-2] & ~blank[2:]
+            edges = np.concatenate([offsets[:-1], offsets[1:] - 1])
+            lone[edges[(edges >= 0) & (edges < n)]] = False
+            if self.at_space:
+                begins[:-1] |= lone & (data == 32)
+            if self.at_line:
+                line = lone & (data == 10)
+                begins[:-1] |= line
+                begins[1:] |= line
+        if self.at_tail:
+            tail = _TAIL[data]
+            last = np.zeros(n, dtype=bool)
+            last[:] = begins[1:]
+            first = np.flatnonzero(tail & ~np.append(False, tail[:-1]))
+            # a run of marks counts if it reaches the end of its unit
+            stops = np.flatnonzero(tail & ~np.append(tail[1:], False))
+            letter = _LETTER[data]
+            wide = np.flatnonzero(data[:-1] == 0xC3) if n else np.zeros(0, np.int64)
+            letter[wide + 1] = (data[wide + 1] != 0x97) & (data[wide + 1] != 0xB7)
+            good = last[stops] & (first > 0) & letter[first - 1] & ~begins[first]
+            inner = np.cumsum(begins[:-1])
+            good &= inner[first] == inner[stops]
+            begins[first[good]] = True
+        starts = np.flatnonzero(begins[:-1])
+        return starts, np.searchsorted(starts, offsets)
 
     def _encode_units(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, their number for each unit); units without blanks inside go many to a call."""
-        plain = [i for i, u in enumerate(units) if (rest := u[1:]) and rest.split() == [rest] and u[0] == " " and "\x01" not in rest]
+        plain = [i for i, u in enumerate(units) if u[0] == " " and (rest := u[1:]) and rest.split() == [rest] and "\x01" not in rest] if self.mark else []
         texts = [self.mark.join([units[i] for i in plain[j : j + TOGETHER]]) for j in range(0, len(plain), TOGETHER)]
         ids = [np.array(e.ids, dtype=np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         ids = np.concatenate([np.append(x, np.uint32(self.mark_id)) for x in ids]) if ids else np.zeros(0, np.uint32)
@@ -85,88 +130,78 @@ class UnitEncoder:
         alone = np.setdiff1d(np.arange(len(units)), plain)
         found = [e.ids for e in self.tokenizer.encode_batch_fast([units[i] for i in alone], add_special_tokens=False)]
         lengths[alone] = list(map(len, found))
-        ends = np.cumsum(lengths)
-        out = np.zeros(int(ends[-1]), dtype=np.uint32)
         single = np.zeros(len(units), dtype=bool)
         single[alone] = True
         of_single = np.repeat(single, lengths)
+        out = np.zeros(len(of_single), dtype=np.uint32)
         out[~of_single] = ids[ids != self.mark_id]
         out[of_single] = [x for f in found for x in f]
         return out, lengths
 
-    def _learn(self) -> None:
-        """Encode the new units; a word with punctuation behind it is put together from the two."""
-        if not self.fresh:
-            return
-        old, known = self.count[0] - len(self.fresh), len(self.ids)
-        base, tail, alone = [], [], []
-        for i, unit in enumerate(self.fresh):  # grows meanwhile
-            word = unit.rstrip(TAIL)
-            if len(word) < len(unit) and unit[0] == " " and word[-1:].isalpha():
-                base.append(self.rest[word[1:]])
-                tail.append(unit[len(word) :])
-            else:
-                base.append(old + i)
-                tail.append("")
-                alone.append(i)
-        tails = sorted(set(tail) - {""})
-        ids, lengths = self._encode_units([*(self.fresh[i] for i in alone), *tails])
-        starts = known + np.cumsum(lengths) - lengths
-        pool = np.concatenate([self.ids, ids])
-        # beginning and length of every unit and tail in the pool; the units put together follow
-        begin, size = np.zeros(old + len(self.fresh), np.int64), np.zeros(old + len(self.fresh), np.int64)
-        begin[:old], size[:old] = np.concatenate([[0], self.ends[:-1]]) if old else [], np.diff(self.ends, prepend=0)
-        mine = old + np.array(alone, dtype=np.int64)
-        begin[mine], size[mine] = starts[: len(alone)], lengths[: len(alone)]
-        number = {"": 0} | {t: i + 1 for i, t in enumerate(tails)}
-        place = np.array([number[t] for t in tail], dtype=np.int64)
-        tail_begin, tail_size = np.append(0, starts[len(alone) :])[place], np.append(0, lengths[len(alone) :])[place]
-        base = np.array(base, dtype=np.int64)
-        two_begin = np.column_stack([begin[base], tail_begin]).reshape(-1)
-        two_size = np.column_stack([size[base], tail_size]).reshape(-1)
-        done = np.cumsum(two_size)
-        at = np.repeat(two_begin - (done - two_size), two_size) + np.arange(done[-1])
-        last = self.ends[-1] if old else 0
-        self.ids = np.concatenate([self.ids, pool[at]])
-        self.ends = np.concatenate([self.ends, last + done[1::2]])
-        good = [(u[:1] != " " or (len(u) > 1 and not u[1].isspace())) and not u[-1:].isspace() for u in self.fresh]
-        self.whole = np.concatenate([self.whole, np.array(good, dtype=bool)])
-        self.fresh.clear()
-
-    def _numbers(self, parts: Sequence[str]) -> list[int]:
-        rest = self.rest
-        out = [rest[p] for p in parts]
-        out[0] = self.first[parts[0]]
-        return out
-
-    def encode(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all texts in turn, where each text's ids end)."""
-        if self.count[0] > REMEMBERED:
-            self.forget()
+    def _remember(self, key: np.ndarray, units: list[str]) -> None:
+        ids, size = self._encode_units(units)
+        begin = len(self.pool) + np.cumsum(size) - size
+        self.pool = np.concatenate([self.pool, ids])
+        at = np.searchsorted(self.key[0], key[0])
+        self.key = np.insert(self.key, at, key, axis=1)
+        self.begin, self.size, self.used = (np.insert(a, at, b) for a, b in ((self.begin, begin), (self.size, size), (self.used, np.full(len(at), self.turn))))
+
+    def _forget(self) -> None:
+        """Keep the half of the units that was used last."""
+        keep = np.sort(np.argsort(-self.used, kind="stable")[: REMEMBERED // 2])
+        size = self.size[keep]
+        begin = np.cumsum(size) - size
+        self.pool = self.pool[np.repeat(self.begin[keep] - begin, size) + np.arange(size.sum())]
+        self.key, self.begin, self.size, self.used = self.key[:, keep], begin, size, self.used[keep]
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts in turn, where each text's ids end) of the texts data[offsets[i]:offsets[i+1]], in UTF-8."""
+        data, offsets = data[offsets[0] : offsets[-1]], offsets.astype(np.int64) - int(offsets[0])
+        starts, first = self._units(data, offsets)
+        if not len(starts):
+            return np.zeros(0, np.uint32), np.zeros(len(offsets) - 1, np.int64)
+        ends = np.append(starts[1:], len(data))
         if self.fold:
-            texts = [t.encode().lower().decode() for t in texts]  # of bytes, lower() changes A-Z only
-        rows = [self._numbers(t.split(" ")) if t else [] for t in texts]
-        self._learn()
-        for i, row in enumerate(rows):
-            if row and not self.whole[row].all():
-                rows[i] = self._numbers(_CUT.split(texts[i]))
-        self._learn()
-        sizes = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
-        unit = np.fromiter(chain.from_iterable(rows), dtype=np.int64, count=int(sizes.sum()))
-        begins = np.concatenate([[0], self.ends[:-1]])
-        length = self.ends[unit] - begins[unit] if len(unit) else np.zeros(0, np.int64)
-        done = np.concatenate([[0], np.cumsum(length)])
-        at = np.repeat(begins[unit] - done[:-1], length) + np.arange(done[-1]) if len(unit) else np.zeros(0, np.int64)
-        return self.ids[at], done[np.cumsum(sizes)]
-
-
-def text_groups(texts: Sequence[str | None], chars: int = 1 << 21):
-    """(first row, texts) in turns of about ``chars`` characters; null counts as empty."""
-    begin, size = 0, 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= chars:
-            yield begin, [x or "" for x in texts[begin : i + 1]]
-            begin, size = i + 1, 0
-    if begin < len(texts):
-        yield begin, [x or "" for x in texts[begin:]]
+            raw, data = data, _LOWER[data]
+            for i in np.unique(np.searchsorted(starts, np.flatnonzero(raw == ord("<")), side="right") - 1):  # may be a special token, which is told by its case
+                data[starts[i] : ends[i]] = raw[starts[i] : ends[i]]
+        values, length = data.astype(np.uint64), mix((ends - starts).astype(np.uint64))
+        one, two = (spans(values, starts, ends, base) ^ length for base in BASES)
+        _, some, number = np.unique(one, return_index=True, return_inverse=True)
+        one, two, differ = one[some], two[some], two != two[some][number]
+        at, known = self._known(one, two)
+        if not known.all():
+            text, new = data.tobytes(), np.flatnonzero(~known)
+            if len(self.key[0]) + len(new) > REMEMBERED:
+                self._forget()
+                at, known = self._known(one, two)
+                new = np.flatnonzero(~known)
+            self._remember(np.stack([one, two])[:, new], [text[b:e].decode() for b, e in zip(starts[some[new]].tolist(), ends[some[new]].tolist(), strict=True)])
+            at, known = self._known(one, two)
+        if differ.any() or not known.all():  # two units of equal first hash: no memory for this turn
+            return self._afresh(data, offsets)
+        self.used[at] = self.turn = self.turn + 1
+        unit = at[number]
+        size = self.size[unit]
+        done = np.concatenate([[0], np.cumsum(size)])
+        return self.pool[np.repeat(self.begin[unit] - done[:-1], size) + np.arange(done[-1])], done[first[1:]]
+
+    def _known(self, one: np.ndarray, two: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place in the memory of each unit, and whether it is there."""
+        have = self.key.shape[1]
+        at = np.minimum(np.searchsorted(self.key[0], one), max(have - 1, 0))
+        return at, (self.key[0][at] == one) & (self.key[1][at] == two) if have else np.zeros(len(one), dtype=bool)
+
+    def _afresh(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same by whole texts."""
+        text, bounds = data.tobytes(), offsets.tolist()
+        found = [self._ids(text[b:e].decode()) for b, e in zip(bounds[:-1], bounds[1:], strict=True)]
+        return np.array([x for f in found for x in f], dtype=np.uint32), np.cumsum([len(f) for f in found])
+
+    def encode_texts(self, texts: Sequence[str | None]) -> list[list[int]]:
+        """The ids of each text; a null counts as empty."""
+        out = []
+        for _, _, data, offsets in chunks(pa.array(texts, pa.large_string())):
+            ids, ends = self.encode(data, offsets)
+            out += [x.tolist() for x in np.split(ids, ends[:-1])]
+        return out

@@ -24,7 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from recollect.llm._shared import cut, narrow
-from recollect.llm._tokens import UnitEncoder, text_groups
+from recollect.llm._text import chunks
+from recollect.llm._tokens import UnitEncoder
 
 MERGED = 1 << 62  # sequence ids from here on are merged leftovers
 _FIELDS = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
@@ -71,9 +72,9 @@ class OpenWindows:
                 self._close(i)
 
 
-def _pack_rows(path: str, end_id: int, size: int, limit: int, least: int):
+def _pack_rows(path: str, end_id: int, size: int, limit: int, least: int, special_as_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer = UnitEncoder.at(path), OpenWindows(size, limit, least)
+        encoder, packer = UnitEncoder.at(path, special_as_text), OpenWindows(size, limit, least)
         part, sequence, docs = TaskContext.get().partitionId(), 0, 0
         held: dict[int, tuple] = {}  # ids of documents with a piece in an open window: (doc_id, ids)
 
@@ -99,8 +100,8 @@ def _pack_rows(path: str, end_id: int, size: int, limit: int, least: int):
         for batch in batches:
             doc_kind = batch.schema.field("doc_id").type
             names = batch.column("doc_id").to_pylist()
-            for begin, texts in text_groups(batch.column("text").to_pylist()):
-                ids, ends = encoder.encode(texts)
+            for begin, _, data, offsets in chunks(batch.column("text")):
+                ids, ends = encoder.encode(data, offsets)
                 for i, ids in enumerate(np.split(ids, ends[:-1])):
                     held[docs] = (names[begin + i], np.append(ids, np.uint32(end_id)))
                     packer.add(docs, len(ids) + 1)
@@ -131,7 +132,7 @@ def _leftover_rows(bases: dict[int, int], size: int):
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = 2048, open_windows: int = 64, least_piece: int = 16, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = 2048, open_windows: int = 64, least_piece: int = 16, doc_id: str = "doc_id", text: str = "text", special_as_text: bool = False) -> DataFrame:
     """Pack whole texts into sequences of at most ``size`` ids; one row per piece.
 
     Columns: doc_id, start (the document's ids before the piece), length,
@@ -141,12 +142,13 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, size: int = 2048, open_wi
 
     A null or empty text is the end id alone.  Rows are packed one by one, also
     where doc_id repeats or is null; an empty table gives no pieces.  Other
-    columns are not read.
+    columns are not read.  The strings of special tokens in a text become those
+    tokens, as the library does by default, or ordinary text if ``special_as_text``.
     """
     rows = narrow(docs, doc_id, text)
     kind = dict(rows.dtypes)["doc_id"]
     shape = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-    packed = cut(rows.mapInArrow(_pack_rows(tokenizer, end_id, size, open_windows, least_piece), shape + ", part int, ids binary"))
+    packed = cut(rows.mapInArrow(_pack_rows(tokenizer, end_id, size, open_windows, least_piece, special_as_text), shape + ", part int, ids binary"))
     left = packed.where("ids is not null")
     bases, total = {}, 0
     for r in sorted(left.groupBy("part").agg({"length": "sum"}).collect()):  # one row a task

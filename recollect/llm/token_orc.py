@@ -19,38 +19,41 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recollect.llm._shared import narrow
-from recollect.llm._tokens import UnitEncoder, text_groups
+from recollect.llm._text import chunks
+from recollect.llm._tokens import UnitEncoder
 
 
-def _id_rows(path: str, end_id: int):
+def _id_rows(path: str, end_id: int, special_as_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, place = UnitEncoder.at(path), 0
+        encoder, place = UnitEncoder.at(path, special_as_text), 0
         for batch in batches:
             names = batch.column("doc_id")
-            for begin, texts in text_groups(batch.column("text").to_pylist()):
-                ids, ends = encoder.encode(texts)
+            for row, end, data, offsets in chunks(batch.column("text")):
+                ids, ends = encoder.encode(data, offsets)
                 ids = np.insert(ids, ends, end_id).astype(np.int32)  # ids of the vocabulary fit 31 bits
                 bounds = np.concatenate([[0], ends + np.arange(1, len(ends) + 1)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
-                    [names.slice(begin, len(texts)), pa.array(np.arange(place, place + len(texts))), pa.ListArray.from_arrays(pa.array(bounds), pa.array(ids))],
+                    [names.slice(row, end - row), pa.array(np.arange(place, place + end - row)), pa.ListArray.from_arrays(pa.array(bounds), pa.array(ids))],
                     names=["doc_id", "place", "ids"],
                 )
-                place += len(texts)
+                place += end - row
 
     return run
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, doc_id: str = "doc_id", text: str = "text", stripe_mb: int = 16) -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, doc_id: str = "doc_id", text: str = "text", stripe_mb: int = 16, special_as_text: bool = False) -> None:
     """Write (doc_id, place, ids) of every row to ORC files under ``path``, in ascending doc_id.
 
     ``end_id`` ends every document; a null or empty text is that id alone.  Rows
     without a doc_id come first, repeated ids stay next to each other.  An empty
-    table writes no rows.  Other columns are not read.
+    table writes no rows.  Other columns are not read.  The strings of special tokens
+    in a text (``<|endoftext|>``) become those tokens, as the library does by default,
+    or ordinary text if ``special_as_text``.
     """
     rows = narrow(docs, doc_id, text)
     kind = dict(rows.dtypes)["doc_id"]
     ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
-    ids = ordered.mapInArrow(_id_rows(tokenizer, end_id), f"doc_id {kind}, place long, ids array<int>")
+    ids = ordered.mapInArrow(_id_rows(tokenizer, end_id, special_as_text), f"doc_id {kind}, place long, ids array<int>")
     (
         ids.write.option("orc.bloom.filter.columns", "doc_id")
         .option("orc.bloom.filter.fpp", "0.01")
