@@ -7,15 +7,28 @@ from pyspark.sql import functions as F
 
 _STAMP = r"\[?\(?\b\d{1,2}:\d{2}\s*(?:am|pm)?\s+on\s+\d{1,2}\s+\w+,?\s+\d{4}\)?\]?"
 
-# A pattern has one group, the object; the relation it states; its type.
+_END = r"(?=[.,!?;]|$)"
+_THING = r"([a-z0-9][a-z0-9' -]*?)"
+#: (pattern with one group, the object; the relation it states; its type; whether "and" and commas part it).
 FACT_PATTERNS = [
-    (r"\bi (?:really )?(?:love|like|enjoy) ([a-z][a-z ]*?)(?= and |[.,!?]|$)", "likes", "preference"),
-    (r"\bi (?:hate|dislike) ([a-z][a-z ]*?)(?= and |[.,!?]|$)", "dislikes", "preference"),
-    (r"\bi moved from ([a-z][a-z ]*?)(?= \d+ (?:years?|months?) ago|[.,!?]|$)", "moved_from", "state_change"),
-    (r"\bi live in ([a-z][a-z ]*?)(?=[.,!?]|$)", "lives_in", "location"),
-    (r"\bi work (?:at|for) ([a-z][a-z ]*?)(?= as |[.,!?]|$)", "works_at", "work"),
-    (r"\bi am (?:a|an) ([a-z][a-z ]*?)(?=[.,!?]|$)", "is_a", "identity"),
+    (rf"\bi (?:really |absolutely )?(?:love|like|enjoy) ([a-z][a-z' ,-]*?)(?=[.!?;]|$)", "likes", "preference", True),
+    (rf"\bi (?:really )?(?:hate|dislike|can't stand) ([a-z][a-z' ,-]*?)(?=[.!?;]|$)", "dislikes", "preference", True),
+    (rf"\bmy favorite [a-z]+ is {_THING}{_END}", "favorite", "preference", False),
+    (rf"\bi moved from {_THING}(?= \d+ (?:years?|months?|weeks?|days?) ago|[.,!?;]|$)", "moved_from", "state_change", False),
+    (rf"\bi (?:live in|moved to) {_THING}(?= \d+ | since |[.,!?;]|$)", "lives_in", "location", False),
+    (rf"\bi work (?:at|for) {_THING}(?= as |[.,!?;]|$)", "works_at", "work", False),
+    (rf"\bi work (?:(?:at|for) [a-z0-9' -]*?)?\s?as an? {_THING}{_END}", "works_as", "work", False),
+    (rf"\bi(?: am|'m) an? {_THING}{_END}", "is_a", "identity", False),
+    (rf"\bi(?: am|'m) (single|married|engaged|divorced|vegetarian|vegan)\b", "status", "status", False),
+    (rf"\bi(?: am|'m) married to {_THING}{_END}", "married_to", "relationship", False),
+    (rf"\bi(?: have|'ve) been friends with {_THING}(?= for |[.,!?;]|$)", "friends_with", "relationship", False),
+    (rf"\bmy (?:friend|wife|husband|brother|sister|mother|father|son|daughter) ([a-z]+)\b", "knows", "relationship", False),
+    (rf"\bmy name is {_THING}{_END}", "name", "attribute", False),
+    (rf"\bi have (?:a|an|two|three) {_THING}{_END}", "has", "attribute", False),
+    (rf"\bi (?:went to|visited|attended) {_THING}(?= yesterday| last |[.,!?;]|$)", "visited", "event", False),
+    (rf"\bfor (\d+ (?:years?|months?|weeks?|days?))\b", "lasts", "temporal", False),
 ]
+LONGEST = 60  # characters of an object
 
 
 def strip_timestamps(text: Column) -> Column:
@@ -35,14 +48,20 @@ def resolve_first_person(text: Column, speaker: Column) -> Column:
 
 
 def extract_facts(turns: DataFrame, text: str = "text") -> DataFrame:
-    """The turn's columns with (relation, fact_type, object) for every match of a pattern, in lower case."""
-    lower = F.lower(F.col(text))
+    """The turn's columns with (relation, fact_type, object) for every match of a pattern, in lower case, each once.
 
-    def facts(pattern: str, relation: str, kind: str) -> Column:
-        return F.transform(F.regexp_extract_all(lower, F.lit(pattern), F.lit(1)), lambda o: F.struct(F.lit(relation).alias("relation"), F.lit(kind).alias("fact_type"), F.trim(o).alias("object")))
+    What is liked or disliked is parted at commas and "and"; objects of one or over 60 characters drop.
+    """
+    lower = F.lower(F.coalesce(F.col(text), F.lit("")))
 
-    found = [facts(*p) for p in FACT_PATTERNS]
-    return turns.withColumn("_fact", F.explode(F.concat(*found))).select(*turns.columns, "_fact.relation", "_fact.fact_type", "_fact.object")
+    def facts(pattern: str, relation: str, kind: str, parted: bool) -> Column:
+        found = F.regexp_extract_all(lower, F.lit(pattern), F.lit(1))
+        if parted:
+            found = F.flatten(F.transform(found, lambda o: F.split(o, r"\s*,\s*(?:and\s+)?|\s+and\s+")))
+        return F.transform(found, lambda o: F.struct(F.lit(relation).alias("relation"), F.lit(kind).alias("fact_type"), F.trim(o).alias("object")))
+
+    found = F.filter(F.array_distinct(F.concat(*[facts(*p) for p in FACT_PATTERNS])), lambda f: F.length(f["object"]).between(2, LONGEST))
+    return turns.withColumn("_fact", F.explode(found)).select(*turns.columns, "_fact.relation", "_fact.fact_type", "_fact.object")
 
 
 def duration_days(text: Column) -> Column:
@@ -65,3 +84,189 @@ def parse_date_any(text: Column) -> Column:
 def as_statement(subject: Column, relation: Column, target: Column) -> Column:
     """A sentence for a fact."""
     return F.concat_ws(" ", subject, F.replace(relation, F.lit("_"), F.lit(" ")), target)
+
+
+_UNITS = {"year": 365, "month": 30, "week": 7, "day": 1}
+# Words for numbers in spans of time.
+VAGUE = {"a couple of": 2, "a couple": 2, "a few": 3, "several": 5, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "few": 3, "couple of": 2}
+WEEKDAYS = ["monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday"]
+_MONTH = "january|february|march|april|may|june|july|august|september|october|november|december"
+_COUNT = r"(\d+|" + "|".join(sorted(VAGUE, key=len, reverse=True)) + r")"
+_SPAN = _COUNT + r"\s+(year|month|week|day)s?"
+
+
+def _count(word: Column) -> Column:
+    out = word.try_cast("int")
+    for name, n in VAGUE.items():
+        out = F.when(word == name, F.lit(n)).otherwise(out)
+    return out
+
+
+def _unit_days(unit: Column) -> Column:
+    out = F.lit(None).cast("int")
+    for name, days in _UNITS.items():
+        out = F.when(unit == name, F.lit(days)).otherwise(out)
+    return out
+
+
+def duration(text: Column, as_of: Column) -> Column:
+    """struct(kind, days, start) of the first form that a text has, of: N units ago, since [Month] Year, for / been / over / about / nearly N units, in Year, last year or month.
+
+    N may be a number or a few, several, a couple; years, months and weeks have 365, 30 and 7 days.
+    """
+    low = F.lower(F.coalesce(text, F.lit("")))
+
+    def spanned(kind: str, pattern: str) -> tuple[Column, Column]:
+        days = _count(F.regexp_extract(low, pattern, 1)) * _unit_days(F.regexp_extract(low, pattern, 2))
+        return low.rlike(pattern), F.struct(F.lit(kind).alias("kind"), days.alias("days"), F.date_sub(as_of.cast("date"), days).alias("start"))
+
+    def dated(kind: str, pattern: str, start: Column) -> tuple[Column, Column]:
+        return low.rlike(pattern), F.struct(F.lit(kind).alias("kind"), F.datediff(as_of.cast("date"), start).alias("days"), start.alias("start"))
+
+    month, year = rf"\bsince ({_MONTH}) (\d{{4}})\b", r"\bsince (\d{4})\b"
+    first = F.try_to_date(F.concat(F.lit("1 "), F.initcap(F.regexp_extract(low, month, 1)), F.lit(" "), F.regexp_extract(low, month, 2)), "d MMMM yyyy")
+    forms = [
+        spanned("ago", rf"\b{_SPAN} ago\b"), dated("since", month, first), dated("since", year, F.make_date(F.regexp_extract(low, year, 1).try_cast("int"), F.lit(1), F.lit(1))),
+        spanned("for", rf"\bfor (?:over |about |nearly |almost )?{_SPAN}\b"), spanned("for", rf"\b(?:been|over|about|nearly) {_SPAN}\b"),
+        dated("in", r"\bin (\d{4})\b", F.make_date(F.regexp_extract(low, r"\bin (\d{4})\b", 1).try_cast("int"), F.lit(1), F.lit(1))),
+    ]
+    out = F.when(F.lit(False), forms[0][1])
+    for test, value in forms:
+        out = out.when(test, value)
+    for word, days in (("year", 365), ("month", 30)):
+        out = out.when(F.contains(low, F.lit(f"last {word}")), F.struct(F.lit("ago").alias("kind"), F.lit(days).alias("days"), F.date_sub(as_of.cast("date"), days).alias("start")))
+    return out
+
+
+def durations_all(text: Column) -> Column:
+    """array<struct(kind, value, unit)> of every span in a text, those with "ago" first, then "for", then the others."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+
+    def found(kind: str, before: str, after: str) -> Column:
+        hits = F.regexp_extract_all(low, F.lit(rf"{before}{_SPAN}{after}"), F.lit(0))
+        span = rf"{_SPAN}"
+        return F.transform(hits, lambda h: F.struct(F.lit(kind).alias("kind"), _count(F.regexp_extract(h, span, 1)).alias("value"), F.regexp_extract(h, span, 2).alias("unit")))
+
+    return F.concat(found("ago", r"\b", r" ago\b"), found("for", r"\bfor ", r"\b(?! ago)"), found("span", r"(?<!\bfor )(?<!\bfor a )\b", r"\b(?! ago)"))
+
+
+def relative_date(text: Column, as_of: Column) -> Column:
+    """The date of yesterday, tomorrow, last week, N days ago, last Friday ... counted from ``as_of``; the longest phrase first."""
+    low, day = F.lower(F.coalesce(text, F.lit(""))), as_of.cast("date")
+    out = F.when(F.contains(low, F.lit("day before yesterday")), F.date_sub(day, 2)).when(F.contains(low, F.lit("yesterday")), F.date_sub(day, 1)).when(F.contains(low, F.lit("today")), day).when(F.contains(low, F.lit("tomorrow")), F.date_add(day, 1))
+    for word, days in (("week", 7), ("month", 30), ("year", 365)):
+        out = out.when(F.contains(low, F.lit(f"last {word}")), F.date_sub(day, days))
+    ago = rf"\b{_SPAN} ago\b"
+    out = out.when(low.rlike(ago), F.date_sub(day, _count(F.regexp_extract(low, ago, 1)) * _unit_days(F.regexp_extract(low, ago, 2))))
+    for i, name in enumerate(WEEKDAYS):
+        back = F.pmod(F.weekday(day) - i, F.lit(7))
+        out = out.when(F.contains(low, F.lit(f"last {name}")), F.date_sub(day, F.when(back == 0, 7).otherwise(back)))
+    return out
+
+
+def normalise_date(text: Column, as_of: Column) -> Column:
+    """A relative or absolute date of a text as ``d Month yyyy``."""
+    absolute = F.coalesce(parse_date_any(F.regexp_extract(text, rf"(?i)\b(\d{{1,2}} (?:{_MONTH}),? \d{{4}})\b", 1)), parse_date_any(F.regexp_extract(text, rf"(?i)\b((?:{_MONTH}) \d{{1,2}},? \d{{4}})\b", 1)), F.try_to_date(F.regexp_extract(text, r"\b(\d{4}-\d{2}-\d{2})\b", 1), "yyyy-MM-dd"))
+    return F.date_format(F.coalesce(absolute, relative_date(text, as_of)), "d MMMM yyyy")
+
+
+def rewrite_dates(text: Column, as_of: Column) -> Column:
+    """The text with yesterday, last year and next month put as a date, a year and a month."""
+    day = as_of.cast("date")
+    for word, value in (("yesterday", F.date_format(F.date_sub(day, 1), "d MMMM yyyy")), ("last year", F.date_format(F.add_months(day, -12), "yyyy")), ("next month", F.date_format(F.add_months(day, 1), "MMMM yyyy"))):
+        text = F.regexp_replace(text, F.lit(rf"(?i)\b{word}\b"), value)
+    return text
+
+
+def dates_match(a: Column, b: Column, days: int = 1) -> Column:
+    """Whether two written dates lie within some days, or one text holds the other."""
+    x, y = parse_date_any(a), parse_date_any(b)
+    return F.when(x.isNotNull() & y.isNotNull(), F.abs(F.datediff(x, y)) <= days).otherwise(F.contains(F.lower(a), F.lower(b)) | F.contains(F.lower(b), F.lower(a)))
+
+
+# Standard words and the single words that they stand for.
+TERMS = {
+    "hiking": ["hike", "hikes", "hiked", "trekking", "trek"], "running": ["run", "runs", "ran", "jogging", "jog"], "swimming": ["swim", "swims", "swam"], "reading": ["read", "reads"],
+    "cooking": ["cook", "cooks", "cooked"], "painting": ["paint", "paints", "painted"], "camping": ["camp", "camps", "camped"], "traveling": ["travel", "travels", "traveled", "travelling"],
+    "loves": ["love", "adore", "adores", "adored"], "likes": ["like", "enjoy", "enjoys", "enjoyed"], "dislikes": ["dislike", "hate", "hates", "hated"], "single": ["unmarried"], "married": ["wed", "wedded", "spouse"],
+    "years": ["year", "yrs", "yr"], "months": ["month", "mo"], "weeks": ["week", "wk"], "days": ["day"],
+}
+
+
+def standardise_terms(text: Column, terms: dict[str, list[str]] | None = None) -> Column:
+    """Words replaced by their standard form; a capital and the punctuation behind a word stay."""
+    table = F.create_map(*[F.lit(x) for standard, words in (terms or TERMS).items() for w in words for x in (w, standard)])
+
+    def one(w: Column) -> Column:
+        bare, tail = F.regexp_replace(w, r"[.,!?;:]+$", ""), F.regexp_extract(w, r"([.,!?;:]+)$", 1)
+        found = F.try_element_at(table, F.lower(bare))
+        return F.when(found.isNull(), w).otherwise(F.concat(F.when(bare.rlike("^[A-Z]"), F.initcap(found)).otherwise(found), tail))
+
+    return F.array_join(F.transform(F.split(text, " "), one), " ")
+
+
+def resolve_third_person(turns: DataFrame, women: list[str], men: list[str]) -> DataFrame:
+    """turns(session_id, seq, speaker, text) with she / her and he / him / his put as the last such name before.
+
+    The last woman or man named in an earlier turn of the session, other than the speaker; without one nothing changes.
+    """
+    from pyspark.sql import Window
+
+    before = Window.partitionBy("session_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+
+    def named(names: list[str]) -> Column:
+        found = F.filter(F.regexp_extract_all("text", F.lit(r"\b([A-Z][a-z]+)\b"), F.lit(1)), lambda w: w.isin(names) & (w != F.col("speaker")))
+        return F.last(F.try_element_at(found, F.lit(-1)), ignorenulls=True).over(before)
+
+    rows = turns.withColumns({"_she": named(women), "_he": named(men)})
+    text = F.col("text")
+    for name, subject, owner in (("_she", r"\b[Ss]he\b", r"\b[Hh]er\b"), ("_he", r"\b(?:[Hh]e|[Hh]im)\b", r"\b[Hh]is\b")):
+        put = F.regexp_replace(F.regexp_replace(text, F.lit(owner), F.concat(F.col(name), F.lit("'s"))), F.lit(subject), F.col(name))
+        text = F.when(F.col(name).isNull(), text).otherwise(put)
+    return rows.withColumn("text", text).drop("_she", "_he")
+
+
+def extract_entities(text: Column) -> Column:
+    """array<struct(kind, name)>: people (capitalised, not at a place), dates, times and places of a text, each once."""
+    from recollect.functions.questions import NO_NAMES
+
+    def found(kind: str, pattern: str) -> Column:
+        return F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), F.lit(1)), lambda w: F.struct(F.lit(kind).alias("kind"), w.alias("name")))
+
+    place = r"\b(?:in|at|to|from) ([A-Z][a-z]+(?: [A-Z][a-z]+)*)\b"
+    people = F.filter(found("person", r"(?<!\b(?:in|at|to) )(?<!\bfrom )\b([A-Z][a-z]+)\b"), lambda e: ~e["name"].isin(NO_NAMES) & ~e["name"].rlike(f"(?i)^(?:{_MONTH})$"))
+    every = F.concat(people, found("date", rf"(?i)\b(\d{{1,2}} (?:{_MONTH}),? \d{{4}})\b"), found("time", r"(?i)\b(\d{1,2}:\d{2}(?: ?[ap]m)?)\b"), found("location", place))
+    return F.array_distinct(every)
+
+
+def event_type(text: Column) -> Column:
+    """What a session was about, from its text: error, task_completion, discovery, decision, feedback or conversation."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    # Substrings of each type, the first that fits counts.
+    return (
+        F.when(low.rlike("error|exception|bug|crash|failed"), "error").when(low.rlike("fixed|solved|resolved|done|complete"), "task_completion").when(low.rlike("learned|discovered|found out|realized"), "discovery")
+        .when(low.rlike("decided|chose|will use|going with"), "decision").when(low.rlike("feedback|suggest|recommend|think"), "feedback").otherwise("conversation")
+    )
+
+
+def list_lines(text: Column) -> Column:
+    """Lines of a listing without bullets, numbers and comments."""
+    lines = F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), lambda s: F.regexp_replace(F.trim(s), r"^(?:[-*•]+|\d+[.)])\s*", ""))
+    return F.filter(lines, lambda s: (s != "") & ~F.startswith(s, F.lit("#")))
+
+
+def answer_clean(text: Column) -> Column:
+    """The first line of an answer without lead-ins, quotes and stamps."""
+    bare = F.trim(F.split_part(strip_stamp(text), F.lit("\n"), F.lit(1)))
+    bare = F.regexp_replace(bare, r"(?i)^(?:the answer is|answer|based on [^,]*,|according to [^,]*,)[:\s]*", "")
+    return F.regexp_replace(F.trim(bare), "^[\"']+|[\"']+$", "")
+
+
+def strip_stamp(text: Column) -> Column:
+    return F.regexp_replace(text, rf"(?i){_STAMP}\s*", "")
+
+
+def context_clean(text: Column) -> Column:
+    """A context without clock stamps and speakers, ``(Date: x)`` as ``[x]``, blanks squeezed."""
+    dated = F.regexp_replace(strip_stamp(text), r"\(Date: ([^)]*)\)", "[$1]")
+    return F.trim(F.regexp_replace(F.regexp_replace(dated, r"(?m)^[A-Z][a-z]+: ", ""), r"[ \t]+", " "))

@@ -193,3 +193,52 @@ def passes_sensory_filter(text: Column) -> Column:
     """At least 5 characters, a letter, and no stop phrase as the whole first words."""
     trimmed = F.trim(F.coalesce(text, F.lit("")))
     return (F.length(trimmed) >= 5) & trimmed.rlike("[A-Za-z]") & ~F.lower(trimmed).rlike("^(" + "|".join(words.STOP_PHRASES) + r")\b")
+
+
+# Words of high and of medium causal significance, as substrings.
+HIGH_CAUSAL = ["decided", "conclusion", "result", "because", "therefore", "solution", "fixed", "resolved", "implemented", "deployed", "caused", "led to", "discovered", "learned", "remember", "preference", "prefer", "always", "never", "rule"]
+MEDIUM_CAUSAL = ["think", "believe", "suggest", "recommend", "option", "choice", "approach", "method", "way", "should"]
+# What a type of content adds to emotional salience, novelty and causal significance.
+CONTENT_BOOST = {"question": (0.0, 0.1, 0.1), "error": (0.3, 0.1, 0.2), "code": (0.0, 0.2, 0.2), "decision": (0.1, 0.1, 0.4), "preference": (0.2, 0.1, 0.3), "general": (0.0, 0.0, 0.0)}
+
+
+def causal_significance(text: Column) -> Column:
+    return F.greatest(F.lit(0.2), F.least(F.lit(1.0), 0.15 * mentions(text, HIGH_CAUSAL) + 0.08 * mentions(text, MEDIUM_CAUSAL)))
+
+
+def content_boost(kind: Column) -> dict[str, Column]:
+    """What a type of content adds to each part of its importance."""
+    table = F.create_map(*[x for k, v in CONTENT_BOOST.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    found = F.coalesce(F.try_element_at(table, kind), F.array(*[F.lit(0.0)] * 3))
+    return {name: F.element_at(found, i + 1) for i, name in enumerate(("emotional_salience", "novelty", "causal_significance"))}
+
+
+def _plural(n: Column, unit: str) -> Column:
+    return F.concat(n.cast("string"), F.when(n == 1, f" {unit}").otherwise(f" {unit}s"))
+
+
+def format_duration(days: Column, precision: str = "auto") -> Column:
+    """Days as years and months of 365 and 30 days, or as whole years, months or days."""
+    years, months = F.floor(days / 365), F.floor(days % 365 / 30)
+    if precision != "auto":
+        return _plural({"years": years, "months": years * 12 + months, "days": days}[precision], precision[:-1])
+    whole = F.when((years > 0) & (months > 0), F.concat_ws(" and ", _plural(years, "year"), _plural(months, "month"))).when(years > 0, _plural(years, "year"))
+    return whole.when(months > 0, _plural(months, "month")).when(days > 0, _plural(days, "day")).otherwise("today")
+
+
+def multi_format_duration(start: Column, as_of: Column) -> dict[str, Column]:
+    """A span as a duration, with "ago", as "since Month Year" and as its first day."""
+    text = format_duration(F.datediff(as_of, start))
+    return {"duration": text, "ago": F.concat(text, F.lit(" ago")), "since": F.concat(F.lit("since "), F.date_format(start, "MMMM yyyy")), "day": F.date_format(start, "dd MMMM yyyy")}
+
+
+def mark_important(user: Column) -> Column:
+    """A user's mark, kept between 0 and 1."""
+    return _unit(user)
+
+
+def speaks_for(text: Column) -> Column:
+    """Positive words minus negative ones: evidence for (above 0) or against."""
+    # Words that speak for and against.
+    yes, no = ["yes", "true", "correct", "confirmed", "agreed"], ["no ", "not ", "false", "never", "wrong", "denied"]
+    return mentions(text, yes) - mentions(text, no)

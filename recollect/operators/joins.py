@@ -21,33 +21,42 @@ def keyword_overlap(queries: DataFrame, memories: DataFrame) -> DataFrame:
     return held.join(asked, "word").groupBy("query_id", "memory_id", "query_size").agg(F.count(F.lit(1)).alias("overlap"))
 
 
+def token_sets(rows: DataFrame, block: list[str] | None = None) -> DataFrame:
+    """(id, block columns, words, size, rep): the token set of every row, and the least id of its block with the same set."""
+    block = block or []
+    sets = rows.select("id", *block, F.array_sort(tokens(F.col("text"))).alias("words")).withColumns({"size": F.size("words"), "_key": F.md5(F.array_join("words", " ").cast("binary"))})
+    first = sets.groupBy(*block, "_key").agg(F.min("id").alias("rep"))
+    return sets.join(first, [*block, "_key"]).select("id", *block, "words", "size", "rep")
+
+
 def jaccard_pairs(rows: DataFrame, percent: int, block: list[str] | None = None) -> DataFrame:
     """(a, b, both, size_a, size_b), a < b, with token-set Jaccard >= percent / 100, exactly.
 
+    Equal sets are joined once: pairs are those of different sets, each as its least id, and each
+    copy with that id.  So a group of copies grows by its rows, not by its square, and no link is lost.
+
     Prefix filter: tokens are ranked from rare to frequent; sets that are alike share
-    a token among the first n - ceil(t n) + 1 of each.  ``rows`` has (id, text) and the
-    block columns; only rows of one block meet.
+    a token among the first n - ceil(t n) + 1 of each, and behind the first one that they share enough
+    tokens must be left.  ``rows`` has (id, text) and the block columns; only rows of one block meet.
     """
     block = block or []
-    sets = rows.select("id", *block, tokens(F.col("text")).alias("words")).where(F.size("words") > 0)
-    sets = sets.withColumn("size", F.size("words"))
+    every = token_sets(rows, block).where("size > 0")
+    sets = every.where("id = rep")
     terms = sets.select("id", *block, "size", F.explode("words").alias("word"))
     counts = terms.groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     ranked = terms.join(counts, "word").withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("df", "word")))
-    prefix = ranked.where(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * percent / 100) + 1).select("id", *block, "size", "word")
-    left, right = prefix, prefix.select(F.col("id").alias("other"), *block, F.col("size").alias("other_size"), "word")
+    prefix = ranked.where(F.col("rank") <= F.col("size") - F.ceil(F.col("size") * percent / 100) + 1).select("id", *block, "size", "word", "rank")
+    right = prefix.select(F.col("id").alias("other"), *block, F.col("size").alias("other_size"), "word", F.col("rank").alias("other_rank"))
     small = F.least("size", "other_size") * 100 >= F.greatest("size", "other_size") * percent
-    pairs = left.join(right, ["word", *block]).where((F.col("id") < F.col("other")) & small).select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
+    met = prefix.join(right, ["word", *block]).where((F.col("id") < F.col("other")) & small)
+    met = met.groupBy(F.col("id").alias("a"), F.col("other").alias("b"), F.col("size").alias("size_a"), F.col("other_size").alias("size_b")).agg(F.min("rank").alias("rank_a"), F.min("other_rank").alias("rank_b"))
+    left = 1 + F.least(F.col("size_a") - F.col("rank_a"), F.col("size_b") - F.col("rank_b"))
+    pairs = met.where(left * (100 + percent) >= percent * (F.col("size_a") + F.col("size_b")))
     pairs = pairs.join(sets.select(F.col("id").alias("a"), F.col("words").alias("words_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("words").alias("words_b")), "b")
-    both = F.size(F.array_intersect("words_a", "words_b"))
-    found = pairs.select("a", "b", both.alias("both"), F.size("words_a").alias("size_a"), F.size("words_b").alias("size_b"))
-    return found.where(F.col("both") * 100 >= percent * (F.col("size_a") + F.col("size_b") - F.col("both")))
-
-
-def same_key_pairs(facts: DataFrame, keys: list[str], differ: str, key: str = "fact_id") -> DataFrame:
-    """(a, b) of facts that agree on ``keys`` and differ in another column."""
-    other = facts.select(*keys, F.col(key).alias("b"), F.col(differ).alias("_differ"))
-    return facts.join(other, keys).where((F.col(key) < F.col("b")) & (F.col(differ) != F.col("_differ"))).select(F.col(key).alias("a"), "b", *keys)
+    found = pairs.select("a", "b", F.size(F.array_intersect("words_a", "words_b")).alias("both"), "size_a", "size_b")
+    found = found.where(F.col("both") * 100 >= percent * (F.col("size_a") + F.col("size_b") - F.col("both")))
+    copies = every.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.col("size").alias("both"), F.col("size").alias("size_a"), F.col("size").alias("size_b"))
+    return found.unionByName(copies)
 
 
 def validity(facts: DataFrame, keys: list[str], at: str, order: list[str]) -> DataFrame:

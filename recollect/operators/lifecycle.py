@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from recollect.operators.joins import jaccard_pairs, token_sets
+from recollect.operators.shared import cut
+
 
 def merge_facts(facts: DataFrame) -> DataFrame:
     """One fact of every lower-cased (subject, predicate, object): first id, summed evidence, raised confidence."""
@@ -20,28 +23,30 @@ def leaders(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     earlier neighbours are all decided are settled; the number of rounds is the
     longest chain of undecided neighbours.  ``pairs`` is (a, b) with a < b.
     """
-    if not pairs.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        pairs.sparkSession.sparkContext.setCheckpointDir(pairs.sparkSession.conf.get("spark.checkpoint.dir", "/tmp/recollect-checkpoints"))
+    pairs = cut(pairs)
     touched = pairs.select(F.col("b").alias("id")).distinct()
     open_rows = touched
     lead = rows.select("id").join(touched, "id", "left_anti").withColumn("leader", F.col("id"))
-    decided = lead.checkpoint()
+    decided = cut(lead)
     while not open_rows.isEmpty():
         earlier = pairs.join(open_rows, F.col("b") == F.col("id"), "left_semi").join(decided.select(F.col("id").alias("a"), "leader"), "a", "left")
         state = earlier.groupBy("b").agg(F.count_if(F.col("leader").isNull()).alias("waiting"), F.min(F.when(F.col("leader") == F.col("a"), F.col("a"))).alias("found"))
         # a row is settled once all earlier neighbours are; it follows the least leader among them
         settled = state.where("waiting = 0").select(F.col("b").alias("id"), F.coalesce("found", "b").alias("leader"))
-        decided = decided.unionByName(settled).checkpoint()
+        decided = cut(decided.unionByName(settled))
         open_rows = touched.join(decided, "id", "left_anti")
     return decided
 
 
-def session_summary(turns: DataFrame) -> DataFrame:
-    """(session_id, items, chars, completed): whether one of the last three turns says that something is done."""
-    last = Window.partitionBy("session_id").orderBy(F.desc("seq"))
-    done = F.lower("text").rlike("done|fixed|complete|working")
-    placed = turns.withColumn("_back", F.row_number().over(last))
-    return placed.groupBy("session_id").agg(F.count(F.lit(1)).alias("items"), F.sum(F.length("text")).alias("chars"), F.coalesce(F.bool_or((F.col("_back") <= 3) & done), F.lit(False)).alias("completed"))
+def duplicate_leaders(rows: DataFrame, percent: int, block: list[str] | None = None) -> DataFrame:
+    """(id, leader) of rows (id, text, block columns): the greedy grouping of near copies in order of id.
+
+    A copy of an equal token set goes where the first of them goes, so only those are paired.
+    """
+    members = token_sets(rows, block).select("id", "rep")
+    first = members.where("id = rep").select("id")
+    pairs = jaccard_pairs(rows, percent, block).select("a", "b").join(first.withColumnRenamed("id", "b"), "b", "left_semi")
+    return members.join(leaders(first, pairs).withColumnRenamed("id", "rep"), "rep").select("id", "leader")
 
 
 def units_all_levels(turns: DataFrame) -> DataFrame:
@@ -55,3 +60,104 @@ def units_all_levels(turns: DataFrame) -> DataFrame:
     middle = placed.where("speaker = 'user' and _next = 'assistant'").select(F.lit("turn").alias("level"), pair.alias("unit_id"), session.alias("parent_id"), "session_id")
     top = turns.select("session_id").distinct().select(F.lit("session").alias("level"), session.alias("unit_id"), F.lit(None).cast("string").alias("parent_id"), "session_id")
     return low.unionByName(middle).unionByName(top)
+
+
+# Substrings of a turn that tell of success or failure.
+DONE = "done|fixed|complete|working"
+FINISHED = "done|complete|finished|fixed|solved|working|success|passed"
+SUCCESS = "done|fixed|working|success|complete|solved"
+FAILURE = "failed|error|broken|can't|doesn't work"
+
+
+def last_outcome(turns: DataFrame) -> DataFrame:
+    """(session_id, outcome, success) of the last three turns: the newest that says something is done, and true, false or null."""
+    last = Window.partitionBy("session_id").orderBy(F.desc("seq"))
+    three = turns.withColumn("_back", F.row_number().over(last)).where("_back <= 3").withColumn("_low", F.lower("text"))
+    found = three.groupBy("session_id").agg(F.min_by(F.substring("text", 1, 200), F.when(F.col("_low").rlike(DONE), F.col("_back"))).alias("outcome"), F.bool_or(F.col("_low").rlike(SUCCESS)).alias("_good"), F.bool_or(F.col("_low").rlike(FAILURE)).alias("_bad"))
+    return found.select("session_id", "outcome", F.when(F.col("_good") & ~F.col("_bad"), True).when(F.col("_bad") & ~F.col("_good"), False).alias("success"))
+
+
+def promotion_check(sessions: DataFrame) -> DataFrame:
+    """(session_id, promote, reason) of sessions (session_id, items, age_seconds, importance, last_text, has_task)."""
+    finished = F.col("has_task") & F.lower(F.coalesce("last_text", F.lit(""))).rlike(FINISHED)
+    reason = (
+        F.when(F.col("items") == 0, "STM buffer is empty").when(F.col("age_seconds") >= 3600, "Maximum age exceeded").when(F.col("age_seconds") < 60, "STM too recent")
+        .when(F.col("importance") >= 0.4, "Importance threshold met").when(finished, "Task completed").otherwise("No promotion criteria met")
+    )
+    return sessions.select("session_id", reason.isin("Maximum age exceeded", "Importance threshold met", "Task completed").alias("promote"), reason.alias("reason"))
+
+
+def promote_sessions(turns: DataFrame) -> DataFrame:
+    """One episode of every session: (session_id, event_type, description, content, summary, outcome, success).
+
+    A session is one group: its turns are put in order within it.
+    """
+    from recollect.functions.extract import event_type
+
+    short = F.when(F.length("text") > 200, F.concat(F.substring("text", 1, 200), F.lit("..."))).otherwise(F.col("text"))
+    rows = turns.withColumns({"_line": F.concat(F.lit("["), "speaker", F.lit("]: "), short)})
+    roles = turns.groupBy("session_id", "speaker").agg(F.count(F.lit(1)).alias("_n"), F.min("seq").alias("_first"))
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_first", "speaker", "_n"))), lambda r: F.concat_ws(": ", r["speaker"], r["_n"].cast("string"))), ", ")
+    roles = roles.groupBy("session_id").agg(said.alias("_roles"), F.sum("_n").alias("_items"))
+    whole = rows.groupBy("session_id").agg(
+        F.array_sort(F.collect_list(F.struct("seq", "_line", "text"))).alias("_turns"), F.min_by("text", F.when(F.col("speaker") == "user", F.col("seq"))).alias("_asked"),
+    )
+    content = F.array_join(F.transform("_turns", lambda t: t["_line"]), "\n")
+    asked = F.when(F.length("_asked") > 100, F.concat(F.substring("_asked", 1, 100), F.lit("..."))).otherwise(F.col("_asked"))
+    joined = whole.join(roles, "session_id").join(last_outcome(turns), "session_id")
+    return joined.select(
+        "session_id", event_type(F.array_join(F.transform("_turns", lambda t: t["text"]), " ")).alias("event_type"), F.coalesce(asked, F.lit("Conversation session")).alias("description"), content.alias("content"),
+        F.concat(F.lit("Conversation with "), F.col("_items").cast("string"), F.lit(" messages ("), "_roles", F.lit(")")).alias("summary"), "outcome", "success",
+    )
+
+
+def episode_groups(episodes: DataFrame, least: int = 3, alike: float = 0.3) -> DataFrame:
+    """(group, id) of episodes (id, event_type, text, hours, is_consolidated) that may become a pattern.
+
+    Of those that are a day old and not consolidated, each type's first one and all with a token Jaccard of
+    ``alike`` to it; groups of ``least`` or more.
+    """
+    from recollect.functions.tokens import jaccard, tokens
+
+    old = episodes.where(~F.col("is_consolidated") & (F.col("hours") >= 24)).withColumn("_w", tokens(F.col("text")))
+    seeds = old.groupBy("event_type").agg(F.min_by(F.struct(F.col("id").alias("group"), F.col("_w").alias("_seed")), "id").alias("s")).select("event_type", "s.*")
+    members = old.join(seeds, "event_type").where((F.col("id") == F.col("group")) | (jaccard(F.col("_w"), F.col("_seed")) >= alike))
+    large = members.groupBy("group").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= least)
+    return members.join(large, "group", "left_semi").select("group", "id", "event_type")
+
+
+def promote_groups(groups: DataFrame, episodes: DataFrame) -> DataFrame:
+    """One pattern of every group: (group, pattern, confidence, episodes, user_id, importance); the user only if there is one."""
+    rows = groups.join(episodes.select("id", "user_id", "importance"), "id")
+    found = rows.groupBy("group", "event_type").agg(F.count(F.lit(1)).alias("episodes"), F.when(F.count_distinct("user_id") == 1, F.min("user_id")).alias("user_id"), F.least(F.lit(1.0), F.avg("importance")).alias("importance"))
+    n = F.col("episodes").cast("string")
+    # The sentence of each type.
+    pattern = (
+        F.when(F.col("event_type") == "error", F.concat(F.lit("Recurring error pattern observed "), n, F.lit(" times"))).when(F.col("event_type") == "task_completion", F.concat(F.lit("Task completion pattern from "), n, F.lit(" experiences")))
+        .when(F.col("event_type") == "decision", F.concat(F.lit("Decision pattern observed across "), n, F.lit(" instances"))).when(F.col("event_type") == "discovery", F.concat(F.lit("Learning pattern from "), n, F.lit(" discoveries")))
+        .otherwise(F.concat(F.lit("Pattern extracted from "), n, F.lit(" related conversations")))
+    )
+    return found.select("group", pattern.alias("pattern"), F.least(F.lit(1.0), 0.5 + 0.1 * F.col("episodes")).alias("confidence"), "episodes", "user_id", "importance")
+
+
+def merge_semantic(rows: DataFrame) -> DataFrame:
+    """rows(group, id, text, summary, confidence) of one group as one: (group, id, content, summary, members, confidence).
+
+    Different texts (in lower case, trimmed) once each, in order of id, with a blank line between; the longest
+    summary; the first confidence + .05 a member.  A text that many members share is kept once before the group is put together.
+    """
+    texts = rows.groupBy("group", F.lower(F.trim("text")).alias("_t")).agg(F.min_by(F.trim("text"), "id").alias("text"), F.min("id").alias("id"))
+    content = texts.groupBy("group").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("id", "text"))), lambda x: x["text"]), "\n\n").alias("content"))
+    heads = rows.groupBy("group").agg(F.min("id").alias("id"), F.max_by("summary", F.struct(F.length("summary"), -F.col("id"))).alias("summary"), F.count(F.lit(1)).alias("members"), F.min_by("confidence", "id").alias("_c"))
+    return heads.join(content, "group").select("group", "id", "content", "summary", "members", F.when(F.col("members") == 1, F.col("_c")).otherwise(F.least(F.lit(1.0), F.col("_c") + 0.05 * F.col("members"))).alias("confidence"))
+
+
+def keep_better(rows: DataFrame, pairs: DataFrame, better: list) -> DataFrame:
+    """Rows without those that have a better one (by the order of ``better``, then the smaller id) among their pairs (a, b).
+
+    One pass: a row that goes may itself have been the better one of a third.
+    """
+    rank = rows.select("id", F.struct(*better, (-F.col("id")).alias("_id")).alias("_rank"))
+    both = pairs.join(rank.withColumnsRenamed({"id": "a", "_rank": "_a"}), "a").join(rank.withColumnsRenamed({"id": "b", "_rank": "_b"}), "b")
+    worse = both.select(F.when(F.col("_a") > F.col("_b"), F.col("b")).otherwise(F.col("a")).alias("id")).distinct()
+    return rows.join(worse, "id", "left_anti")

@@ -86,3 +86,10 @@ def keep_last(rows: DataFrame, group: list[str], order: list[Column], n: int) ->
 def first_rows(rows: DataFrame, group: list[str], order: list[Column], n: int) -> DataFrame:
     ranked = rows.withColumn("_rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order)))
     return ranked.where(F.col("_rank") <= n).drop("_rank")
+
+
+def evict_oldest(rows: DataFrame, group: list[str], order: list[str], n: int) -> DataFrame:
+    """Rows of every group without its ``n`` oldest, numbered anew from 0 as ``seq``."""
+    line = Window.partitionBy(*group).orderBy(*order)
+    kept = rows.withColumn("_r", F.row_number().over(line)).where(F.col("_r") > n)
+    return kept.withColumn("seq", (F.col("_r") - n - 1).cast("long")).drop("_r")

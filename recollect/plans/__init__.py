@@ -1,0 +1,3 @@
+"""Registered queries by area; importing the package registers all of them."""
+
+from recollect.plans import catalog, conflicts, extraction, graphs, life, questions, retrieval, small  # noqa: F401

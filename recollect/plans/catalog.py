@@ -244,8 +244,8 @@ _doc("word_tokens", r"SELECT doc_id, CAST(len(regexp_extract_all(lower(text), '[
 _doc(
     "jaccard_pairs",
     f"""WITH s AS (SELECT doc_id, unnest(w) AS w, len(w) AS n FROM (SELECT doc_id, {_TOK} AS w FROM documents)),
-  p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common, any_value(a.n) AS size_a, any_value(b.n) AS size_b FROM s a JOIN s b ON a.w = b.w AND a.doc_id < b.doc_id GROUP BY ALL)
-  SELECT a, b, CAST(common AS INT) AS both, CAST(size_a AS INT) AS size_a, CAST(size_b AS INT) AS size_b FROM p WHERE 100 * common >= 90 * (size_a + size_b - common)""".replace("GROUP BY ALL", "GROUP BY a.doc_id, b.doc_id").replace("AS both", 'AS "both"'),
+  p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS common, any_value(a.n) AS size_a, any_value(b.n) AS size_b FROM s a JOIN s b ON a.w = b.w AND a.doc_id < b.doc_id GROUP BY ALL), r AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY list_sort({_TOK})) AS rep FROM documents)
+  SELECT a, b, CAST(common AS INT) AS both, CAST(size_a AS INT) AS size_a, CAST(size_b AS INT) AS size_b FROM p JOIN r x ON x.doc_id = a JOIN r y ON y.doc_id = b WHERE x.rep = a AND (y.rep = b OR y.rep = a) AND 100 * common >= 90 * (size_a + size_b - common)""".replace("GROUP BY ALL", "GROUP BY a.doc_id, b.doc_id").replace("AS both", 'AS "both"'),
     lambda d: joins.jaccard_pairs(d.select(F.col("doc_id").alias("id"), "text"), 90),
 )
 
@@ -353,11 +353,6 @@ _add(
     f"SELECT subject, arg_max(object, (dated, fact_id)) AS object FROM {_ORDERS} WHERE dated <= TIMESTAMP '1996-06-30' GROUP BY subject",
     lambda spark, d: joins.state_as_of(_history(spark, d), ["subject"], "dated", ["dated", "fact_id"], F.lit("1996-06-30").cast("timestamp_ntz")).select("subject", "object"),
 )
-_add(
-    "fact_inconsistency",
-    f"SELECT a.fact_id AS a, b.fact_id AS b, a.subject AS subject FROM {_ORDERS} a JOIN {_ORDERS} b ON a.subject = b.subject AND a.fact_id < b.fact_id AND a.object <> b.object",
-    lambda spark, d: joins.same_key_pairs(_history(spark, d), ["subject"], "object"),
-)
 _add(
     "fact_store_stats",
     f"SELECT count(*) AS total, count(DISTINCT subject) AS subjects, count(DISTINCT object) AS objects FROM {_ORDERS}",
@@ -376,18 +371,6 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 _add("graph_stats", f"SELECT coalesce(relation, 'all') AS relation, count(*) AS n FROM {_EDGES} GROUP BY ROLLUP (relation)", lambda spark, d: edges(spark, d).rollup("relation").count().select(F.coalesce("relation", F.lit("all")).alias("relation"), F.col("count").alias("n")))
 _add("concept_degree", f"SELECT node, count(*) AS degree FROM (SELECT source AS node FROM {_EDGES} UNION ALL SELECT target FROM {_EDGES}) GROUP BY node", lambda spark, d: graph.degree(edges(spark, d)))
 _add("kg_match", f"SELECT source, relation, target FROM {_EDGES} WHERE source = 'n3' OR target = 'n3'", lambda spark, d: graph.match(edges(spark, d), entity="n3"))
-_add(
-    "related_entities",
-    f"""WITH RECURSIVE e AS (SELECT source AS x, target AS y FROM {_EDGES} UNION SELECT target, source FROM {_EDGES}),
-  r AS (SELECT 'r1' AS node, 0 AS hop UNION SELECT y, hop + 1 FROM r JOIN e ON x = node WHERE hop < 2)
-  SELECT 'r1' AS seed, node, min(hop) AS hop FROM r GROUP BY node""",
-    lambda spark, d: graph.reach(edges(spark, d), edges(spark, d).where("target = 'r1'").select(F.col("target").alias("seed")).distinct(), 2),
-)
-_add(
-    "two_hop_facts",
-    f"SELECT DISTINCT a.source AS seed, b.source, b.relation, b.target FROM {_EDGES} a JOIN {_EDGES} b ON b.source = a.target AND b.target <> a.source WHERE a.source LIKE 's%'",
-    lambda spark, d: graph.two_hop_facts(edges(spark, d), edges(spark, d).where("source like 's%'").select(F.col("source").alias("seed")).distinct()),
-)
 _add(
     "vector_knn",
     """WITH q AS (SELECT vec_id AS query_id, embedding AS a FROM embeddings WHERE vec_id % 50 = 0),
@@ -417,12 +400,6 @@ def said(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("c_custkey", F.concat(F.lit("I moved from "), F.initcap("r_name"), F.lit(" "), years, F.lit(" years ago. I like "), F.lower("c_mktsegment"), F.lit(".")).alias("text"))
 
 
-_add(
-    "extract_facts",
-    f"SELECT c_custkey, 'moved_from' AS relation, 'state_change' AS fact_type, lower(place) AS object FROM {_SAID} UNION ALL SELECT c_custkey, 'likes', 'preference', thing FROM {_SAID}",
-    lambda spark, d: extract.extract_facts(said(spark, d)).drop("text"),
-)
-_add("duration_expression", f"SELECT c_custkey, CAST(years * 365 AS INT) AS days FROM {_SAID}", lambda spark, d: said(spark, d).select("c_custkey", extract.duration_days(F.col("text")).alias("days")))
 _add(
     "resolve_first_person",
     f"SELECT c_custkey, 'Ann moved from ' || place || ' ' || years || ' years ago. Ann like ' || thing || '.' AS text FROM {_SAID}",
@@ -460,11 +437,6 @@ _add(
     f"SELECT CAST(subject AS VARCHAR) AS subject, 'status' AS predicate, lower(object) AS object, arg_min(fact_id, (dated, fact_id)) AS fact_id, count(*) AS evidence, round(least(1.0, 0.5 + 0.1 * (count(*) - 1)), 6) AS confidence FROM {_ORDERS} GROUP BY subject, lower(object)",
     lambda spark, d: lifecycle.merge_facts(_history(spark, d).withColumns({"predicate": F.lit("status"), "confidence": F.lit(0.5)})).withColumn("confidence", F.round("confidence", 6)),
 )
-_turn(
-    "promote_stm",
-    "SELECT conv_id AS session_id, count(*) AS items, CAST(sum(length(text)) AS BIGINT) AS chars, coalesce(bool_or(back <= 3 AND regexp_matches(lower(text), 'done|fixed|complete|working')), FALSE) AS completed FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations) GROUP BY conv_id",
-    lambda c: lifecycle.session_summary(c.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), "text")),
-)
 _turn(
     "units_all_levels",
     """WITH t AS (SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS follows FROM conversations)
@@ -473,12 +445,6 @@ _turn(
   UNION ALL SELECT DISTINCT 'session', 's' || conv_id, NULL, conv_id FROM t""",
     lambda c: lifecycle.units_all_levels(c.select(F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), F.col("role").alias("speaker"))),
 )
-_add(
-    "duplicate_groups",
-    None,
-    lambda spark, d: (lambda docs: lifecycle.leaders(docs, joins.jaccard_pairs(docs, 90).select("a", "b")).withColumnsRenamed({"id": "doc_id"}))(_read(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")),
-)
-
 # ---- streams, each run over all events that are there
 
 _add(

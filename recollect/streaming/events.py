@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from recollect.operators.shared import shared_folder
 from recollect.operators.tables import upsert_by_key
 
 
@@ -20,8 +20,7 @@ def event_stream(spark: SparkSession, folder: str, files: str = "events.parquet"
 
 def work_folder(spark: SparkSession) -> str:
     """A new folder below the shared one of the session."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="recollect-stream-")
-    return f"{shared}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def drain(stream: DataFrame, folder: str) -> DataFrame:
@@ -36,9 +35,9 @@ def dedupe(stream: DataFrame, keys: list[str], within: str) -> DataFrame:
     return stream.withWatermark("ts", within).dropDuplicatesWithinWatermark(keys)
 
 
-def windowed_counts(stream: DataFrame, kind: str, width: str, late: str) -> DataFrame:
-    """Counts of each kind in tumbling windows; a window comes out when the watermark has passed it."""
-    return stream.withWatermark("ts", late).groupBy(kind, F.window("ts", width).alias("w")).count().select(kind, F.col("w.start").alias("start"), F.col("count").alias("n"))
+def windowed_counts(stream: DataFrame, kind: str, width: str, late: str, slide: str | None = None) -> DataFrame:
+    """Counts of each kind in tumbling (or sliding) windows; a window comes out when the watermark has passed it."""
+    return stream.withWatermark("ts", late).groupBy(kind, F.window("ts", width, slide).alias("w")).count().select(kind, F.col("w.start").alias("start"), F.col("count").alias("n"))
 
 
 def sessions(stream: DataFrame, key: str, gap: str, late: str) -> DataFrame:

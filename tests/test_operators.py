@@ -46,8 +46,22 @@ def test_jaccard_pairs_are_exact(spark, percent):
     rows = [(i, " ".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(0, 7)))) for i in range(80)] + [(90, None), (91, "")]
     got = {(r.a, r.b) for r in joins.jaccard_pairs(spark.createDataFrame(rows, "id int, text string"), percent).collect()}
     sets = [(i, set((t or "").split())) for i, t in rows]
-    want = {(i, j) for i, x in sets for j, y in sets if i < j and x and y and 100 * len(x & y) >= percent * len(x | y)}
-    assert got == want
+    first = {i: min(j for j, y in sets if x == y) for i, x in sets}
+    want = {(i, j) for i, x in sets for j, y in sets if i < j and x and y and first[i] == i and first[j] in (i, j) and 100 * len(x & y) >= percent * len(x | y)}
+    assert got == want and len(got) < len([1 for i, x in sets for j, y in sets if i < j and x and y and 100 * len(x & y) >= percent * len(x | y)])
+
+
+def test_copies_and_their_leaders(spark):
+    from recollect.operators.lifecycle import duplicate_leaders
+
+    rnd = random.Random(8)
+    rows = [(i, " ".join(rnd.choice("abcdef") for _ in range(rnd.randint(0, 6)))) for i in range(60)] + [(70, None)]
+    sets, lead = {i: set((t or "").split()) for i, t in rows}, {}
+    for j, y in sets.items():
+        near = [i for i, x in sets.items() if i < j and lead[i] == i and ((x == y) if not x or not y else 100 * len(x & y) >= 70 * len(x | y))]
+        lead[j] = min(near) if near else j
+    got = {r.id: r.leader for r in duplicate_leaders(spark.createDataFrame(rows, "id int, text string"), 70).collect()}
+    assert {i: got[i] for i in sets if sets[i]} == {i: lead[i] for i in sets if sets[i]}
 
 
 def test_graph_with_cycle_and_hub(spark):
@@ -58,6 +72,12 @@ def test_graph_with_cycle_and_hub(spark):
     assert {k[1]: v for k, v in got.items() if k[0] == "a"} == {"a": 0, "b": 1, "c": 2, "d": 3}
     assert sum(k[0] == "hub" for k in got) == 13
     assert {r.node: r.degree for r in graph.degree(edges).collect()}["c"] == 3
+    near = {(r.seed, r.node): r.hop for r in graph.related(edges, seeds, 2).collect()}
+    assert {k[1]: v for k, v in near.items() if k[0] == "a"} == {"b": 1, "c": 1, "d": 2} and sum(k[0] == "hub" for k in near) == 10
+    pairs = spark.createDataFrame([("a", "e"), ("e", "b"), ("a", "hub"), ("a", "a")], "start string, end string")
+    paths = {(r.start, r.end): (r.length, r.path) for r in graph.shortest_path(edges, pairs).collect()}
+    assert paths == {("a", "e"): (3, ["a", "c", "d", "e"]), ("e", "b"): (3, ["e", "d", "c", "b"]), ("a", "a"): (0, ["a"])}
+    assert {(r.seed, r.source, r.target) for r in graph.subgraph(edges, seeds.where("seed = 'a'")).collect()} == {("a", *e) for e in (("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"))}
 
 
 def test_upsert_touch_and_filters(spark):
@@ -178,10 +198,66 @@ def test_ranking(spark):
 def test_conflicts(spark):
     from recollect.operators import conflicts
 
-    triplets = spark.createDataFrame([(1, "c", "lives_in", "NY"), (2, "c", "lives_in", "SF"), (3, "c", "likes", "x"), (4, "c", "dislikes", "x"), (5, "c", "likes", "y"), (6, "d", "lives_in", "SF")], "triplet_id long, source string, relation string, target string")
-    assert sorted(map(tuple, conflicts.triplet_conflicts(triplets).collect())) == [(1, 2, "exclusive"), (3, 4, "polarity")]
-    facts = spark.createDataFrame([(1, 10, 0.9, 1, 0.1, "inference"), (2, 20, 0.5, 9, 0.8, "user_input")], "fact_id long, created_at int, confidence double, access_count int, importance double, source string")
+    triplets = spark.createDataFrame([(1, "c", "lives_in", "NY", True), (2, "c", "lives_in", "SF", True), (3, "c", "likes", "x", True), (4, "c", "dislikes", "x", True), (5, "c", "likes", "y", True), (6, "d", "lives_in", "SF", True), (7, "c", "lives_in", "LA", False), (8, "c", "lives_in", "sf", True)], "triplet_id long, source string, relation string, target string, is_current boolean")
+    assert sorted(map(tuple, conflicts.triplet_conflicts(triplets).collect())) == [("c", 1, 2, "exclusive"), ("c", 3, 4, "polarity")]
+    shape = "fact_id long, created_at timestamp_ntz, confidence double, access_count int, importance double, source string"
+    from datetime import datetime
+
+    facts = spark.createDataFrame([(1, datetime(2024, 1, 1), 0.9, 1, 0.1, "inference"), (2, datetime(2024, 1, 21), 0.5, 9, 0.8, "system"), (3, datetime(2024, 1, 21), 0.5, 9, 0.8, "system")], shape)
+
+    def won(a, b, strategy):
+        r = conflicts.resolve(spark.createDataFrame([(a, b)], "a long, b long"), facts, strategy).first()
+        return r.action, r.winner, round(r.confidence, 6)
+
+    assert [won(1, 2, s) for s in conflicts.STRATEGIES] == [("keep_b", 2, 0.7), ("keep_a", 1, 0.9), ("keep_b", 2, 0.9), ("keep_b", 2, 0.9), ("keep_b", 2, 0.95), ("merge", None, 0.7), ("keep_both", None, 0.5), ("defer", None, 0.0)]
+    # of equals the first wins, the second by recency
+    assert [won(2, 3, s) for s in list(conflicts.STRATEGIES)[:5]] == [("keep_b", 3, 0.5), ("keep_a", 2, 0.5), ("keep_a", 2, 0.75), ("keep_a", 2, 0.6), ("keep_a", 2, 0.6)]
     pairs = spark.createDataFrame([(1, 2)], "a long, b long")
-    won = {s: conflicts.resolve(pairs, facts, s).first().winner for s in conflicts.STRATEGIES}
-    assert won == {"recency": 2, "confidence": 1, "frequency": 2, "importance": 2, "source": 2, "keep_both": None, "merge": None, "defer": None}
-    assert [r.fact_id for r in conflicts.apply_resolutions(facts, conflicts.resolve(pairs, facts, "recency")).collect()] == [2]
+    assert [(r.fact_id, r.status) for r in conflicts.apply_resolutions(facts, conflicts.resolve(pairs, facts, "recency")).orderBy("fact_id").collect()] == [(2, "kept"), (3, "kept")]
+    assert [(r.fact_id, r.status) for r in conflicts.apply_resolutions(facts, conflicts.resolve(pairs, facts, "keep_both")).orderBy("fact_id").collect()] == [(1, "conflicted"), (2, "conflicted"), (3, "kept")]
+    assert spark.range(1).select(conflicts.choose_strategy(F.lit("preference_conflict"), F.lit("critical")).alias("x")).first().x == "user_guided"
+
+
+def test_updates_of_facts_in_order(spark):
+    from recollect.operators import conflicts
+
+    rows = [(1, "Caroline", "likes", "hiking", 1), (2, "caroline", "like", "Hiking", 2), (3, "Caroline", "dislikes", "hiking", 3), (4, "Caroline", "lives in", "New York", 4), (5, "Caroline", "lives in", "San Francisco", 5), (6, "Caroline", "likes", "swimming", 6)]
+    got = {r.fact_id: (r.outcome, r.superseded_by) for r in conflicts.fold_updates(spark.createDataFrame(rows, "fact_id long, subject string, predicate string, object string, at int"), ["at"]).collect()}
+    assert got == {1: ("new", 3), 2: ("duplicate", None), 3: ("supersedes", None), 4: ("new", 5), 5: ("supersedes", None), 6: ("new", None)}
+
+
+def test_small_operators(spark):
+    from recollect.operators import facts
+
+    rows = spark.createDataFrame([(1, ("x", ["p", "q"], [("no",)], ("deep",)))], "id int, m struct<a: string, tags: array<string>, skipped: array<struct<z: string>>, more: struct<b: string>>")
+    assert facts.flatten_metadata(rows, "m").first().asDict() == {"id": 1, "a": "x", "tags": "p,q", "more.b": "deep"}
+    old, new = spark.createDataFrame([(1, 5, "a"), (2, 6, "b")], "vec_id int, x int, t string"), spark.createDataFrame([(2, None, "c"), (3, 7, "d")], "vec_id int, x int, t string")
+    assert sorted(map(tuple, facts.vector_update(old, new).collect())) == [(1, 5, "a"), (2, 6, "c"), (3, 7, "d")]
+    near = spark.createDataFrame([(1, 9, 0.97, 0, False), (2, 9, 0.5, 5, False), (3, 9, 0.5, 1, True), (4, 9, 0.05, 9, False), (5, 9, 0.3, 1, False)], "id int, other int, similarity double, fresh int, contradicts boolean")
+    assert {r.id: (r.action, r.target) for r in facts.decide(near, spark.range(1, 7)).collect()} == {1: ("NOOP", 9), 2: ("UPDATE", 9), 3: ("DELETE", 9), 4: ("ADD", None), 5: ("ADD", None), 6: ("ADD", None)}
+
+
+def test_folder_is_only_local_on_one_machine(spark, monkeypatch):
+    from recollect.operators import shared
+
+    class Elsewhere:
+        class sparkContext:
+            master = "spark://head:7077"
+
+            class _jsc:
+                @staticmethod
+                def sc():
+                    return type("c", (), {"getCheckpointDir": staticmethod(lambda: type("o", (), {"isDefined": staticmethod(lambda: False)}))})
+
+            @staticmethod
+            def getConf():
+                return {}
+
+        class conf:
+            @staticmethod
+            def get(*_):
+                return None
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.shared_folder(Elsewhere)
+    assert shared.shared_folder(spark)
