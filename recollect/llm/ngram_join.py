@@ -6,11 +6,14 @@ hash.  Two sets with Jaccard >= t share a shingle among the first
 prefix shingles that two different sets hold go further.  Which shingles count as
 frequent changes the work, never the result.
 
-Tiles.  A block (the sets with one prefix shingle) of a few sets gives its pairs
-directly; a larger one is dealt into tiles of bounded size, and each pair of tiles
-is one task.  In a tile the sets are in order of size, only sizes within the
-threshold meet, and hashed bitmap signatures bound the overlap from above:
-``|A & B| <= |A| - bits(sig A & ~sig B)``.  What passes is joined to *families*.
+Tiles.  The blocks (the sets with one prefix shingle) are counted first.  One of a
+few sets gives its pairs directly; a larger one is never gathered: its sets are dealt
+into tiles of bounded size, by size band and then by hash.  Bands are so wide that
+only sets of one band or of two neighbouring ones can reach the threshold, so only
+their tiles are paired; each pair of tiles is one task.  In it the sets are in order
+of size, only sizes within the threshold meet, and hashed bitmap signatures bound the
+overlap from above: ``|A & B| <= |A| - bits(sig A & ~sig B)``.  What passes is joined
+to *families*.
 
 Verification.  Each family's sorted shingle arrays meet once, again in tiles, and
 are intersected exactly; a pair already connected is not compared again.  A tile
@@ -22,11 +25,12 @@ Shingles are 64-bit hashes of ``k`` words; equal sets are one node throughout.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from recollect.llm._shared import cut, join_split, narrow
@@ -35,7 +39,7 @@ from recollect.llm.components import components
 
 LEAST_BITS = 1024  # of a signature; it has twice its set's size at least, a power of two
 SMALL_BLOCK = 32  # sets of a block that are paired directly
-TILE = 2048  # sets of a tile
+TILE = 1024  # sets of a tile
 FREQUENT = 1 << 20  # entries at most in the list of frequent shingles
 NODE = "node long, n long"
 
@@ -158,11 +162,11 @@ def _prefix_rows(k: int, percent: int, frequent):
 
 
 def _block_rows(percent: int):
-    """Pairs of small blocks as (a, b); sets of larger blocks as (a, key)."""
+    """The pairs (a, b) of sets in small blocks, which come one behind the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, block, large = None, [], False
-        a, b, keys = [], [], []
+        key, block = None, []
+        a, b = [], []
 
         def close():
             for j, (y, ny) in enumerate(block):
@@ -170,25 +174,17 @@ def _block_rows(percent: int):
                     if 100 * nx >= percent * ny:
                         a.append(min(x, y))
                         b.append(max(x, y))
-                        keys.append(None)
 
         for batch in batches:
             for now, node, n in zip(*(batch.column(c).to_pylist() for c in ("key", "node", "n")), strict=True):
                 if now != key:
                     close()
-                    key, block, large = now, [], False
-                if large or len(block) == SMALL_BLOCK:
-                    for x, _ in [*block, (node, n)]:
-                        a.append(x)
-                        b.append(None)
-                        keys.append(key)
-                    block, large = [], True
-                else:
-                    block.append((node, n))
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, keys)], names=["a", "b", "key"])
-            a, b, keys = [], [], []
+                    key, block = now, []
+                block.append((node, n))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b)], names=["a", "b"])
+            a, b = [], []
         close()
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b, keys)], names=["a", "b", "key"])
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (a, b)], names=["a", "b"])
 
     return run
 
@@ -218,13 +214,14 @@ def _plausible(percent: int):
 
 
 def _tile_forest(percent: int, exact: bool):
-    """Each set of a tile task with the root of its tree of links."""
+    """Each set of a tile task with the root of its tree of links; of two different tiles only pairs across them."""
 
     def run(table: pa.Table) -> pa.Table:
         n = table.column("n").to_numpy()
         order = np.lexsort((table.column("node").to_numpy(), n))
         table = table.take(pa.array(order))
-        n, node = n[order], table.column("node").to_numpy()
+        n, node, high = n[order], table.column("node").to_numpy(), table.column("is_high").to_numpy(zero_copy_only=False)
+        across = bool(high.any())
         signatures = table.column("signature").to_pylist()
         width = np.array([len(x) for x in signatures])  # grows with n, so each width is one range of rows
         ranges = {int(w): (int(np.searchsorted(width, w)), int(np.searchsorted(width, w, side="right"))) for w in np.unique(width)}
@@ -233,7 +230,8 @@ def _tile_forest(percent: int, exact: bool):
         root = np.arange(len(n))
         for i in range(1, len(n)):
             low = int(np.searchsorted(n, -(-percent * n[i] // 100)))
-            other = np.flatnonzero(root[low:i] != root[i]) + low
+            open_pairs = root[low:i] != root[i]
+            other = np.flatnonzero(open_pairs & (high[low:i] != high[i]) if across else open_pairs) + low
             if not len(other):
                 continue
             mine = bits[width[i]][i - ranges[width[i]][0]]
@@ -257,21 +255,40 @@ def _tile_forest(percent: int, exact: bool):
     return run
 
 
+def _band(n: Column, percent: int) -> Column:
+    """The size band of a set; sizes within the threshold are in one band or in neighbouring ones."""
+    width = max(math.log(100 / percent) * (1 + 1e-9), 1e-3)
+    return F.floor(F.ln(n) / width)
+
+
 def _tiled(rows: DataFrame, group: str, percent: int, exact: bool) -> DataFrame:
-    """Links (a, b) inside each group; groups of over TILE sets are dealt to pairs of tiles."""
-    sizes = rows.groupBy(group).agg(F.count(F.lit(1)).alias("members"))
-    tiles = F.ceil(F.col("members") / F.lit(TILE)).cast("int")
-    own = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
-    dealt = (
-        join_split(rows, sizes, [group], "inner")
-        .withColumn("tiles", tiles)
-        .withColumn("own", own)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-        .withColumn("low", F.least("own", "other"))
-        .withColumn("high", F.greatest("own", "other"))
-    )
-    columns = [group, "low", "high", "node", "n", "signature", *(["shingles"] if exact else [])]
-    return dealt.select(*columns).groupBy(group, "low", "high").applyInArrow(_tile_forest(percent, exact), "a long, b long")
+    """Links (a, b) inside each group; groups of over TILE sets are dealt to pairs of tiles of near sizes."""
+    rows = rows.withColumn("band", _band(F.col("n"), percent))
+    whole, line = Window.partitionBy(group), Window.partitionBy(group).orderBy("band")
+    counts = rows.groupBy(group, "band").agg(F.count(F.lit(1)).alias("members"))  # a few dozen rows a group
+    own = F.ceil(F.col("members") / F.lit(TILE)).cast("int")
+
+    def beside(step: int) -> Column:
+        return F.when(F.lag("band", step).over(line) == F.col("band") - step, F.lag(own, step).over(line)).otherwise(0)
+
+    tiles = counts.select(group, "band", own.alias("tiles"), beside(1).alias("before"), beside(-1).alias("after"), (F.sum("members").over(whole) > TILE).alias("dealt"))
+    placed = join_split(rows, tiles, [group, "band"], "inner").withColumn("own", F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int"))
+
+    def task(low_band, low, high_band, high, is_high) -> Column:
+        names = ("low_band", "low", "high_band", "high", "is_high")
+        kinds = ("long", "int", "long", "int", "boolean")
+        return F.struct(*[(v if isinstance(v, Column) else F.lit(v)).cast(k).alias(name) for v, name, k in zip((low_band, low, high_band, high, is_high), names, kinds, strict=True)])
+
+    def each(count: str, make) -> Column:
+        return F.transform(F.when(F.col(count) > 0, F.sequence(F.lit(0), F.col(count) - 1)).otherwise(F.array().cast("array<int>")), make)
+
+    band, mine = F.col("band"), F.col("own")
+    inside = each("tiles", lambda j: task(band, F.least(mine, j), band, F.greatest(mine, j), mine > j))
+    larger = each("after", lambda j: task(band, mine, band + 1, j, False))
+    smaller = each("before", lambda j: task(band - 1, j, band, mine, True))
+    tasks = F.when(F.col("dealt"), F.concat(inside, larger, smaller)).otherwise(F.array(task(0, 0, 0, 0, False)))
+    dealt = placed.withColumn("task", F.explode(tasks)).select(group, "task.*", "node", "n", "signature", *(["shingles"] if exact else []))
+    return dealt.groupBy(group, "low_band", "low", "high_band", "high").applyInArrow(_tile_forest(percent, exact), "a long, b long")
 
 
 def _set_rows(k: int):
@@ -321,15 +338,16 @@ def ngram_jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str
 
     keys = rows.select("text").mapInArrow(_prefix_rows(k, percent, late), "key long, node long, n long")
     repeated = keys.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high").select("key")
-    members = join_split(keys, repeated, ["key"], "left_semi").distinct().repartition("key").sortWithinPartitions("key", "n", "node")
-    blocks = cut(members.mapInArrow(_block_rows(percent), "a long, b long, key long"))
+    members = cut(join_split(keys, repeated, ["key"], "left_semi").distinct())
+    crowded = members.groupBy("key").agg(F.count(F.lit(1)).alias("sets")).where(F.col("sets") > SMALL_BLOCK).select("key")
+    few = members.join(crowded, "key", "left_anti").repartition("key").sortWithinPartitions("key", "n", "node")
 
     sets = units.where("n > 0").groupBy("node").agg(F.min("unit").alias("unit"), F.first("n").alias("n"), F.first("signature").alias("signature"))
-    pairs = blocks.where("b is not null").select("a", "b").distinct()
+    pairs = few.mapInArrow(_block_rows(percent), "a long, b long").distinct()
     for c in "ab":
         pairs = pairs.join(sets.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("signature").alias(f"sig_{c}")), c)
     close = pairs.select("a", "b", "n_a", "n_b", "sig_a", "sig_b").mapInArrow(_plausible(percent), "a long, b long")
-    large = blocks.where("key is not null").select("key", F.col("a").alias("node")).join(sets.select("node", "n", "signature"), "node")
+    large = join_split(members, crowded, ["key"], "left_semi").select("key", "node").join(sets.select("node", "n", "signature"), "node")
     family = components(close.union(_tiled(large, "key", percent, exact=False))).select("node", F.col("component").alias("family"))
 
     wanted = family.join(sets.select("node", "unit"), "node")

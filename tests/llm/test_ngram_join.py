@@ -1,7 +1,10 @@
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 import recollect.llm.ngram_join as ngram_join
-from recollect.llm.ngram_join import ngram_jaccard_components
+from recollect.llm.ngram_join import _band, ngram_jaccard_components
 
 
 def shingles(text, k=5):
@@ -60,6 +63,25 @@ def test_against_brute_force(spark, monkeypatch):
     assert run(spark, rows) == brute(rows)
 
 
+def test_sizes_at_the_edge_of_their_bands(spark, monkeypatch):
+    """Sets of 4 / 5 of each other's size, some bands apart, in groups of many tiles."""
+    monkeypatch.setattr(ngram_join, "SMALL_BLOCK", 2)
+    monkeypatch.setattr(ngram_join, "TILE", 4)
+    base = [f"b{i}" for i in range(160)]
+    lengths = [16, 20, 25, 31, 32, 40, 50, 63, 64, 80, 100, 125, 128, 156, 160]
+    rows = [(10 * i + c, " ".join([*base[: n + 4], *([] if c < 3 else [f"x{i}{c}"])])) for i, n in enumerate(lengths) for c in range(4)]
+    assert run(spark, rows) == brute(rows)
+    got = {d: c for d, _, c in run(spark, [(i, " ".join(base[: n + 4])) for i, n in enumerate((64, 80, 100, 126))])}
+    assert got == {0: 0, 1: 0, 2: 0, 3: 3}
+
+
+@pytest.mark.parametrize("percent", [1, 37, 80, 99, 100])
+def test_bands_keep_near_sizes_beside_each_other(spark, percent):
+    n = 1500 if percent > 1 else 400
+    bands = [r.b for r in spark.range(1, n + 1).select(_band(F.col("id"), percent).alias("b")).collect()]
+    assert all(bands[-(-percent * y // 100) - 1] >= bands[y - 1] - 1 for y in range(1, n + 1)) and bands == sorted(bands)
+
+
 def test_long_sets_of_several_signature_widths(spark):
     rnd = random.Random(6)
     rows = []
