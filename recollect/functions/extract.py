@@ -11,7 +11,7 @@ _END = r"(?=[.,!?;]|$)"
 _THING = r"([a-z0-9][a-z0-9' -]*?)"
 #: (pattern with one group, the object; the relation it states; its type; whether "and" and commas part it).
 FACT_PATTERNS = [
-    (rf"\bi (?:really |absolutely )?(?:love|like|enjoy) ([a-z][a-z' ,-]*?)(?=[.!?;]|$)", "likes", "preference", True),
+    (rf"\bi (?:really |absolutely )?(?:love|like|enjoy) ([a-z][a-z0-9' ,-]*?)(?=[.!?;]|$)", "likes", "preference", True),
     (rf"\bi (?:really )?(?:hate|dislike|can't stand) ([a-z][a-z' ,-]*?)(?=[.!?;]|$)", "dislikes", "preference", True),
     (rf"\bmy favorite [a-z]+ is {_THING}{_END}", "favorite", "preference", False),
     (rf"\bi moved from {_THING}(?= \d+ (?:years?|months?|weeks?|days?) ago|[.,!?;]|$)", "moved_from", "state_change", False),

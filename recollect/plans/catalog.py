@@ -495,7 +495,16 @@ _add(
     f"{_SCORED} SELECT query_id, memory_id, round(score + CASE WHEN row_number() OVER (PARTITION BY query_id, lang ORDER BY score DESC, memory_id) = 1 THEN 0.1 ELSE 0 END, 6) AS score FROM s",
     lambda spark, d: ranking.diversity_bonus(_scored(spark, d), "lang").select("query_id", "memory_id", F.round("score", 6).alias("score")),
 )
-_add("mmr_rerank", None, lambda spark, d: ranking.mmr_rerank(_scored(spark, d), most=20).withColumn("score", F.round("score", 6)))
+_add(
+    "mmr_rerank",
+    rf"""WITH RECURSIVE {_SCORED.removeprefix("WITH ")}, cc AS MATERIALIZED (SELECT query_id, memory_id, score, {_TOK} AS w FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory_id) AS r FROM s) WHERE r <= 20),
+  k AS MATERIALIZED (SELECT a.query_id, a.memory_id, any_value(a.score) AS score, list(b.memory_id ORDER BY b.memory_id) AS ids, list(CASE WHEN len(a.w) > 0 AND len(b.w) > 0 THEN len(list_intersect(a.w, b.w)) / len(list_distinct(list_concat(a.w, b.w))) ELSE 0 END ORDER BY b.memory_id) AS near FROM cc a JOIN cc b ON a.query_id = b.query_id GROUP BY a.query_id, a.memory_id),
+  z AS (SELECT query_id, []::BIGINT[] AS picked, 0::BIGINT AS memory_id, 0::DOUBLE AS value, 0 AS rank FROM (SELECT DISTINCT query_id FROM k) UNION ALL
+    SELECT query_id, list_append(picked, memory_id), memory_id, score - 0.3 * penalty, rank + 1 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY 0.7 * score - 0.3 * penalty DESC, memory_id) AS r FROM (
+      SELECT z.query_id, picked, k.memory_id, score, rank, coalesce(list_max(list_transform(picked, lambda p: near[list_position(ids, p)])), 0) AS penalty FROM z JOIN k ON k.query_id = z.query_id AND NOT list_contains(picked, k.memory_id))) WHERE r = 1)
+  SELECT query_id, memory_id, round(value, 6) AS score, rank FROM z WHERE rank > 0""",
+    lambda spark, d: ranking.mmr_rerank(_scored(spark, d), most=20).withColumn("score", F.round("score", 6)),
+)
 _add(
     "rank_shift",
     f"{_SCORED} SELECT query_id, memory_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory_id) - row_number() OVER (PARTITION BY query_id ORDER BY score * (1 + 1.0 / length(text)) DESC, memory_id) AS INT) AS shift FROM s WHERE length(text) > 0",

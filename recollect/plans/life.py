@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.functions import scores
+from recollect.functions import extract, scores
 from recollect.operators import joins, lifecycle
 from recollect.plans.catalog import _TOK, _add, _clamp, _mem, _read, _slow, _turn
 from recollect.streaming import events
@@ -120,3 +120,14 @@ _add(
     "SELECT * FROM (SELECT event_type, w AS start, count(*) AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL 30 MINUTE, ts), time_bucket(INTERVAL 30 MINUTE, ts) - INTERVAL 30 MINUTE]) AS w FROM events) GROUP BY 1, 2) WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE",
     lambda spark, d: events.drain(events.windowed_counts(events.event_stream(spark, d), "event_type", "1 hour", "10 minutes", "30 minutes"), events.work_folder(spark)).withColumn("start", F.col("start").cast("timestamp_ntz")),
 )
+
+
+def _ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as a stream: facts out of each, of every session and relation the newest."""
+    stream = events.event_stream(spark, sf_dir, "conversations.parquet", at=None).where("role = 'user'")
+    said = stream.select("conv_id", "turn", F.concat(F.lit("I live in room "), F.col("turn").cast("string"), F.lit(". I like tea "), F.col("conv_id").cast("string"), F.lit(".")).alias("text"))
+    facts = extract.extract_facts(said).select("conv_id", "relation", "object", "turn")
+    return events.latest(facts, ["conv_id", "relation"], "turn", events.work_folder(spark)).select("conv_id", "relation", "object")
+
+
+_add("stream_ingest", "SELECT conv_id, 'lives_in' AS relation, 'room ' || max(turn) AS object FROM conversations WHERE role = 'user' GROUP BY conv_id UNION ALL SELECT DISTINCT conv_id, 'likes', 'tea ' || conv_id FROM conversations WHERE role = 'user'", _ingested)

@@ -11,11 +11,11 @@ from recollect.operators.shared import shared_folder
 from recollect.operators.tables import upsert_by_key
 
 
-def event_stream(spark: SparkSession, folder: str, files: str = "events.parquet") -> DataFrame:
-    """The events below a folder as a stream; times are cast so that they can carry a watermark."""
+def event_stream(spark: SparkSession, folder: str, files: str = "events.parquet", at: str | None = "ts") -> DataFrame:
+    """The rows of a table below a folder as a stream; its time is cast so that it can carry a watermark."""
     schema = spark.read.parquet(f"{folder}/{files}").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", files).parquet(folder)
-    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
+    return stream if at is None else stream.withColumn(at, F.col(at).cast("timestamp"))
 
 
 def work_folder(spark: SparkSession) -> str:
