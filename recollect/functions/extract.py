@@ -270,3 +270,28 @@ def context_clean(text: Column) -> Column:
     """A context without clock stamps and speakers, ``(Date: x)`` as ``[x]``, blanks squeezed."""
     dated = F.regexp_replace(strip_stamp(text), r"\(Date: ([^)]*)\)", "[$1]")
     return F.trim(F.regexp_replace(F.regexp_replace(dated, r"(?m)^[A-Z][a-z]+: ", ""), r"[ \t]+", " "))
+
+
+# What two texts may say differently, and a negation with what it negates.
+STATES = [r"\b(is|am)\s+(single|married|divorced|engaged)\b", r"\b(live|lives|living)\s+in\s+(\w+)\b", r"\b(work|works)\s+(at|for)\s+(\w+)\b"]
+LIKES, HATES = r"\b(?:like|love|enjoy)s?\s+(\w+)\b", r"\b(?:hate|dislike|avoid)s?\s+(\w+)\b"
+NEGATED = [("not ", "is "), ("don't ", "do "), ("doesn't ", "does "), ("no longer ", "still ")]
+
+
+def contradicts(new: Column, old: Column) -> Column:
+    """Whether a text contradicts another: another state, place or job, a liking against a dislike of one thing, or a negation about one subject."""
+    a, b = F.lower(F.coalesce(new, F.lit(""))), F.lower(F.coalesce(old, F.lit("")))
+    out = F.lit(False)
+    for p in STATES:
+        out = out | (a.rlike(p) & b.rlike(p) & (F.regexp_extract(a, p, 0) != F.regexp_extract(b, p, 0)))
+    for x, y in ((a, b), (b, a)):
+        out = out | (x.rlike(LIKES) & y.rlike(HATES) & (F.regexp_extract(x, LIKES, 1) == F.regexp_extract(y, HATES, 1)))
+
+    def subjects(t: Column) -> Column:
+        own = F.lower(t).rlike("i |i'm|my |me ")
+        return F.concat(F.regexp_extract_all(t, F.lit(r"\b([A-Z][a-z]+)\b"), F.lit(1)), F.when(own, F.array(F.lit("User"))).otherwise(F.array().cast("array<string>")))
+
+    shared = F.size(F.array_intersect(subjects(new), subjects(old))) > 0
+    for neg, pos in NEGATED:
+        out = out | (F.contains(a, F.lit(neg)) & F.contains(b, F.lit(pos)) & shared)
+    return out

@@ -178,3 +178,50 @@ def expand(text: Column, most: int = 3) -> Column:
     every = F.slice(F.regexp_extract_all(text, F.lit(_NAME), F.lit(1)), 1, 2)
     about = F.flatten(F.transform(every, lambda n: F.array(F.concat(F.lit("What about "), n, F.lit("?")), F.concat(F.lit("Tell me about "), n))))
     return F.concat(F.array(text), F.slice(F.concat(F.array_compact(F.array(*other)), about), 1, most))
+
+
+# Compound questions about evidence and their steps; {0} is capitalised.
+STEPS = [
+    (r"what (?:is|are) ([a-z]+)'s ([a-z]+) (?:that|who|which) (.+)", ["Who {2}?", "What is {0}'s {1}?"]),
+    (r"would ([a-z]+) (.+) (?:because|since|given) (.+)", ["What do we know about {0}?", "Does {2} apply to {0}?", "Would {0} {1}?"]),
+    (r"what (?:personality|traits?|characteristics?) .+ ([a-z]+) .+ based on (.+)", ["What do we know about {0}?", "What {1}?", "What traits does this suggest?"]),
+    (r"(?:is|would|could) ([a-z]+) (?:be )?(?:considered )?(?:a |an )?([a-z]+).+(?:given|since|because) (.+)", ["What do we know about {0}?", "What is {2}?", "Is {0} a {1}?"]),
+]
+# Hypothetical answers by type of question.
+HYPOTHETICAL = {
+    "when": ["The event happened on {date}.", "This occurred in {year}.", "{person} did this on {date}."],
+    "who": ["{person} is the person who did this.", "The answer is {person}.", "{person} was responsible for this."],
+    "where": ["This happened in {location}.", "The location was {location}.", "{person} went to {location}."],
+    "what": ["{person} {action}.", "The answer is {thing}.", "{person} has {thing}."],
+    "how_long": ["It has been {duration}.", "This lasted for {duration}.", "The duration was {duration}."],
+    "yes_no": ["Yes, this is true because {reason}.", "No, this is not the case because {reason}."],
+}
+
+
+def evidence_steps(text: Column, most: int = 3) -> Column:
+    """Sub-questions of a compound question, else what is known about each of its names, then the question itself."""
+    low = _low(text)
+    out = F.when(F.lit(False), F.array(text))
+    for pattern, templates in STEPS:
+        filled = []
+        for t in templates:
+            pieces = re.split(r"\{(\d)\}", t)
+            filled.append(F.concat(*[(F.initcap(F.regexp_extract(low, pattern, 1)) if p == "0" else F.regexp_extract(low, pattern, int(p) + 1)) if i % 2 else F.lit(p) for i, p in enumerate(pieces)]))
+        out = out.when(low.rlike(pattern), F.array(*filled))
+    known = F.transform(F.slice(names(text), 1, most), lambda n: F.concat(F.lit("What do we know about "), n, F.lit("?")))
+    return out.otherwise(F.concat(known, F.array(text)))
+
+
+def hypothetical_type(text: Column) -> Column:
+    low = _low(text)
+    return (
+        F.when(mentions_any(text, ["how long", "how many years", "how many months"]), "how_long").when(low.rlike("^when|what time|what date"), "when").when(low.rlike("^who|whom"), "who")
+        .when(low.rlike("^where|what place"), "where").when(low.rlike("^(?:is|are|was|were|did|does|do|would|could) "), "yes_no").otherwise("what")
+    )
+
+
+def hypothetical_answers(text: Column) -> Column:
+    """Made-up answers of the question's type, with its first name for the person; other gaps stay marked."""
+    kind, who = hypothetical_type(text), F.coalesce(F.try_element_at(names(text), F.lit(1)), F.lit("{person}"))
+    table = F.create_map(*[x for k, v in HYPOTHETICAL.items() for x in (F.lit(k), F.array(*map(F.lit, v)))])
+    return F.transform(F.try_element_at(table, kind), lambda t: F.replace(t, F.lit("{person}"), who))

@@ -104,3 +104,43 @@ def speaker_boost(found: DataFrame, asked: DataFrame, by: float = 0.2) -> DataFr
     said = asked.select("query_id", F.explode(tokens(F.col("text"))).alias("_word")).distinct()
     hits = found.join(said, (found["query_id"] == said["query_id"]) & (F.lower(found["speaker"]) == said["_word"]), "left").drop(said["query_id"])
     return hits.withColumn("score", F.col("score") + F.when(F.col("_word").isNotNull(), by).otherwise(0.0)).drop("_word")
+
+
+def search_episodes(asked: DataFrame, turns: DataFrame, k: int = 10) -> DataFrame:
+    """(query_id, memory_id, score, rank): 1.5 for each keyword of the question that a turn has as a whole word."""
+    from recollect.functions.tokens import word_tokens
+
+    sought = asked.select("query_id", F.explode(questions.search_keywords(F.col("text"))).alias("word"))
+    said = turns.select("memory_id", F.explode(F.array_distinct(word_tokens(F.col("text")))).alias("word"))
+    rows = said.join(sought, "word").groupBy("query_id", "memory_id").agg((1.5 * F.count(F.lit(1))).alias("score"))
+    return top(rows, "score", k).select("query_id", "memory_id", "score", "rank")
+
+
+def conversation_context(turns: DataFrame, history: int = 5, relevant: int = 3) -> DataFrame:
+    """(session_id, context): a session's last turns, then the earlier ones that share most words with its last turn."""
+    line = Window.partitionBy("session_id").orderBy(F.desc("seq"))
+    placed = turns.withColumn("_back", F.row_number().over(line))
+    last = placed.where("_back = 1").select("session_id", tokens(F.col("text")).alias("_last"))
+    early = placed.where(F.col("_back") > history).join(last, "session_id").withColumn("_n", F.size(F.array_intersect(tokens(F.col("text")), "_last"))).where("_n > 0")
+    best = early.withColumn("_r", F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("_n"), "seq"))).where(F.col("_r") <= relevant)
+    kept = placed.where(F.col("_back") <= history).select("session_id", F.lit(0).alias("part"), "seq", "text").unionByName(best.select("session_id", F.lit(1).alias("part"), F.col("_r").cast("long").alias("seq"), "text"))
+    lines = kept.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("part", "seq", "text"))).alias("l"))
+    return lines.select("session_id", F.array_join(F.transform("l", lambda x: F.concat(F.when(x["part"] == 0, "- ").otherwise("* "), F.substring(x["text"], 1, 60))), "\n").alias("context"))
+
+
+def extract_answer(question: Column, context: Column) -> Column:
+    """struct(kind, answer): by the question's type a date or span, a name, a place, a quantity, yes or no, else the first line."""
+    kind = questions.question_type(question)
+
+    def first(*patterns: str) -> Column:
+        return F.coalesce(*[F.nullif(F.regexp_extract(context, p, 1), F.lit("")) for p in patterns])
+
+    when = first(r"(\d{1,2} (?:January|February|March|April|May|June|July|August|September|October|November|December) \d{4})", r"\b(\d{4})\b", r"(\d+ (?:years?|months?|weeks?|days?) ago)")
+    who = F.try_element_at(questions.names(context), F.lit(1))
+    where = first(r"\b(?:in|at|to|from) ([A-Z][a-z]+(?: [A-Z][a-z]+)*)")
+    many = first(r"(\d+) (?:years?|months?|weeks?|days?|hours?)", r"(\d+) (?:times?|people|items?|things?)")
+    votes = scores.speaks_for(context)
+    yes = F.when(votes > 0, "Yes").when(votes < 0, "No")
+    line = F.split_part(context, F.lit("\n"), F.lit(1))
+    answer = F.when(kind == "when", when).when(kind == "who", who).when(kind == "where", where).when(kind == "how_many", many).when(kind == "yes_no", yes).otherwise(line)
+    return F.struct(kind.alias("kind"), answer.alias("answer"))

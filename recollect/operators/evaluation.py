@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 def answer_normalise(text: Column) -> Column:
     """Lower case without articles and punctuation, blanks squeezed."""
-    bare = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"\b(a|an|the)\b", " ")
+    bare = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?U)\b(a|an|the)\b", " ")
     bare = F.regexp_replace(bare, r"[^\p{L}\p{N}_\s]", "")
     return F.trim(F.regexp_replace(bare, r"\s+", " "))
 
@@ -45,9 +45,15 @@ def contains_match(prediction: Column, truth: Column) -> Column:
 
 def multiset_f1(prediction: Column, truth: Column) -> Column:
     """F1 of normalised words, repeated ones counted as often as both have them."""
-    p, t = (F.filter(F.split(answer_normalise(x), " "), lambda w: w != "") for x in (prediction, truth))
-    both = F.aggregate(F.array_distinct(p), F.lit(0), lambda a, w: a + F.least(F.size(F.filter(p, lambda x: x == w)), F.size(F.filter(t, lambda x: x == w))))
-    return F.when(both == 0, F.lit(0.0)).otherwise(2 * both / (F.size(p) + F.size(t)))
+    words = [F.filter(F.split(answer_normalise(x), " "), lambda w: w != "") for x in (prediction, truth)]
+
+    def score(s: Column) -> Column:
+        p, t = s["p"], s["t"]
+        both = F.aggregate(F.array_distinct(p), F.lit(0), lambda a, w: a + F.least(F.size(F.filter(p, lambda x: x == w)), F.size(F.filter(t, lambda x: x == w))))
+        return F.when(both == 0, F.lit(0.0)).otherwise(2 * both / (F.size(p) + F.size(t)))
+
+    # within an array of one, so that the words are made once and not again for each word
+    return F.element_at(F.transform(F.array(F.struct(words[0].alias("p"), words[1].alias("t"))), score), 1)
 
 
 def score_by_category(rows: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recollect.functions import questions
+from recollect.functions import extract, questions
 from recollect.operators import answers, joins
 from recollect.plans import questions as asking
 from recollect.plans import retrieval as searching
@@ -90,3 +90,43 @@ _add(
     f"WITH {_ITEMS}, p AS (SELECT query_id, memory_id, role, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory_id) AS rank FROM s) WHERE rank <= 10) SELECT query_id, memory_id, round(score + CASE WHEN role = 'user' THEN 0.2 ELSE 0 END, 6) AS score FROM p",
     lambda spark, d: answers.speaker_boost(answers.search_items(_asked(spark, d), items(spark, d)).join(items(spark, d).select("memory_id", F.col("role").alias("speaker")), "memory_id"), _asked(spark, d).withColumn("text", F.lit("what did the User say"))).select("query_id", "memory_id", F.round("score", 6).alias("score")),
 )
+
+_add(
+    "search_episodes",
+    rf"""WITH q AS (SELECT item_id AS query_id, unnest(list_distinct(list_concat(list_filter(list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}_]+'), lambda w: w <> ''), lambda w: length(w) > 2 AND NOT list_contains({asking._list_sql(questions.STOP_KEYWORDS)}, w)), list_transform(list_filter(regexp_split_to_array(text, '[^\p{{L}}\p{{N}}_]+'), lambda w: regexp_full_match(w, '[A-Z][a-z]+')), lambda w: lower(w))))) AS w FROM benchmark),
+  t AS (SELECT conv_id * 100 + turn AS memory_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{3,}}'))) AS w FROM conversations), s AS (SELECT query_id, memory_id, CAST(1.5 * count(*) AS DOUBLE) AS score FROM q JOIN t USING (w) GROUP BY ALL) {_ranked('s')}""",
+    lambda spark, d: answers.search_episodes(_asked(spark, d), items(spark, d)),
+)
+_add(
+    "conversation_context",
+    f"""WITH p AS (SELECT *, {_TOK} AS w, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations), e AS (SELECT p.conv_id, p.turn, p.text, len(list_intersect(p.w, l.w)) AS n FROM p JOIN p l ON l.conv_id = p.conv_id AND l.back = 1 WHERE p.back > 5),
+  b AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY n DESC, turn) AS r FROM e WHERE n > 0), k AS (SELECT conv_id, 0 AS part, turn AS seq, text FROM p WHERE back <= 5 UNION ALL SELECT conv_id, 1, r, text FROM b WHERE r <= 3)
+  SELECT conv_id AS session_id, string_agg(CASE part WHEN 0 THEN '- ' ELSE '* ' END || left(text, 60), chr(10) ORDER BY part, seq) AS context FROM k GROUP BY conv_id""",
+    lambda spark, d: answers.conversation_context(_read(spark, d, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), "text")),
+)
+_TEXT = "who || ' moved to ' || place || ' on 7 May 2023, ' || (query_id % 9 + 2) || ' years ago.' || chr(10) || 'It is true.'"
+_KIND = "CASE " + " ".join(f"WHEN regexp_matches(l, '{p}') THEN '{n}'" for n, ps in questions.TYPES for p in ps) + " ELSE 'what' END"
+_add(
+    "answer_extractive",
+    f"SELECT query_id, kind, CASE kind WHEN 'when' THEN '7 May 2023' WHEN 'who' THEN who WHEN 'where' THEN place WHEN 'how_many' THEN CAST(query_id % 9 + 2 AS VARCHAR) WHEN 'yes_no' THEN 'Yes' ELSE split_part({_TEXT}, chr(10), 1) END AS answer FROM (SELECT *, {_KIND} AS kind FROM {asking.ASKED})",
+    lambda spark, d: asking.asked(spark, d).withColumn("text", F.concat("who", F.lit(" moved to "), "place", F.lit(" on 7 May 2023, "), (F.col("query_id") % 9 + 2).cast("string"), F.lit(" years ago.\nIt is true."))).withColumn("a", answers.extract_answer(F.col("q"), F.col("text"))).select("query_id", "a.kind", "a.answer"),
+)
+_NAMED = f"list_filter({asking._ONCE.format(asking._CAPS)}, lambda w: NOT list_contains({asking._list_sql(questions.NO_NAMES)}, w))"
+_add(
+    "decompose_evidence",
+    f"SELECT query_id, array_to_string(list_concat(list_transform({_NAMED}[1:3], lambda n: 'What do we know about ' || n || '?'), [q]), ' | ') AS found FROM {asking.ASKED} WHERE query_id % 12 <> 11 UNION ALL SELECT query_id, 'What do we know about ' || who || '? | Does he is glad apply to ' || who || '? | Would ' || who || ' likely work?' FROM {asking.ASKED} WHERE query_id % 12 = 11",
+    lambda spark, d: asking.asked(spark, d).withColumn("q", F.when(F.col("query_id") % 12 == 11, F.concat(F.lit("Would "), "who", F.lit(" likely work because he is glad"))).otherwise(F.col("q"))).select("query_id", F.array_join(questions.evidence_steps(F.col("q")), " | ").alias("found")),
+)
+_HYPE = "CASE WHEN contains(l, 'how long') OR contains(l, 'how many years') OR contains(l, 'how many months') THEN 'how_long' WHEN regexp_matches(l, '^when|what time|what date') THEN 'when' WHEN regexp_matches(l, '^who|whom') THEN 'who' WHEN regexp_matches(l, '^where|what place') THEN 'where' WHEN regexp_matches(l, '^(is|are|was|were|did|does|do|would|could) ') THEN 'yes_no' ELSE 'what' END"
+_add(
+    "hyde_templates",
+    f"SELECT query_id, replace(CASE {_HYPE} " + " ".join(f"WHEN '{k}' THEN '{' | '.join(v)}'" for k, v in questions.HYPOTHETICAL.items()) + f" END, '{{person}}', coalesce({_NAMED}[1], '{{person}}')) AS found FROM {asking.ASKED}",
+    lambda spark, d: asking.asked(spark, d).select("query_id", F.array_join(questions.hypothetical_answers(F.col("q")), " | ").alias("found")),
+)
+_add(
+    "contradiction_flag", f"SELECT query_id, CASE query_id % 4 WHEN 0 THEN place <> 'Asia' WHEN 1 THEN TRUE WHEN 2 THEN TRUE ELSE FALSE END AS contradicts FROM {asking.PEOPLE}",
+    lambda spark, d: (lambda p, k: p.select("query_id", extract.contradicts(
+        F.when(k == 0, F.lit("I live in Asia")).when(k == 1, F.concat(F.lit("Now I hate "), "thing")).when(k == 2, F.concat("who", F.lit(" is not glad"))).otherwise(F.concat("who", F.lit(" sings loud"))),
+        F.when(k == 0, F.concat(F.lit("I live in "), "place")).when(k == 1, F.concat(F.lit("I love "), "thing")).when(k == 2, F.concat("who", F.lit(" is glad"))).otherwise(F.concat("who", F.lit(" sings"))),
+    ).alias("contradicts")))(asking.people(spark, d), F.col("query_id") % 4),
+)

@@ -136,8 +136,8 @@ _mem(
 )
 _mem(
     "update_fields",
-    "SELECT id, CASE WHEN id % 5 = 0 THEN 'patched' ELSE memory_type END AS memory_type FROM MEM",
-    lambda m: tables.update_fields(m, m.where("id % 5 = 0").select("id", F.lit("patched").alias("memory_type")), "id", ["memory_type"]).select("id", "memory_type"),
+    "SELECT id, CASE WHEN id % 5 = 0 THEN 'patched' ELSE memory_type END AS memory_type, CASE WHEN id % 5 = 0 THEN TIMESTAMP '2024-02-01' ELSE created_at END AS updated_at FROM MEM",
+    lambda m: tables.update_fields(m.withColumn("updated_at", F.col("created_at")), m.where("id % 5 = 0").select("id", F.lit("patched").alias("memory_type"), F.lit(AS_OF).cast("timestamp_ntz").alias("updated_at")), "id", ["memory_type", "updated_at"]).select("id", "memory_type", "updated_at"),
 )
 _mem("capacity_keep_last", "SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, id DESC) AS r FROM MEM) WHERE r <= 20", lambda m: tables.keep_last(m, ["user_id"], [F.col("created_at"), F.col("id")], 20).select("id"))
 _mem(
@@ -170,8 +170,8 @@ _mem(
 
 _mem(
     "memory_stats",
-    "SELECT coalesce(memory_type, 'all') AS memory_type, count(*) AS total, count(*) FILTER (is_active) AS active, count(*) FILTER (strength < 0.25) AS weak FROM MEM GROUP BY ROLLUP (memory_type)",
-    lambda m: m.rollup("memory_type").agg(F.count(F.lit(1)).alias("total"), F.count_if("is_active").alias("active"), F.count_if(F.col("strength") < 0.25).alias("weak")).withColumn("memory_type", F.coalesce("memory_type", F.lit("all"))),
+    "SELECT coalesce(memory_type, 'all') AS memory_type, count(*) AS total, count(*) FILTER (is_active) AS active, count(DISTINCT user_id) AS sessions, count(*) FILTER (strength < 0.25) AS bin_0, count(*) FILTER (strength >= 0.25 AND strength < 0.5) AS bin_1, count(*) FILTER (strength >= 0.5 AND strength < 0.75) AS bin_2, count(*) FILTER (strength >= 0.75 AND strength < 1) AS bin_3 FROM MEM GROUP BY ROLLUP (memory_type)",
+    lambda m: m.rollup("memory_type").agg(F.count(F.lit(1)).alias("total"), F.count_if("is_active").alias("active"), F.count_distinct("user_id").alias("sessions"), *[F.count_if(scores.strength_bin(F.col("strength")) == b).alias(f"bin_{b}") for b in range(4)]).withColumn("memory_type", F.coalesce("memory_type", F.lit("all"))),
 )
 _mem(
     "temporal_span", "SELECT user_id, min(created_at) AS first, max(created_at) AS last, CAST(floor(epoch(max(created_at))) - floor(epoch(min(created_at))) AS BIGINT) AS seconds FROM MEM GROUP BY user_id",
@@ -184,8 +184,8 @@ _mem(
 )
 _mem(
     "feedback_stats",
-    "SELECT user_id, count(*) AS retrievals, count(*) FILTER (strength >= 0.2) AS used, round(avg(strength), 6) AS helpfulness FROM MEM GROUP BY user_id",
-    lambda m: m.groupBy("user_id").agg(F.count(F.lit(1)).alias("retrievals"), F.count_if(F.col("strength") >= 0.2).alias("used"), F.round(F.avg("strength"), 6).alias("helpfulness")),
+    "SELECT user_id, count(*) AS retrievals, count(*) FILTER (strength >= 0.2) AS used, round(count(*) FILTER (strength >= 0.2) / count(*), 6) AS usage_rate, count(DISTINCT memory_type) AS units, round(avg(strength), 6) AS helpfulness FROM MEM GROUP BY user_id",
+    lambda m: m.groupBy("user_id").agg(F.count(F.lit(1)).alias("retrievals"), F.count_if(F.col("strength") >= 0.2).alias("used"), F.round(F.avg((F.col("strength") >= 0.2).cast("double")), 6).alias("usage_rate"), F.count_distinct("memory_type").alias("units"), F.round(F.avg("strength"), 6).alias("helpfulness")),
 )
 
 
@@ -212,7 +212,7 @@ _mem(
 )
 _mem("forgetting_slope", "SELECT round(regr_slope(strength, hours), 9) AS slope, count(*) AS n FROM MEM", lambda m: evaluation.forgetting_slope(m, "hours", "strength").withColumn("slope", F.round("slope", 9)))
 _mem("mean_strength_decay", f"SELECT memory_type, round(avg(strength - {_clamp('strength * exp(-0.01 / (0.5 + importance) * hours)')}), 6) AS decay FROM MEM GROUP BY memory_type", lambda m: m.groupBy("memory_type").agg(F.round(F.avg(F.col("strength") - scores.decayed_strength_base(F.col("strength"), 0.01, F.col("importance"), F.col("hours"))), 6).alias("decay")))
-_mem("stream_windowed_counts", "SELECT memory_type, date_trunc('hour', created_at) AS start, count(*) AS n FROM MEM GROUP BY ALL", lambda m: m.groupBy("memory_type", F.window("created_at", "1 hour").alias("w")).count().select("memory_type", F.col("w.start").alias("start"), F.col("count").alias("n")))
+_mem("windowed_counts", "SELECT memory_type, date_trunc('hour', created_at) AS start, count(*) AS n FROM MEM GROUP BY ALL", lambda m: m.groupBy("memory_type", F.window("created_at", "1 hour").alias("w")).count().select("memory_type", F.col("w.start").alias("start"), F.col("count").alias("n")))
 
 # ---- documents as memories, benchmark items as questions
 
@@ -303,6 +303,18 @@ _add(
     .select("query_id", "memory_id", "rank", "used"),
 )
 
+_add(
+    "context_budget_words",
+    f"""WITH {_OVER}, r AS (SELECT query_id, memory_id, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, memory_id) AS rank FROM o),
+  c AS (SELECT query_id, memory_id, rank, sum(1.3 * len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''))) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM r JOIN documents ON doc_id = memory_id WHERE rank <= 20)
+  SELECT query_id, memory_id, CAST(rank AS INT) AS rank, round(CAST(used AS DOUBLE), 6) AS used FROM c WHERE used <= 2000""",
+    lambda spark, d: top_per_query(_overlaps(spark, d), "overlap", 20)
+    .join(_read(spark, d, "documents").select(F.col("doc_id").alias("memory_id"), (1.3 * F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))).alias("words")), "memory_id")
+    .withColumn("used", F.sum("words").over(Window.partitionBy("query_id").orderBy("rank")))
+    .where("used <= 2000")
+    .select("query_id", "memory_id", "rank", F.round("used", 6).alias("used")),
+)
+
 # ---- conversations as turns
 
 
@@ -331,7 +343,7 @@ _turn(
     f"SELECT conv_id, turn, round(least(1.0, 0.5 + CASE WHEN {_mention_sql(lexicons.FIRST_PERSON)} > 0 THEN 0.2 ELSE 0 END + CASE WHEN {_mention_sql(lexicons.EMPHATIC)} > 0 THEN 0.15 ELSE 0 END + CASE WHEN {_mention_sql(lexicons.TIME_WORDS)} > 0 THEN 0.1 ELSE 0 END + least(0.1, 0.02 * len(list_filter(regexp_split_to_array(text, " + r"'[^\p{L}\p{N}_]+'), lambda w: regexp_full_match(w, '[A-Z][a-z]+'))))" + " + CASE WHEN len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) > 10 THEN 0.05 ELSE 0 END), 6) AS importance FROM conversations",
     lambda c: c.select("conv_id", "turn", F.round(scores.sensory_importance(F.col("text")), 6).alias("importance")),
 )
-_turn("keyword_capture", "SELECT conv_id, turn FROM conversations WHERE role = 'assistant' AND length(text) > 100 AND " + _mention_sql(["prefer", "always", "never", "remember", "important"]) + " > 0", lambda c: c.where((F.col("role") == "assistant") & (F.length("text") > 100) & (mentions(F.col("text"), ["prefer", "always", "never", "remember", "important"]) > 0)).select("conv_id", "turn"))
+_turn("keyword_capture", "SELECT conv_id, turn FROM (SELECT conv_id, turn, role, text || CASE WHEN turn % 3 = 1 THEN ' I Always take tea' ELSE '' END AS text FROM conversations) WHERE role = 'assistant' AND length(text) > 100 AND " + _mention_sql(["prefer", "always", "never", "remember", "important"]) + " > 0", lambda c: c.withColumn("text", F.concat("text", F.when(F.col("turn") % 3 == 1, " I Always take tea").otherwise(""))).where((F.col("role") == "assistant") & (F.length("text") > 100) & (mentions(F.col("text"), ["prefer", "always", "never", "remember", "important"]) > 0)).select("conv_id", "turn"))
 
 # ---- facts and graphs from the star schema
 
@@ -355,8 +367,8 @@ _add(
 )
 _add(
     "fact_store_stats",
-    f"SELECT count(*) AS total, count(DISTINCT subject) AS subjects, count(DISTINCT object) AS objects FROM {_ORDERS}",
-    lambda spark, d: _history(spark, d).agg(F.count(F.lit(1)).alias("total"), F.count_distinct("subject").alias("subjects"), F.count_distinct("object").alias("objects")),
+    f"SELECT count(*) AS total, count(*) FILTER (later IS NULL) AS current, count(*) FILTER (later IS NOT NULL) AS superseded, count(DISTINCT subject) AS subjects, count(DISTINCT object) AS objects FROM (SELECT *, lead(fact_id) OVER (PARTITION BY subject ORDER BY dated, fact_id) AS later FROM {_ORDERS})",
+    lambda spark, d: _history(spark, d).withColumn("later", F.lead("fact_id").over(Window.partitionBy("subject").orderBy("dated", "fact_id"))).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("later").isNull()).alias("current"), F.count("later").alias("superseded"), F.count_distinct("subject").alias("subjects"), F.count_distinct("object").alias("objects")),
 )
 _EDGES = "(SELECT 's' || s_suppkey AS source, 'located_in' AS relation, 'n' || s_nationkey AS target FROM supplier UNION ALL SELECT 'c' || c_custkey, 'lives_in', 'n' || c_nationkey FROM customer UNION ALL SELECT 'n' || n_nationkey, 'part_of', 'r' || n_regionkey FROM nation)"
 
@@ -378,9 +390,17 @@ _add(
   SELECT query_id, vec_id, round(similarity, 6) AS similarity, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) AS rank FROM s WHERE similarity >= 0.1) WHERE rank <= 5""",
     lambda spark, d: (lambda e: joins.vector_knn(e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), e, 5, 0.1).withColumn("similarity", F.round("similarity", 6)))(_read(spark, d, "embeddings")),
 )
+def _norm_sql(text: str) -> str:
+    """Lower case without articles (twice, as neighbours share a boundary) and punctuation, blanks squeezed."""
+    bare = f"lower({text})"
+    for _ in range(2):
+        bare = rf"regexp_replace({bare}, '(^|[^\p{{L}}\p{{N}}_])(?:a|an|the)([^\p{{L}}\p{{N}}_]|$)', '\1 \2', 'g')"
+    return rf"trim(regexp_replace(regexp_replace({bare}, '[^\p{{L}}\p{{N}}_\s]', '', 'g'), '\s+', ' ', 'g'), ' ')"
+
+
 _add(
     "token_f1",
-    rf"""WITH p AS (SELECT item_id, text FROM benchmark), n AS (SELECT item_id, list_distinct(list_filter(string_split(trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '\b(a|an|the)\b', ' ', 'g'), '[^\p{{L}}\p{{N}}_\s]', '', 'g'), '\s+', ' ', 'g')), ' '), lambda w: w <> '')) AS w FROM p),
+    rf"""WITH p AS (SELECT item_id, text FROM benchmark), n AS (SELECT item_id, list_distinct(list_filter(string_split({_norm_sql('text')}, ' '), lambda w: w <> '')) AS w FROM p),
   b AS (SELECT a.item_id, a.w AS x, b.w AS y FROM n a JOIN n b ON b.item_id = a.item_id + 1)
   SELECT item_id, round(CASE WHEN len(list_intersect(x, y)) = 0 THEN 0 ELSE 2 * len(list_intersect(x, y)) / (len(x) + len(y)) END, 6) AS f1 FROM b""",
     lambda spark, d: (lambda b: b.join(b.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("truth")), "item_id").select("item_id", F.round(evaluation.token_f1(F.col("text"), F.col("truth")), 6).alias("f1")))(_read(spark, d, "benchmark")),
@@ -456,6 +476,11 @@ _add(
     "SELECT user_id, event_type, max(event_id) AS event_id FROM events GROUP BY ALL",
     lambda spark, d: events.latest(events.event_stream(spark, d).select("user_id", "event_type", "event_id"), ["user_id", "event_type"], "event_id", events.work_folder(spark)),
 )
+_add(
+    "stream_windowed_counts",
+    "SELECT * FROM (SELECT event_type, time_bucket(INTERVAL 1 DAY, ts) AS start, count(*) AS n FROM events GROUP BY 1, 2) WHERE start + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR",
+    lambda spark, d: events.drain(events.windowed_counts(events.event_stream(spark, d), "event_type", "1 day", "1 hour"), events.work_folder(spark)).withColumn("start", F.col("start").cast("timestamp_ntz")),
+)
 _add(
     "stream_closed_windows",
     "SELECT * FROM (SELECT event_type, time_bucket(INTERVAL 1 HOUR, ts) AS start, count(*) AS n FROM events GROUP BY 1, 2) WHERE start + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE",
@@ -561,9 +586,10 @@ _mem(
     lambda m: m.select("id", F.round("strength", 6).alias("old"), F.round(scores.strength_now(F.col("strength"), F.col("importance"), F.col("access_count"), F.col("hours"), 0.01), 6).alias("strength")),
 )
 _turn("stm_by_role", "SELECT conv_id, turn FROM conversations WHERE role = 'user'", lambda c: c.where(tables.where_spec({"role": "user"})).select("conv_id", "turn"))
-_turn(
+_TOPIC = "SELECT doc_id, coalesce(arg_max(topic, (n, -o)) FILTER (n > 0), 'general') AS topic FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{t}' AS topic, {i} AS o, {_mention_sql(kw)} AS n FROM documents" for i, (t, kw) in enumerate(lexicons.TOPICS.items())) + ") GROUP BY doc_id"
+_doc(
     "topic_digest",
-    "SELECT role, string_agg(text, '; ' ORDER BY conv_id, turn) AS digest FROM (SELECT *, row_number() OVER (PARTITION BY role ORDER BY conv_id, turn) AS r FROM conversations) WHERE r <= 5 GROUP BY role",
-    lambda c: tables.first_rows(c, ["role"], [F.col("conv_id"), F.col("turn")], 5).groupBy("role").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("conv_id", "turn", "text"))), lambda x: x["text"]), "; ").alias("digest")),
+    f"SELECT topic, string_agg(left(text, 40), '; ' ORDER BY doc_id) AS digest FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY doc_id) AS r FROM documents JOIN ({_TOPIC}) USING (doc_id)) WHERE r <= 5 GROUP BY topic",
+    lambda d: tables.first_rows(d.select("doc_id", F.substring("text", 1, 40).alias("text"), scores.topic_of(F.col("text")).alias("topic")), ["topic"], [F.col("doc_id")], 5).groupBy("topic").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), "; ").alias("digest")),
 )
-_turn("tier_stats", "SELECT role, count(*) AS items, count(DISTINCT conv_id) AS sessions FROM conversations GROUP BY role", lambda c: c.groupBy("role").agg(F.count(F.lit(1)).alias("items"), F.count_distinct("conv_id").alias("sessions")))
+_doc("tier_stats", f"SELECT topic, count(*) AS items, count(DISTINCT source) AS speakers, count(DISTINCT lang) AS langs FROM documents JOIN ({_TOPIC}) USING (doc_id) GROUP BY topic", lambda d: d.withColumn("topic", scores.topic_of(F.col("text"))).groupBy("topic").agg(F.count(F.lit(1)).alias("items"), F.count_distinct("source").alias("speakers"), F.count_distinct("lang").alias("langs")))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from recollect.functions import scores
 from recollect.functions.tokens import tokens
 from recollect.operators import evaluation, facts, tables
-from recollect.plans.catalog import _TOK, _add, _doc, _mem, _mention_sql, _read, _turn
+from recollect.plans.catalog import _TOK, _add, _doc, _mem, _mention_sql, _norm_sql, _read, _turn
 from recollect.plans.conflicts import _fact
 
 # ---- scores
@@ -151,12 +151,12 @@ _mem(
 )
 _mem(
     "feedback_boost",
-    "SELECT m.id, round(CASE WHEN m.memory_type IN ('click', 'view') THEN u.s WHEN r.rate IS NOT NULL THEN r.rate ELSE 1 END, 6) AS boost FROM MEM m LEFT JOIN (SELECT user_id, memory_type, avg(strength) AS s FROM MEM GROUP BY ALL) u ON u.user_id = m.user_id AND u.memory_type = m.memory_type LEFT JOIN (SELECT memory_type, avg(is_active::INT) AS rate FROM MEM WHERE memory_type <> 'purchase' GROUP BY memory_type) r ON r.memory_type = m.memory_type",
+    "SELECT m.id, round(CASE WHEN m.memory_type IN ('click', 'view') THEN u.s WHEN r.rate IS NOT NULL THEN r.rate ELSE 1 END, 9) AS boost FROM MEM m LEFT JOIN (SELECT user_id, memory_type, avg(strength) AS s FROM MEM GROUP BY ALL) u ON u.user_id = m.user_id AND u.memory_type = m.memory_type LEFT JOIN (SELECT memory_type, avg(is_active::INT) AS rate FROM MEM WHERE memory_type <> 'purchase' GROUP BY memory_type) r ON r.memory_type = m.memory_type",
     lambda m: facts.feedback_boost(
         m.select("id", F.col("user_id").alias("query_key"), F.col("memory_type").alias("unit")),
         m.where("memory_type in ('click', 'view')").groupBy(F.col("user_id").alias("query_key"), F.col("memory_type").alias("unit")).agg(F.avg("strength").alias("score")),
         m.where("memory_type <> 'purchase'").groupBy(F.col("memory_type").alias("unit")).agg(F.avg(F.col("is_active").cast("int")).alias("rate")),
-    ).select("id", F.round("boost", 6).alias("boost")),
+    ).select("id", F.round("boost", 9).alias("boost")),
 )
 _mem(
     "record_feedback",
@@ -167,9 +167,8 @@ _mem(
 # ---- evaluation: each turn against the next one, and against itself for every third
 
 _SAID = f"(SELECT conv_id, turn, conv_id % 5 AS category, old AS prediction, CASE WHEN turn % 3 = 0 THEN 'The ' || old || ' !' ELSE fresh END AS truth FROM {_PAIR})"
-_NORM = r"trim(regexp_replace(regexp_replace(regexp_replace(lower({0}), '\b(a|an|the)\b', ' ', 'g'), '[^\p{{L}}\p{{N}}_\s]', '', 'g'), '\s+', ' ', 'g'), ' ')"
 _SET = "list_distinct(list_filter(string_split({0}, ' '), lambda w: w <> ''))"
-_MET = f"(SELECT *, {_SET.format('p')} AS ps, {_SET.format('t')} AS ts, list_filter(string_split(p, ' '), lambda w: w <> '') AS pl, list_filter(string_split(t, ' '), lambda w: w <> '') AS tl FROM (SELECT *, {_NORM.format('prediction')} AS p, {_NORM.format('truth')} AS t FROM {_SAID}))"
+_MET = f"(SELECT *, {_SET.format('p')} AS ps, {_SET.format('t')} AS ts, list_filter(string_split(p, ' '), lambda w: w <> '') AS pl, list_filter(string_split(t, ' '), lambda w: w <> '') AS tl FROM (SELECT *, {_norm_sql('prediction')} AS p, {_norm_sql('truth')} AS t FROM {_SAID}))"
 _F1 = "CASE WHEN len(list_intersect(ps, ts)) = 0 THEN 0 ELSE 2 * len(list_intersect(ps, ts)) / (len(ps) + len(ts)) END"
 
 
