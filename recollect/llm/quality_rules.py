@@ -156,18 +156,25 @@ def fold(doc_id: Column, folds: int) -> Column:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 3, held_out: int = 1, max_rows: int = 4000) -> RuleEnsemble:
-    """Fit on at most ``max_rows`` labelled rows outside the held-out fold.
+    """Fit on at most ``max_rows`` labelled ids outside the held-out fold.
 
     Rows without an id, a label or a text to match are left aside; with several
-    labels for an id the largest counts.
+    labels for an id the largest counts, with several texts the least.  Empty tables
+    give a constant score.
     """
+    columns = statistics(F.col("text"))
+    rows = sampled(docs, labels, label, folds, held_out, max_rows).select("doc_id", "_label", *[c.alias(n) for n, c in columns.items()])
+    table = rows.toPandas().sort_values("doc_id")
+    return fit_rules({n: table[n].to_numpy(dtype=float) for n in columns}, table["_label"].to_numpy())
+
+
+def sampled(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, max_rows: int) -> DataFrame:
+    """(doc_id, text, _label) of at most ``max_rows`` labelled ids, chosen by hash: one row an id, however often it repeats."""
     known = labels.select("doc_id", F.col(label).cast("int").alias("_label")).where("doc_id is not null and _label is not null")
     known = known.where(fold(F.col("doc_id"), folds) != held_out).groupBy("doc_id").agg(F.max("_label").alias("_label"))
     some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    columns = statistics(F.col("text"))
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "_label", *[c.alias(n) for n, c in columns.items()])
-    table = rows.toPandas().drop_duplicates("doc_id").sort_values("doc_id")
-    return fit_rules({n: table[n].to_numpy(dtype=float) for n in columns}, table["_label"].to_numpy())
+    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
+    return rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("_label").alias("_label"))
 
 
 def score_quality(docs: DataFrame, ensemble: RuleEnsemble, name: str = "score", text: str = "text") -> DataFrame:
@@ -175,8 +182,10 @@ def score_quality(docs: DataFrame, ensemble: RuleEnsemble, name: str = "score",
 
     Null and empty texts get a score as well.  Each row is scored alone, so
     repeated rows score alike and an empty table stays empty; an existing column
-    called ``name`` is replaced.
+    called ``name`` is replaced, all others stay, whatever their names.
     """
-    made = {f"_stat_{n}": c for n, c in statistics(F.col(text)).items()}
-    found = docs.withColumns(made)
-    return found.withColumn(name, ensemble.column({n[6:]: F.col(n) for n in made})).drop(*made)
+    prefix = "_stat_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = "_" + prefix
+    made = {prefix + n: c for n, c in statistics(F.col(text)).items()}
+    return docs.withColumns(made).withColumn(name, ensemble.column({n.removeprefix(prefix): F.col(n) for n in made})).drop(*made)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recollect.llm._text import BASES, Words, chunks, mix, spans, windows
-from recollect.llm.quality_rules import fold
+from recollect.llm.quality_rules import sampled
 
 WINDOW, STRIDE = 48, 32
 BITS = 16  # hashed inputs: 65,536 words and as many n-grams
@@ -263,7 +263,7 @@ def fit_network(texts: list[str | None], labels: np.ndarray, steps: int = 160, b
     worst window of every text anew.
     """
     rng, labels = np.random.default_rng(seed), np.asarray(labels)
-    base = float((labels.sum() + 0.5) / (len(labels) + 1))
+    base = float((labels.sum() + 0.5) / (len(labels) + 1))  # .5 without any
     parts, hashes, sizes, odds = [], [], [], (_Odds(8), _Odds(20))
     for row, end, data, offsets in chunks(pa.array([t or "" for t in texts], pa.large_string())):
         words = _steps(data, offsets)
@@ -276,7 +276,7 @@ def fit_network(texts: list[str | None], labels: np.ndarray, steps: int = 160, b
         parts.append(vocabulary)
         hashes.append(vocabulary.hashes[number])
         sizes.append(np.diff(words.first))
-    if not any(map(len, hashes)) or labels.min() == labels.max():
+    if not any(map(len, hashes)) or len(set(labels.tolist())) < 2:
         network = Network.new(np.zeros(1 << BITS), np.zeros(1 << BITS), base, rng)
         network.weights["out"][:] = 0
         network.weights["bias"][:] = np.log(base / (1 - base))
@@ -327,13 +327,13 @@ def fit_network(texts: list[str | None], labels: np.ndarray, steps: int = 160, b
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", folds: int = 5, held_out: int = 0, max_rows: int = 5000) -> Network:
-    """Fit on at most ``max_rows`` labelled texts outside the held-out fold, chosen by hash of the id."""
-    known = labels.select("doc_id", F.col(label).cast("int").alias("_label")).where("doc_id is not null and _label is not null")
-    known = known.where(fold(F.col("doc_id"), folds) != held_out).groupBy("doc_id").agg(F.max("_label").alias("_label"))
-    some = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    rows = docs.select("doc_id", "text").join(F.broadcast(some), "doc_id").select("doc_id", "text", "_label").toPandas()
-    rows = rows.drop_duplicates("doc_id").sort_values("doc_id")
-    return fit_network(rows["text"].tolist(), rows["_label"].to_numpy(dtype=np.int64) if len(rows) else np.zeros(1, np.int64))
+    """Fit on at most ``max_rows`` labelled texts outside the held-out fold, chosen by hash of the id.
+
+    Rows without an id or a label are left aside; with several labels for an id the
+    largest counts, with several texts the least.  Empty tables give a constant score.
+    """
+    rows = sampled(docs, labels, label, folds, held_out, max_rows).toPandas().sort_values("doc_id")
+    return fit_network(rows["text"].tolist(), rows["_label"].to_numpy(dtype=np.int64))
 
 
 def _score_rows(shared):

@@ -62,3 +62,11 @@ def test_empty_table_and_carried_columns(spark):
     assert line_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
     df = spark.createDataFrame([(1, "a", "en")], "doc_id long, text string, lang string")
     assert line_dedup(df, keep_text=True, carry=("lang",)).first().lang == "en"
+
+
+def test_carried_names_must_not_clash(spark):
+    import pytest
+
+    df = spark.createDataFrame([(1, "a", 5)], "doc_id long, text string, n_lines int")
+    with pytest.raises(ValueError):
+        line_dedup(df, carry=("n_lines",))

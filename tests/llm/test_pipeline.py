@@ -1,3 +1,4 @@
+import re
 import zlib
 
 import public_tokenizers
@@ -27,7 +28,8 @@ def test_stages_against_brute_force(spark):
 
     kept = {r.doc_id for r in quality}
     held_out = [i for i in labels if zlib.crc32(str(i).encode()) % 3 == 1]
-    assert sum((i in kept) == (labels[i] == 1) for i in held_out) / len(held_out) > 0.8
+    right = [(i in kept) == (labels[i] == 1) for i in held_out]
+    assert sum(right) / len(right) > max(0.9, sum(labels[i] for i in held_out) / len(held_out))
     assert {r.doc_id: r.text for r in before if r.doc_id in kept} == {r.doc_id: r.text for r in quality}
 
     holders = {}
@@ -52,12 +54,28 @@ def test_stages_against_brute_force(spark):
     gone = {r.doc_id for r in unique} - {r.doc_id for r in cleaned}
     flat = [" ".join(i.split()).lower() for i in items]
     leaked = {r.doc_id for r in unique if any(i in " ".join(r.text.split()).lower() for i in flat)}
-    assert leaked <= gone and len(gone - leaked) <= 2
+    plain = {d: re.findall(r"[^\W_]+", t.lower()) for d, t in ((r.doc_id, r.text) for r in unique)}
+    item_words = [re.findall(r"[^\W_]+", i.lower()) for i in items]
+    for d in gone - leaked:  # these hold at least a third of an item's windows of eight words as they are
+        held = {tuple(plain[d][i : i + 8]) for i in range(len(plain[d]))}
+        assert any(sum(tuple(w[i : i + 8]) in held for i in range(len(w) - 7)) >= (len(w) - 7) / 3 for w in item_words if len(w) > 8), d
+    assert leaked <= gone
 
     pieces = corpus_pipeline.STAGES[-1][1](spark, docs, DATA).collect()
     assert verify(pieces, [(r.doc_id, r.text) for r in cleaned], 2048) < 0.05
 
 
+def test_stages_take_odd_tables(spark):
+    """Null and empty texts, repeated and missing ids, an empty table: no stage fails, clean rows stay."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    odd = spark.createDataFrame([(900001, None, None, None, None), (900002, "", "en", "s", 0), (None, "some words of a text", "en", "s", 20), (900003, "the same id", "en", "s", 11), (900003, "the same id again", "en", "s", 17)], docs.schema)
+    for name, stage in corpus_pipeline.STAGES:
+        got = stage(spark, docs.unionByName(odd), DATA)
+        assert name == "packing" or got.columns == docs.columns
+        assert name == "quality classifier" or {900002, 900003} <= {r.doc_id for r in got.select("doc_id").collect()}, name
+        assert stage(spark, docs.limit(0), DATA).count() == 0, name
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, DATA).count() > 0
     assert public_tokenizers.path("word_bpe_49k.json")

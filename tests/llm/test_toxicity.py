@@ -7,7 +7,8 @@ from recollect.llm import toxicity
 from recollect.llm.quality_rules import fold
 from recollect.llm.toxicity import WINDOW, Network, fit_network, score_toxicity, train, window_places
 
-DATA = "/root/testdata/sf0.01"
+DATA = "/root/testdata/sf0.1"  # smaller tables have too few toxic documents to tell a model from a constant
+RECALL = 0.7
 
 
 def test_gradients_by_differences():
@@ -77,7 +78,69 @@ def test_held_out_accuracy(spark):
     docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
     net = train(docs, labels)
     rows = score_toxicity(docs, net).join(labels, "doc_id").where(fold(F.col("doc_id"), 5) == 0).select("score", "toxic").toPandas()
-    assert ((rows.score >= 0.5) == (rows.toxic == 1)).mean() > 0.85
+    right = (rows.score >= 0.5) == (rows.toxic == 1)
+    assert right.mean() > max(rows.toxic.mean(), 1 - rows.toxic.mean()) and right[rows.toxic == 1].mean() > RECALL
+
+
+def plain_score(net, text):
+    """Word by word: the n-grams, gates, states and attention of every window, without arrays of windows."""
+    words = [w.lower() for w in text.encode().split()]
+    words = [w for w in (bytes(x) for x in words)]
+    assert all(len(w) <= toxicity.PIECE for w in words)
+
+    def hashed(data, base):
+        total = 0
+        for i, b in enumerate(data):
+            total += b * pow(base, i, 1 << 64)
+        return toxicity.mix(np.array([total % (1 << 64)], dtype=np.uint64))
+
+    def slot(h):
+        return int(h[0]) >> (64 - toxicity.BITS)
+
+    rows = []
+    for w in words:
+        word = slot(toxicity.mix(hashed(w, toxicity.BASES[0]) + np.uint64(len(w))))
+        marked = b"\x01" + w + b"\x01"
+        grams = [slot(toxicity.mix(hashed(marked[i : i + n], toxicity.BASES[1]) + np.uint64(n))) for n in toxicity.GRAMS for i in range(len(marked) - n + 1)]
+        rows.append(np.concatenate([[net.word_odds[word], max(net.gram_odds[g] for g in grams)], net.weights["word"][word], np.mean([net.weights["gram"][g] for g in grams], axis=0)]).astype(np.float64))
+    sigmoid = lambda x: 1 / (1 + np.exp(-x))
+    scores = []
+    for s in range(0, max(1, len(rows) - WINDOW + toxicity.STRIDE), toxicity.STRIDE):
+        window = rows[s : s + WINDOW]
+        states = {}
+        for d in "fb":
+            h, out = np.zeros(toxicity.HIDDEN), []
+            for x in window if d == "f" else window[::-1]:
+                px, ph, k = x @ net.weights[f"x{d}"] + net.weights[f"c{d}"], h @ net.weights[f"h{d}"], toxicity.HIDDEN
+                z, r = sigmoid(px[:k] + ph[:k]), sigmoid(px[k : 2 * k] + ph[k : 2 * k])
+                h = (1 - z) * h + z * np.tanh(px[2 * k :] + r * ph[2 * k :])
+                out.append(h)
+            states[d] = out if d == "f" else out[::-1]
+        both = [np.concatenate(x) for x in zip(states["f"], states["b"])]
+        energy = np.array([x @ net.weights["attend"] for x in both])
+        attention = np.exp(energy - energy.max())
+        attention /= attention.sum()
+        scores.append(sigmoid(sum(a * x for a, x in zip(attention, both)) @ net.weights["out"] + net.weights["bias"][0]))
+    return max(scores)
+
+
+def test_scores_equal_a_plain_forward_pass(spark):
+    rng = np.random.default_rng(5)
+    net = Network.new(rng.normal(size=1 << 16), rng.normal(size=1 << 16), 0.2, rng)
+    rnd = random.Random(6)
+    texts = [" ".join(f"Word{rnd.randint(0, 99)}" for _ in range(n)) for n in (1, 2, 47, 48, 49, 80, 81, 200)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.score for r in score_toxicity(df, net).collect()}
+    assert np.allclose([got[i] for i in range(len(texts))], [plain_score(net, t) for t in texts], atol=1e-5)
+
+
+def test_repeated_ids_and_empty_tables(spark):
+    rows = [(i, ("nice words here " if i % 3 else "awful badword here ") * 3) for i in range(90)]
+    docs = spark.createDataFrame(rows + [(1, "zzz"), (2, None)] * 2, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(90)] + [(None, 1), (4, None)], "doc_id long, toxic int")
+    a, b = train(docs, labels), train(docs.orderBy(F.desc("text")), labels)
+    assert all((a.weights[k] == b.weights[k]).all() for k in a.weights) and (a.word_odds == b.word_odds).all()
+    assert train(docs.limit(0), labels).base == train(docs, labels.limit(0)).base == 0.5
 
 
 def test_texts_without_blanks_are_read_whole():

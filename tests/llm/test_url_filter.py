@@ -45,3 +45,9 @@ def test_rules(spark):
     got = {r.page_id: (r.rule, r.verdict) for r in url_filter(df, RULES, [("*spam*", "block")]).collect()}
     assert [got[i] for i in range(len(urls))] == list(urls.values())
     assert url_filter(df.limit(0), RULES, []).count() == 0
+
+
+def test_repeated_rows_are_judged_alike(spark):
+    df = spark.createDataFrame([(1, "http://x.net/a"), (1, "http://x.net/a"), (1, "http://x.org/a"), (None, None)], "page_id long, url string")
+    got = sorted((r.page_id or 0, r.host, r.rule, r.verdict) for r in url_filter(df, RULES, []).collect())
+    assert got == [(0, "", None, "allow"), (1, "x.net", "net/", "block"), (1, "x.net", "net/", "block"), (1, "x.org", None, "allow")]
