@@ -1,8 +1,8 @@
 """Word lists that the scores and classifiers test for, as substrings of lower-cased text."""
 
 # Fixed values.
-HIGH_EMOTION = "amazing excellent fantastic love excited happy thrilled great awesome wonderful perfect terrible awful hate frustrated angry annoyed disappointed failed error bug broken crash urgent critical important asap emergency deadline".split()
-MEDIUM_EMOTION = "good bad nice issue problem fixed solved like dislike prefer better worse concern".split()
+HIGH_EMOTION = ["amazing", "excellent", "fantastic", "love", "excited", "happy", "thrilled", "great", "awesome", "wonderful", "perfect", "terrible", "awful", "hate", "frustrated", "angry", "annoyed", "disappointed", "failed", "error", "bug", "broken", "crash", "urgent", "critical", "important", "asap", "emergency", "deadline"]
+MEDIUM_EMOTION = ["good", "bad", "nice", "issue", "problem", "fixed", "solved", "like", "dislike", "prefer", "better", "worse", "concern"]
 ERROR_WORDS = ["error", "exception", "failed", "crash", "bug", "traceback", "stack trace", "not working"]
 CODE_MARKS = ["```", "def ", "class ", "import ", "function ", "const ", "let ", "var ", "=>", "->"]
 DECISION_WORDS = ["decided", "choose", "chose", "will use", "going with", "selected", "picked", "opted for"]

@@ -238,7 +238,8 @@ def mark_important(user: Column) -> Column:
 
 
 def speaks_for(text: Column) -> Column:
-    """Positive words minus negative ones: evidence for (above 0) or against."""
+    """Positive words minus negative ones, as whole words: evidence for (above 0) or against."""
     # Words that speak for and against.
-    yes, no = ["yes", "true", "correct", "confirmed", "agreed"], ["no ", "not ", "false", "never", "wrong", "denied"]
-    return mentions(text, yes) - mentions(text, no)
+    yes, no = ["yes", "definitely", "certainly", "sure", "indeed", "correct", "right", "agree"], ["no", "not", "never", "neither", "wrong", "incorrect", "disagree"]
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return F.regexp_count(low, F.lit(rf"\b(?:{'|'.join(yes)})\b")) - F.regexp_count(low, F.lit(rf"\b(?:{'|'.join(no)})\b"))

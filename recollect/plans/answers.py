@@ -104,12 +104,12 @@ _add(
   SELECT conv_id AS session_id, string_agg(CASE part WHEN 0 THEN '- ' ELSE '* ' END || left(text, 60), chr(10) ORDER BY part, seq) AS context FROM k GROUP BY conv_id""",
     lambda spark, d: answers.conversation_context(_read(spark, d, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), "text")),
 )
-_TEXT = "who || ' moved to ' || place || ' on 7 May 2023, ' || (query_id % 9 + 2) || ' years ago.' || chr(10) || 'It is true.'"
+_TEXT = "who || ' moved to ' || place || ' on 7 May 2023, ' || (query_id % 9 + 2) || ' years ago.' || chr(10) || 'It is correct.'"
 _KIND = "CASE " + " ".join(f"WHEN regexp_matches(l, '{p}') THEN '{n}'" for n, ps in questions.TYPES for p in ps) + " ELSE 'what' END"
 _add(
     "answer_extractive",
     f"SELECT query_id, kind, CASE kind WHEN 'when' THEN '7 May 2023' WHEN 'who' THEN who WHEN 'where' THEN place WHEN 'how_many' THEN CAST(query_id % 9 + 2 AS VARCHAR) WHEN 'yes_no' THEN 'Yes' ELSE split_part({_TEXT}, chr(10), 1) END AS answer FROM (SELECT *, {_KIND} AS kind FROM {asking.ASKED})",
-    lambda spark, d: asking.asked(spark, d).withColumn("text", F.concat("who", F.lit(" moved to "), "place", F.lit(" on 7 May 2023, "), (F.col("query_id") % 9 + 2).cast("string"), F.lit(" years ago.\nIt is true."))).withColumn("a", answers.extract_answer(F.col("q"), F.col("text"))).select("query_id", "a.kind", "a.answer"),
+    lambda spark, d: asking.asked(spark, d).withColumn("text", F.concat("who", F.lit(" moved to "), "place", F.lit(" on 7 May 2023, "), (F.col("query_id") % 9 + 2).cast("string"), F.lit(" years ago.\nIt is correct."))).withColumn("a", answers.extract_answer(F.col("q"), F.col("text"))).select("query_id", "a.kind", "a.answer"),
 )
 _NAMED = f"list_filter({asking._ONCE.format(asking._CAPS)}, lambda w: NOT list_contains({asking._list_sql(questions.NO_NAMES)}, w))"
 _add(
