@@ -29,7 +29,7 @@ from itertools import groupby
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recollect.llm._shared import content_key, cut, narrow
+from recollect.llm._shared import content_key, cut, join_split, narrow
 
 BROADCAST_WINDOWS = 200_000  # of 32 bytes: under 10 MB
 BROADCAST_CHARS = 4_000_000  # of the items that have these windows
@@ -194,7 +194,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, doc_
 
     # values at the slots of both sides, for the windows that have any
     slotted = matches.where("slotted")
-    held = rows.join(slotted.select("content").distinct(), "content", "left_semi").dropDuplicates(["content"])
+    # copies go before the shuffle, so a text that very many documents have is no hot key
+    held = rows.select("content", "text").dropDuplicates(["content"]).join(slotted.select("content").distinct(), "content", "left_semi")
     values = held.select("content", template(F.col("text")).alias("tokens"), slot_values(F.col("text")).alias("values"))
     chosen = distinct.join(indexed.where("slotted").select("item").distinct(), "item", "left_semi")
     chars = (chosen.agg(F.sum(F.length("text"))).first()[0] or 0) if small else 0
@@ -216,7 +217,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, doc_
     verdicts = held.join(named, ["item", "form"]).withColumn("share", F.col("found") / F.col("windows")).where(F.col("share") >= share)
     best = verdicts.groupBy("content", "item").agg(F.max(F.struct("share", (-F.col("form")).alias("form"), "windows", "found")).alias("best")).select("content", "item", "best.windows", "best.found", "best.share")
     ids = items.select("item", "item_id")
-    return rows.select("doc_id", "content").join(best, "content").join(ids, "item").select("doc_id", "item_id", "windows", "found", "share")
+    return join_split(rows.select("doc_id", "content"), best, ["content"], "inner").join(ids, "item").select("doc_id", "item_id", "windows", "found", "share")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, share: float = 0.5) -> DataFrame:
