@@ -112,6 +112,26 @@ WITH RECURSIVE d AS (
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, coalesce(c, d.doc_id) AS component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
 """
 
+OP11 = r"""
+WITH lowered AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM lowered),
+a AS (SELECT count(*) AS docs, CAST(sum(len(w)) AS BIGINT) AS total FROM d WHERE len(w) > 0),
+p AS (SELECT r, t, count(*) AS tf FROM (SELECT r, unnest(w) AS t FROM d) GROUP BY r, t),
+q AS (
+  SELECT item_id, t, count(*) AS times FROM (
+    SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark
+  ) GROUP BY item_id, t
+), v AS (
+  SELECT t, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS weight
+  FROM (SELECT t, count(*) AS df FROM p GROUP BY t), a WHERE t IN (SELECT t FROM q)
+), s AS (
+  SELECT item_id, doc_id, r, CAST(sum(times * weight * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * len(w) * docs) // total)))) AS BIGINT) AS score
+  FROM q JOIN v USING (t) JOIN p USING (t) JOIN d USING (r), a GROUP BY item_id, doc_id, r
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1, "op2_line_dedup": OP2, "op3_url_filter": OP3, "op4_fingerprints": OP4, "op5_ngram_jaccard_join": OP5}
+    return {"op1_substring_dedup": OP1, "op2_line_dedup": OP2, "op3_url_filter": OP3, "op4_fingerprints": OP4, "op5_ngram_jaccard_join": OP5, "op11_ranked_search": OP11}

@@ -17,6 +17,7 @@ from recollect.llm.line_dedup import line_dedup
 from recollect.llm.ngram_join import ngram_jaccard_components
 from recollect.llm.packing import pack
 from recollect.llm.quality_rules import fold, score_quality, train
+from recollect.llm.ranked_search import ranked_search
 from recollect.llm.substring_dedup import substring_dedup
 from recollect.llm.token_orc import read_tokens, write_tokens
 from recollect.llm.url_filter import url_filter
@@ -79,5 +80,9 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=10)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_line_dedup, op3_url_filter, op4_fingerprints, op5_ngram_jaccard_join, op6_token_orc, op7_packing, op8_quality_classifier, op9_decontaminate, op10_toxicity)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_line_dedup, op3_url_filter, op4_fingerprints, op5_ngram_jaccard_join, op6_token_orc, op7_packing, op8_quality_classifier, op9_decontaminate, op10_toxicity, op11_ranked_search)}
