@@ -132,6 +132,33 @@ SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10
 """
 
+OP13 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents
+), w AS (SELECT r, lang, source, t, count(*) AS n FROM (SELECT r, lang, source, unnest(w) AS t FROM d) GROUP BY ALL),
+k AS (SELECT lang, t, CAST(sum(n) AS BIGINT) AS n FROM w GROUP BY lang, t HAVING count(*) >= 10),
+l AS (SELECT lang, count(*) AS v, sum(n) AS total FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (
+  SELECT g.lang, g.source, k.t, CAST(coalesce(x.n, 0) AS BIGINT) AS n, k.n AS whole
+  FROM g JOIN k ON k.lang = g.lang LEFT JOIN (SELECT lang, source, t, sum(n) AS n FROM w GROUP BY ALL) x ON x.lang = g.lang AND x.source = g.source AND x.t = k.t
+), s AS (SELECT lang, source, sum(n) AS total FROM c GROUP BY lang, source),
+p AS (
+  SELECT c.lang, c.source, c.t, c.n, CAST(1 + 1000000000 * (c.n + 2)::HUGEINT // (s.total + 2 * v)::HUGEINT AS BIGINT) AS p,
+    CAST(1 + 1000000000 * (whole + 2)::HUGEINT // (l.total + 2 * v)::HUGEINT AS BIGINT) AS q
+  FROM c JOIN s USING (lang, source) JOIN l ON l.lang = c.lang
+), pair AS (
+  SELECT a.lang, a.source, b.source AS item, CAST(sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p)) AS BIGINT) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.t = b.t AND a.source <> b.source GROUP BY ALL
+), parts AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(value, 0) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN pair ON pair.lang = a.lang AND pair.source = a.source AND pair.item = b.source
+  UNION ALL SELECT lang, source, 'term', t, (p - q) * (p - q) // (p + q) FROM p WHERE n > 0 AND p > q
+), ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM parts)
+SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR rank <= 10
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1, "op2_line_dedup": OP2, "op3_url_filter": OP3, "op4_fingerprints": OP4, "op5_ngram_jaccard_join": OP5, "op11_ranked_search": OP11}
+    return {"op1_substring_dedup": OP1, "op2_line_dedup": OP2, "op3_url_filter": OP3, "op4_fingerprints": OP4, "op5_ngram_jaccard_join": OP5, "op11_ranked_search": OP11, "op13_source_divergence": OP13}

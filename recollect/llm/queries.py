@@ -18,6 +18,7 @@ from recollect.llm.ngram_join import ngram_jaccard_components
 from recollect.llm.packing import pack
 from recollect.llm.quality_rules import fold, score_quality, train
 from recollect.llm.ranked_search import ranked_search
+from recollect.llm.source_audit import source_divergence
 from recollect.llm.substring_dedup import substring_dedup
 from recollect.llm.token_orc import read_tokens, write_tokens
 from recollect.llm.url_filter import url_filter
@@ -84,5 +85,9 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=10)
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(_table(spark, sf_dir, "documents"), least=10, most=10)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_line_dedup, op3_url_filter, op4_fingerprints, op5_ngram_jaccard_join, op6_token_orc, op7_packing, op8_quality_classifier, op9_decontaminate, op10_toxicity, op11_ranked_search)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_line_dedup, op3_url_filter, op4_fingerprints, op5_ngram_jaccard_join, op6_token_orc, op7_packing, op8_quality_classifier, op9_decontaminate, op10_toxicity, op11_ranked_search, op13_source_divergence)}
