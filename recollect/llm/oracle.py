@@ -131,6 +131,14 @@ q AS (
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) WHERE rank <= 10
 """
+# the given pages have one template, whose <article> is the article; "&amp" may lack its ";"
+OP12 = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1) AS t FROM pages),
+b AS (SELECT page_id, url, regexp_replace(regexp_replace(t, '</?b>', '', 'g'), '<[^>]*>', ' ', 'g') AS t FROM a),
+c AS (SELECT page_id, url, replace(replace(replace(replace(regexp_replace(t, '&amp;?', '&amp;', 'g'), '&quot;', '"'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS t FROM b),
+e AS (SELECT page_id, url, trim(regexp_replace(t, '[\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{2000}-\x{200A}\x{2028}\x{2029}\x{3000}]+', ' ', 'g')) AS text FROM c)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM e
+"""
 
 OP13 = r"""
 WITH d AS (
@@ -161,4 +169,4 @@ SELECT lang, source, part, item, value, rank FROM ranked WHERE part = 'pair' OR
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1, "op2_line_dedup": OP2, "op3_url_filter": OP3, "op4_fingerprints": OP4, "op5_ngram_jaccard_join": OP5, "op11_ranked_search": OP11, "op13_source_divergence": OP13}
+    return {"op1_substring_dedup": OP1, "op2_line_dedup": OP2, "op3_url_filter": OP3, "op4_fingerprints": OP4, "op5_ngram_jaccard_join": OP5, "op11_ranked_search": OP11, "op12_html_extract": OP12, "op13_source_divergence": OP13}

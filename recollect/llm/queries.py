@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from recollect.llm import toxicity
 from recollect.llm._shared import shared_folder
 from recollect.llm.decontaminate import contaminated
+from recollect.llm.html_extract import extract_main_text
 from recollect.llm.imatch import compare_with_edits, lexicon
 from recollect.llm.line_dedup import line_dedup
 from recollect.llm.ngram_join import ngram_jaccard_components
@@ -85,9 +86,13 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"), k=10)
 
 
+def op12_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_main_text(_table(spark, sf_dir, "pages"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(_table(spark, sf_dir, "documents"), least=10, most=10)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_line_dedup, op3_url_filter, op4_fingerprints, op5_ngram_jaccard_join, op6_token_orc, op7_packing, op8_quality_classifier, op9_decontaminate, op10_toxicity, op11_ranked_search, op13_source_divergence)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_line_dedup, op3_url_filter, op4_fingerprints, op5_ngram_jaccard_join, op6_token_orc, op7_packing, op8_quality_classifier, op9_decontaminate, op10_toxicity, op11_ranked_search, op12_html_extract, op13_source_divergence)}
