@@ -1,3 +1,3 @@
 """Registered queries by area; importing the package registers all of them."""
 
-from recollect.plans import answers, catalog, conflicts, extraction, graphs, life, questions, retrieval, small  # noqa: F401
+from recollect.plans import answers, catalog, conflicts, extraction, graphs, life, questions, retrieval, small, streams  # noqa: F401

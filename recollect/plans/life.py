@@ -131,12 +131,3 @@ def _ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _add("stream_ingest", "SELECT conv_id, 'lives_in' AS relation, 'room ' || max(turn) AS object FROM conversations WHERE role = 'user' GROUP BY conv_id UNION ALL SELECT DISTINCT conv_id, 'likes', 'tea ' || conv_id FROM conversations WHERE role = 'user'", _ingested)
-_add(
-    "stream_sensory", "SELECT user_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r, floor(epoch(max(ts) OVER (PARTITION BY user_id))) - floor(epoch(ts)) AS age FROM events) WHERE r <= 8 AND age <= 172800",
-    lambda spark, d: events.sensory_buffer(events.event_stream(spark, d).select("user_id", "ts", "event_id"), events.work_folder(spark), 172800, 8).select("user_id", "event_id"),
-)
-_add(
-    "stream_stm",
-    "SELECT user_id, event_id FROM (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY w DESC, event_id) AS r FROM (SELECT user_id, event_id, round(greatest(0.0, value / 500 + 1 - 0.05 * (floor(epoch(max(ts) OVER (PARTITION BY user_id))) - floor(epoch(ts))) / 3600.0) * (value / 500), 9) AS w FROM events)) WHERE r <= 20",
-    lambda spark, d: events.short_term(events.event_stream(spark, d).select("user_id", "event_id", "ts", (F.col("value") / 500 + 1).alias("activation"), (F.col("value") / 500).alias("importance")), events.work_folder(spark)).select("user_id", "event_id"),
-)

@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recollect.operators.shared import shared_folder
@@ -46,53 +45,22 @@ def sessions(stream: DataFrame, key: str, gap: str, late: str) -> DataFrame:
     return stream.withWatermark("ts", late).groupBy(key, F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("n")).select(key, F.col("w.start").alias("start"), "n")
 
 
-def snapshots(stream: DataFrame, merge: Callable[[DataFrame, DataFrame], DataFrame], folder: str) -> DataFrame:
-    """A table kept by ``foreachBatch``: ``merge`` makes its next version of the one before and a batch.
+def latest(stream: DataFrame, keys: list[str], version: str, folder: str) -> DataFrame:
+    """The row with the largest version of every key.
 
-    A batch reads the snapshot before it and writes its own; running it again
-    overwrites that one, so a restart gives the same table.
+    The engine's state holds one row a key; a batch writes the keys that it changed
+    to a folder of its own (``change=N``, written anew if the batch runs again), and the reader
+    merges those.  Nothing that stays as it was is written twice, and a restart, with or without
+    new rows, reads the same table.
     """
     spark = stream.sparkSession
+    row = F.struct(*stream.columns)
+    newest = stream.groupBy(*keys).agg(F.max_by(row, version).alias("_row")).select("_row.*")
 
     def step(batch: DataFrame, number: int) -> None:
-        before = batch.limit(0) if number == 0 else spark.read.schema(batch.schema).parquet(f"{folder}/v={number - 1}")
-        merge(before, batch).write.mode("overwrite").parquet(f"{folder}/v={number}")
+        batch.write.mode("overwrite").parquet(f"{folder}/changes/change={number}")
 
-    query = stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query = newest.writeStream.foreachBatch(step).outputMode("update").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
     query.awaitTermination()
-    last = max((p["batchId"] for p in query.recentProgress), default=0)
-    return spark.read.schema(stream.schema).parquet(f"{folder}/v={last}")
-
-
-def latest(stream: DataFrame, keys: list[str], version: str, folder: str) -> DataFrame:
-    """The row with the largest version of every key."""
-    return snapshots(stream, lambda before, batch: upsert_by_key(before, batch, keys, version), folder)
-
-
-def sensory_buffer(stream: DataFrame, folder: str, seconds: int, most: int = 100) -> DataFrame:
-    """Of every user (user_id, ts, event_id) the last ``most`` rows within some seconds of its newest."""
-
-    def keep(before: DataFrame, batch: DataFrame) -> DataFrame:
-        rows = before.unionByName(batch)
-        line = Window.partitionBy("user_id").orderBy(F.desc("ts"), F.desc("event_id"))
-        placed = rows.withColumns({"_r": F.row_number().over(line), "_new": F.first("ts").over(line)})
-        return placed.where((F.col("_r") <= most) & (F.unix_timestamp("_new") - F.unix_timestamp("ts") <= seconds)).drop("_r", "_new")
-
-    return snapshots(stream, keep, folder)
-
-
-def short_term(stream: DataFrame, folder: str, rate: float = 0.05, capacity: int = 20) -> DataFrame:
-    """Of every user the ``capacity`` items (user_id, event_id, ts, activation, importance) of most activation * importance.
-
-    Activation falls by ``rate`` an hour up to the newest row of the batch; a batch is one tick.
-    """
-
-    def tick(before: DataFrame, batch: DataFrame) -> DataFrame:
-        rows = before.unionByName(batch)
-        now = rows.groupBy("user_id").agg(F.max("ts").alias("_now"))
-        hours = (F.unix_timestamp("_now") - F.unix_timestamp("ts")) / 3600.0
-        aged = rows.join(now, "user_id").withColumn("_worth", F.round(F.greatest(F.lit(0.0), F.col("activation") - rate * hours) * F.col("importance"), 9))
-        line = Window.partitionBy("user_id").orderBy(F.desc("_worth"), "event_id")
-        return aged.withColumn("_r", F.row_number().over(line)).where(F.col("_r") <= capacity).select(*rows.columns)
-
-    return snapshots(stream, tick, folder)
+    changes = spark.read.schema(stream.schema).option("recursiveFileLookup", "true").parquet(f"{folder}/changes")
+    return upsert_by_key(changes, changes.limit(0), keys, version)
