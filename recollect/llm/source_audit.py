@@ -185,7 +185,8 @@ def source_divergence(docs: DataFrame, least: int = 10, most: int = 10, text: st
     # part pair
     tiles = groups.groupBy("lang").agg(F.ceil(F.count(F.lit(1)) / F.lit(TILE)).cast("long").alias("tiles"))
     tiled = groups.join(tiles, "lang").withColumn("tile", F.pmod(F.xxhash64("source"), F.col("tiles")))
-    slices = kept.repartitionByRange("lang", "cells").sortWithinPartitions("lang", "cells").select(F.spark_partition_id().alias("slice"), "lang", "cells")
+    # ranges are drawn by the first cells only: Spark samples these keys to the driver
+    slices = kept.repartitionByRange("lang", F.slice("cells", 1, 3)).sortWithinPartitions("lang", "cells").select(F.spark_partition_id().alias("slice"), "lang", "cells")
     runs = cut(slices.mapInArrow(_runs, "chunk string, lang string, source string, counts array<long>, lengths array<long>, terms long"))
     chunks = runs.where("source is null").select("lang", "chunk", "terms")
     # a source that a chunk has no term of is one run of zeros there
