@@ -50,12 +50,24 @@ def pack_json(memories: DataFrame, columns: list[str], into: str = "data") -> Da
 def hash_embedding(text: Column, dims: int = 768, words: int = 100) -> Column:
     """Sparse unit vector of a text as an array of (bucket, weight), in order of bucket.
 
-    The i-th of the first words of three characters or more adds 1 / (i + 1) at its
-    hash's bucket; the vector then has length one.  A text without words gives none.
+    The i-th of the first words of three characters or more adds 1 / (i + 1) at the
+    bucket of its md5; the vector then has length one.  A text without words gives none.
     """
     found = F.slice(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)\b(\w{3,})\b"), F.lit(1)), 1, words)
-    parts = F.transform(found, lambda w, i: F.struct(F.pmod(F.xxhash64(w), F.lit(dims)).alias("bucket"), (1.0 / (i + 1)).alias("weight")))
-    buckets = F.array_sort(F.array_distinct(F.transform(parts, lambda p: p["bucket"])))
-    summed = F.transform(buckets, lambda b: F.struct(b.alias("bucket"), F.aggregate(F.filter(parts, lambda p: p["bucket"] == b), F.lit(0.0), lambda a, p: a + p["weight"]).alias("weight")))
-    norm = F.sqrt(F.aggregate(summed, F.lit(0.0), lambda a, p: a + p["weight"] * p["weight"]))
-    return F.transform(summed, lambda p: F.struct(p["bucket"].alias("bucket"), (p["weight"] / norm).alias("weight")))
+    parts = F.transform(found, lambda w, i: F.struct((F.conv(F.substring(F.md5(w.cast("binary")), 1, 8), 16, 10).cast("long") % dims).alias("bucket"), (1.0 / (i + 1)).alias("weight")))
+    none = F.array().cast("array<struct<bucket: bigint, weight: double>>")
+    start = F.struct(F.lit(-1).cast("long").alias("bucket"), F.lit(0.0).alias("weight"), none.alias("done"), F.lit(0.0).alias("squares"))
+
+    def add(have: Column, p: Column) -> Column:
+        # sorted by bucket, so a bucket is full when another one comes
+        full = F.when(have["bucket"] >= 0, F.array_append(have["done"], F.struct(have["bucket"].alias("bucket"), have["weight"].alias("weight")))).otherwise(have["done"])
+        more = F.struct(have["bucket"].alias("bucket"), (have["weight"] + p["weight"]).alias("weight"), have["done"].alias("done"), have["squares"].alias("squares"))
+        fresh = F.struct(p["bucket"].alias("bucket"), p["weight"].alias("weight"), full.alias("done"), (have["squares"] + have["weight"] * have["weight"]).alias("squares"))
+        return F.when(have["bucket"] == p["bucket"], more).otherwise(fresh)
+
+    def unit(have: Column) -> Column:
+        every = F.array_append(have["done"], F.struct(have["bucket"].alias("bucket"), have["weight"].alias("weight")))
+        norm = F.sqrt(have["squares"] + have["weight"] * have["weight"])
+        return F.when(have["bucket"] < 0, have["done"]).otherwise(F.transform(every, lambda p: F.struct(p["bucket"].alias("bucket"), (p["weight"] / norm).alias("weight"))))
+
+    return F.aggregate(F.array_sort(parts), start, add, unit)
