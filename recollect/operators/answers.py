@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from recollect.functions import questions, scores
 from recollect.functions.tokens import tokens
-from recollect.operators.joins import keyword_overlap
 from recollect.operators.ranking import top
+from recollect.operators.sparse import relevance_keys, sparse_top, weighed
 
 
 def search_items(asked: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
@@ -16,10 +16,9 @@ def search_items(asked: DataFrame, items: DataFrame, k: int = 10) -> DataFrame:
 
     ``asked`` has (query_id, text), ``items`` (memory_id, text, activation, importance, rehearsals); filter them before.
     """
-    found = keyword_overlap(asked, items.select("memory_id", "text")).join(items, "memory_id")
-    relevance = F.col("overlap") / (F.col("query_size") + 1)
-    rows = found.withColumn("score", F.round(scores.item_score(F.col("activation"), F.col("importance"), relevance, F.col("rehearsals")), 6))
-    return top(rows, "score", k).select("query_id", "memory_id", "score", "rank")
+    known = scores.item_score(F.col("activation"), F.col("importance"), F.lit(0.0), F.col("rehearsals"))
+    held = items.select("memory_id", weighed(tokens(F.col("text"))).alias("keys"), known.alias("base"))
+    return sparse_top(asked.select("query_id", relevance_keys(tokens(F.col("text")), 0.3).alias("keys")), held, k, digits=6)
 
 
 def search_tiers(asked: DataFrame, tiers: dict[str, DataFrame], each: int = 5, overall: int = 10) -> DataFrame:
@@ -40,12 +39,12 @@ def unit_candidates(asked: DataFrame, units: DataFrame, k: int = 10) -> DataFram
 
     ``units`` has (memory_id, level, text, feedback).
     """
-    found = keyword_overlap(asked, units.select("memory_id", "text")).join(units, "memory_id")
     boost = F.lit(0.0)
     for level, by in LEVELS.items():
         boost = F.when(F.col("level") == level, F.lit(by)).otherwise(boost)
-    rows = found.withColumn("score", F.round(F.col("overlap") / (F.col("query_size") + 1) + boost + 0.2 * F.coalesce("feedback", F.lit(0.0)), 6))
-    return top(rows, "score", k).select("query_id", "memory_id", "level", "score", "rank")
+    held = units.select("memory_id", weighed(tokens(F.col("text"))).alias("keys"), (boost + 0.2 * F.coalesce("feedback", F.lit(0.0))).alias("base"))
+    found = sparse_top(asked.select("query_id", relevance_keys(tokens(F.col("text"))).alias("keys")), held, k, digits=6)
+    return found.join(units.select("memory_id", "level"), "memory_id").select("query_id", "memory_id", "level", "score", "rank")
 
 
 def best_line(asked: DataFrame, texts: DataFrame, most: int = 80) -> DataFrame:

@@ -9,19 +9,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-import numpy as np
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from recollect.functions import questions
 from recollect.operators import graph
 from recollect.operators.shared import cut
+from recollect.operators.sparse import sparse_top
 from recollect.sources.conversations import hash_embedding
 
-BLOCK = 2_000_000  # keys of the questions that are broadcast at once
 KEYS = "array<struct<key: string, weight: double>>"
 # Parts of a question that tell what it asks for.
 TIME = ["when", "date", "time", "year", "day", "month", "before", "after", "how long", "ago"]
@@ -35,94 +31,17 @@ NEAR = ["in", "at", "to", "from", "near"]
 LIKING = ["like", "love", "enjoy", "prefer", "favorite"]
 
 
-def sparse_top(asked: DataFrame, memories: DataFrame, k: int, block: int = BLOCK) -> DataFrame:
-    """(query_id, memory_id, score, rank): the ``k`` memories of largest dot product above 0 with each question.
-
-    ``asked`` are (query_id, keys), ``memories`` (memory_id, keys), ``keys`` an array of (key, weight),
-    each key once.  Questions are broadcast in blocks of about ``block`` keys, and the memories
-    are read once a block; a task sums a memory's products for all questions of the block and
-    keeps the best ``k`` of each, so only those are shuffled.  Scores are rounded to nine digits, equal
-    ones go by id.  Rows without keys find nothing and are not found.
-    """
-    spark, kind = memories.sparkSession, dict(memories.dtypes)["memory_id"]
-    arrow_kind = to_arrow_type(memories.schema["memory_id"].dataType)
-    entries = asked.agg(F.sum(F.size("keys"))).first()[0] or 0
-    blocks = max(1, -(-entries // block))
-    found = []
-    for number in range(blocks):
-        some = (asked.where(F.pmod(F.xxhash64(F.to_json(F.struct("query_id"))), F.lit(blocks)) == number) if blocks > 1 else asked).select("query_id", "keys").collect()
-        lists: dict[str, tuple[list[int], list[float]]] = {}
-        for i, r in enumerate(some):
-            for entry in r["keys"] or []:
-                places, weights = lists.setdefault(entry["key"], ([], []))
-                places.append(i)
-                weights.append(entry["weight"])
-        postings = spark.sparkContext.broadcast((len(some), {key: (np.array(p, np.int64), np.array(w)) for key, (p, w) in lists.items()}))
-        rows = memories.select("memory_id", "keys").mapInArrow(_best(postings, k, arrow_kind), f"place long, memory_id {kind}, score double")
-        names = spark.createDataFrame([(i, r["query_id"]) for i, r in enumerate(some)], f"place long, query_id {dict(asked.dtypes)['query_id']}")
-        found.append(rows.join(F.broadcast(names), "place").drop("place"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "memory_id")
-    ranked = reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(order))
-    return ranked.where(F.col("rank") <= k).select("query_id", "memory_id", "score", "rank")
-
-
-def _best(shared, k: int, kind: pa.DataType):
-    def run(batches):
-        count, postings = shared.value
-        least = np.full(count, 1e-9)  # what a memory must have to be among a question's best
-        ids, places, scores, held = [], [], [], 0
-
-        def prune() -> pd.DataFrame:
-            rows = pd.DataFrame({"place": np.concatenate(places) if places else np.zeros(0, np.int64), "memory_id": pd.Series([i for i, p in zip(ids, places, strict=True) for _ in range(len(p))], dtype=object), "score": np.concatenate(scores) if scores else np.zeros(0)})
-            return rows.sort_values(["place", "score", "memory_id"], ascending=[True, False, True]).groupby("place").head(k)
-
-        for batch in batches:
-            names, keys = batch.columns
-            entries = keys.flatten()
-            texts, weights = entries.field("key").to_pylist(), entries.field("weight").to_numpy(zero_copy_only=False)
-            at = 0
-            for name, size in zip(names.to_pylist(), (0 if x is None else x for x in pa.compute.list_value_length(keys).to_pylist()), strict=True):
-                hits = [(postings[t], w) for t, w in zip(texts[at : at + size], weights[at : at + size], strict=True) if t in postings]
-                at += size
-                if not hits:
-                    continue
-                sums = np.bincount(np.concatenate([p[0] for p, _ in hits]), np.concatenate([p[1] * w for p, w in hits]), count).round(9)
-                good = np.flatnonzero(sums >= least)
-                if len(good):
-                    ids.append(name)
-                    places.append(good)
-                    scores.append(sums[good])
-                    held += len(good)
-                if held > 4 * k * count + 100_000:
-                    rows = prune()
-                    full = rows.groupby("place")["score"].agg(["size", "min"])
-                    full = full[full["size"] == k]
-                    least[full.index.to_numpy()] = full["min"].to_numpy()
-                    ids, places, scores = rows["memory_id"].tolist(), [np.array([p]) for p in rows["place"]], [np.array([s]) for s in rows["score"]]
-                    held = len(rows)
-        rows = prune()
-        yield pa.RecordBatch.from_arrays([pa.array(rows["place"], pa.int64()), pa.array(rows["memory_id"].tolist(), kind), pa.array(rows["score"], pa.float64())], names=["place", "memory_id", "score"])
-
-    return run
-
-
 def long_words(text: Column) -> Column:
     """Words of three characters or more in lower case, each once."""
     return F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)\b(\w{3,})\b"), F.lit(1)))
 
 
-def lexical_top(asked: DataFrame, memories: DataFrame, k: int) -> DataFrame:
-    """(query_id, memory_id, score, rank): the ``k`` memories that share most words with a question; both have ``words``."""
-    ones = F.transform("words", lambda w: F.struct(w.alias("key"), F.lit(1.0).alias("weight")))
-    return sparse_top(asked.select("query_id", ones.alias("keys")), memories.select("memory_id", ones.alias("keys")), k)
-
-
-def _bare(text: Column) -> Column:
+def bare_words(text: Column) -> Column:
     """Words in lower case, one blank between them."""
     return F.array_join(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)(\w+)"), F.lit(1)), " ")
 
 
-def _runs(text: Column, most: int = 4) -> Column:
+def word_runs(text: Column, most: int = 4) -> Column:
     """Runs of one to ``most`` words of a text, each once."""
     words = F.regexp_extract_all(F.lower(text), F.lit(r"(?U)(\w+)"), F.lit(1))
 
@@ -153,13 +72,13 @@ def question_keys(q: Column) -> Column:
     words = long_words(q)
     shared = F.transform(words, lambda w: F.struct(F.concat(F.lit("w:"), w).alias("key"), (0.3 / (F.size(words) + 1)).alias("weight")))
     timed, person = has_any(q, TIME), has_any(q, PERSON)
-    return F.concat(shared, _hashed(q, 0.4), _some(timed, _keyed("t:", F.array(F.lit("")), 0.05)), _some(timed, _keyed("d:", _runs(q), 0.03)), _some(person, _keyed("s:", _runs(q), 0.06)), _keyed("i:", F.array(F.lit("")), 0.01))
+    return F.concat(shared, _hashed(q, 0.4), _some(timed, _keyed("t:", F.array(F.lit("")), 0.05)), _some(timed, _keyed("d:", word_runs(q), 0.03)), _some(person, _keyed("s:", word_runs(q), 0.06)), _keyed("i:", F.array(F.lit("")), 0.01))
 
 
 def memory_keys(content: Column, event_date: Column, speaker: Column, importance: Column) -> Column:
     one = lambda kind, value, when: _some(when, _keyed(kind, F.array(value), 1.0))
     worth = F.array(F.struct(F.lit("i:").alias("key"), F.coalesce(importance, F.lit(0.0)).cast("double").alias("weight")))
-    return F.concat(_keyed("w:", long_words(content), 1.0), _hashed(content, 1.0), one("t:", F.lit(""), event_date.isNotNull()), one("d:", _bare(event_date), event_date.isNotNull()), one("s:", _bare(speaker), speaker.isNotNull()), worth)
+    return F.concat(_keyed("w:", long_words(content), 1.0), _hashed(content, 1.0), one("t:", F.lit(""), event_date.isNotNull()), one("d:", bare_words(event_date), event_date.isNotNull()), one("s:", bare_words(speaker), speaker.isNotNull()), worth)
 
 
 def basic_search(asked: DataFrame, memories: DataFrame, k: int = 20, types: list[str] | None = None) -> DataFrame:

@@ -1,3 +1,3 @@
 """Registered queries by area; importing the package registers all of them."""
 
-from recollect.plans import answers, catalog, chains, conflicts, extraction, graphs, hybrid, life, questions, retrieval, small, streams  # noqa: F401
+from recollect.plans import answers, catalog, chains, conflicts, extraction, graphs, hybrid, life, mixed, questions, retrieval, small, streams  # noqa: F401

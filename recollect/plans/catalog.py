@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from recollect.functions import extract, intents, lexicons, scores
 from recollect.functions.tokens import mentions, tokens, word_tokens
-from recollect.operators import evaluation, graph, joins, lifecycle, ranking, tables
+from recollect.operators import evaluation, graph, joins, lifecycle, ranking, sparse, tables
 from recollect.streaming import events
 
 AS_OF = "2024-02-01 00:00:00"
@@ -259,6 +259,14 @@ def _overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.keyword_overlap(asked, _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("memory_id"), "text"))
 
 
+def _best_overlaps(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """(query_id, memory_id, overlap, query_size, rank): the ``k`` documents that share most tokens with an item."""
+    asked = _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), tokens(F.col("text")).alias("words"))
+    docs = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("memory_id"), tokens(F.col("text")).alias("words"))
+    found = sparse.lexical_top(asked, docs, k).join(asked.select("query_id", F.size("words").alias("query_size")), "query_id")
+    return found.select("query_id", "memory_id", F.col("score").cast("long").alias("overlap"), "query_size", "rank")
+
+
 def top_per_query(rows: DataFrame, score: str, k: int) -> DataFrame:
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(score), "memory_id")))
     return ranked.where(F.col("rank") <= k)
@@ -266,10 +274,10 @@ def top_per_query(rows: DataFrame, score: str, k: int) -> DataFrame:
 
 def search_keyword_basic(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
     """The best k documents of every question: overlap / question size >= 0.3, averaged with importance."""
-    rows = _overlaps(spark, sf_dir).withColumn("similarity", F.col("overlap") / F.col("query_size")).where("similarity >= 0.3")
-    weight = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("memory_id"), scores.emotional_salience(F.col("text")).alias("importance"))
-    final = rows.join(weight, "memory_id").withColumn("score", F.round((F.col("similarity") + F.col("importance")) / 2, 6))
-    return top_per_query(final, "score", k).select("query_id", "memory_id", "score", "rank")
+    docs = _read(spark, sf_dir, "documents").select(F.col("doc_id").alias("memory_id"), sparse.weighed(tokens(F.col("text"))).alias("keys"), (scores.emotional_salience(F.col("text")) / 2).alias("base"))
+    words = tokens(F.col("text"))
+    asked = _read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), sparse.weighed(words, 0.5 / F.size(words)).alias("keys"))
+    return sparse.sparse_top(asked, docs, k, digits=6, floor=0.15)
 
 
 _add("keyword_overlap", f"WITH {_OVER} SELECT query_id, memory_id, CAST(n AS INT) AS query_size, overlap FROM o", _overlaps)
@@ -284,19 +292,19 @@ _add(
 _add(
     "topk_per_query",
     f"WITH {_OVER} SELECT * FROM (SELECT query_id, memory_id, overlap, CAST(row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, memory_id) AS INT) AS rank FROM o) WHERE rank <= 5",
-    lambda spark, d: top_per_query(_overlaps(spark, d), "overlap", 5).select("query_id", "memory_id", "overlap", "rank"),
+    lambda spark, d: _best_overlaps(spark, d, 5).select("query_id", "memory_id", "overlap", "rank"),
 )
 _add(
     "search_graph_text",
     f"WITH {_OVER} SELECT * FROM (SELECT query_id, memory_id, round(overlap / (n + 1), 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(overlap / (n + 1), 6) DESC, memory_id) AS INT) AS rank FROM o) WHERE rank <= 10",
-    lambda spark, d: top_per_query(_overlaps(spark, d).withColumn("score", F.round(F.col("overlap") / (F.col("query_size") + 1), 6)), "score", 10).select("query_id", "memory_id", "score", "rank"),
+    lambda spark, d: _best_overlaps(spark, d, 10).select("query_id", "memory_id", F.round(F.col("overlap") / (F.col("query_size") + 1), 6).alias("score"), "rank"),
 )
 _add(
     "context_budget",
     f"""WITH {_OVER}, r AS (SELECT query_id, memory_id, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, memory_id) AS rank FROM o),
   c AS (SELECT query_id, memory_id, rank, sum(length(text)) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM r JOIN documents ON doc_id = memory_id WHERE rank <= 20)
   SELECT query_id, memory_id, CAST(rank AS INT) AS rank, CAST(used AS BIGINT) AS used FROM c WHERE used <= 8000""",
-    lambda spark, d: top_per_query(_overlaps(spark, d), "overlap", 20)
+    lambda spark, d: _best_overlaps(spark, d, 20)
     .join(_read(spark, d, "documents").select(F.col("doc_id").alias("memory_id"), F.length("text").cast("long").alias("chars")), "memory_id")
     .withColumn("used", F.sum("chars").over(Window.partitionBy("query_id").orderBy("rank")))
     .where("used <= 8000")
@@ -308,7 +316,7 @@ _add(
     f"""WITH {_OVER}, r AS (SELECT query_id, memory_id, row_number() OVER (PARTITION BY query_id ORDER BY overlap DESC, memory_id) AS rank FROM o),
   c AS (SELECT query_id, memory_id, rank, sum(1.3 * len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> ''))) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM r JOIN documents ON doc_id = memory_id WHERE rank <= 20)
   SELECT query_id, memory_id, CAST(rank AS INT) AS rank, round(CAST(used AS DOUBLE), 6) AS used FROM c WHERE used <= 2000""",
-    lambda spark, d: top_per_query(_overlaps(spark, d), "overlap", 20)
+    lambda spark, d: _best_overlaps(spark, d, 20)
     .join(_read(spark, d, "documents").select(F.col("doc_id").alias("memory_id"), (1.3 * F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))).alias("words")), "memory_id")
     .withColumn("used", F.sum("words").over(Window.partitionBy("query_id").orderBy("rank")))
     .where("used <= 2000")

@@ -20,25 +20,29 @@ WORDINGS = [
 _FRIEND = "upper('z') || translate(CAST(query_id + 1 AS VARCHAR), '0123456789', 'abcdefghij')"
 
 
-def _cases() -> str:
+def _cases(wordings: list[str]) -> str:
     out = []
-    for i, w in enumerate(WORDINGS):
+    for i, w in enumerate(wordings):
         pieces = [{"N": "who", "F": _FRIEND, "R": "place", "S": "thing"}[p] if k % 2 else f"'{p}'" for k, p in enumerate(re.split(r"\{([NFRS])\}", w))]
         out.append(f"WHEN {i} THEN " + " || ".join(x for x in pieces if x != "''"))
-    return f"CASE query_id // 50 % {len(WORDINGS)} " + " ".join(out) + " END"
+    return f"CASE query_id // 50 % {len(wordings)} " + " ".join(out) + " END"
 
 
-_ASKED = f"asked AS (SELECT query_id, q, lower(q) AS l FROM (SELECT query_id, {_cases()} AS q FROM {asking.PEOPLE} WHERE query_id % 50 = 0))"
+def asked_sql(wordings: list[str]) -> str:
+    return f"asked AS (SELECT query_id, q, lower(q) AS l FROM (SELECT query_id, {_cases(wordings)} AS q FROM {asking.PEOPLE} WHERE query_id % 50 = 0))"
 
 
-def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
+_ASKED = asked_sql(WORDINGS)
+
+
+def asked(spark: SparkSession, sf_dir: str, wordings: list[str] = WORDINGS) -> DataFrame:
     """(query_id, q): a question of every customer whose id is divisible by 50, about it and the next one."""
     k = F.col("query_id")
     friend = F.concat(F.lit("Z"), F.translate((k + 1).cast("string"), "0123456789", "abcdefghij"))
     out = F.when(F.lit(False), F.lit(""))
-    for i, w in enumerate(WORDINGS):
+    for i, w in enumerate(wordings):
         pieces = [{"N": F.col("who"), "F": friend, "R": F.col("place"), "S": F.col("thing")}[p] if n % 2 else F.lit(p) for n, p in enumerate(re.split(r"\{([NFRS])\}", w))]
-        out = out.when(F.floor(k / 50) % len(WORDINGS) == i, F.concat(*pieces))
+        out = out.when(F.floor(k / 50) % len(wordings) == i, F.concat(*pieces))
     return asking.people(spark, sf_dir).where("query_id % 50 = 0").select("query_id", out.alias("q"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recollect.functions import questions
-from recollect.operators import hybrid
+from recollect.operators import hybrid, sparse
 from recollect.plans import questions as asking
 from recollect.plans.catalog import _add, _read
 from recollect.sources.conversations import hash_embedding
@@ -88,7 +88,7 @@ _add(
 _add(
     "lexical_top",
     f"WITH {_BASE}, w AS (SELECT query_id, unnest({_WORDS.format('q')}) AS w FROM asked), s AS (SELECT query_id, memory_id, CAST(count(*) AS DOUBLE) AS score FROM w JOIN mw USING (w) GROUP BY ALL) SELECT query_id, memory_id, score, CAST(rank AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, memory_id) AS rank FROM s) WHERE rank <= 10",
-    lambda spark, d: hybrid.lexical_top(asked(spark, d).select("query_id", hybrid.long_words(F.col("q")).alias("words")), memories(spark, d).select("memory_id", hybrid.long_words(F.col("content")).alias("words")), 10),
+    lambda spark, d: sparse.lexical_top(asked(spark, d).select("query_id", hybrid.long_words(F.col("q")).alias("words")), memories(spark, d).select("memory_id", hybrid.long_words(F.col("content")).alias("words")), 10),
 )
 _add(
     "basic_search_v3",

@@ -5,7 +5,7 @@ from collections import defaultdict
 
 import pytest
 
-from recollect.operators import hybrid
+from recollect.operators import hybrid, sparse
 
 KEYED = "array<struct<key: string, weight: double>>"
 MEMORY = "memory_id long, content string, event_date string, speaker string, importance double, memory_type string"
@@ -28,14 +28,14 @@ def test_sparse_top_is_exact(spark, block):
     want = sorted((q, m, s, rank) for q, found in sums.items() for rank, (m, s) in enumerate(sorted(found.items(), key=lambda x: (-x[1], x[0]))[:3], 1))
     a = spark.createDataFrame(asked, f"query_id string, keys {KEYED}")
     m = spark.createDataFrame(memories, f"memory_id long, keys {KEYED}").repartition(3)
-    assert sorted(tuple(r) for r in hybrid.sparse_top(a, m, 3, block).collect()) == want
-    assert hybrid.sparse_top(a.limit(0), m, 3).count() == 0 == hybrid.sparse_top(a, m.limit(0), 3).count()
+    assert sorted(tuple(r) for r in sparse.sparse_top(a, m, 3, block).collect()) == want
+    assert sparse.sparse_top(a.limit(0), m, 3).count() == 0 == sparse.sparse_top(a, m.limit(0), 3).count()
 
 
 def test_pruning_keeps_the_best(spark):
     memories = [(i, [("a", float(i % 997)), ("b", 1.0)]) for i in range(60_000)]
     asked = [(q, [("a", 1.0)]) for q in range(2)] + [(9, [("b", 1.0)])]
-    rows = hybrid.sparse_top(spark.createDataFrame(asked, f"query_id long, keys {KEYED}"), spark.createDataFrame(memories, f"memory_id long, keys {KEYED}").coalesce(1), 2).collect()
+    rows = sparse.sparse_top(spark.createDataFrame(asked, f"query_id long, keys {KEYED}"), spark.createDataFrame(memories, f"memory_id long, keys {KEYED}").coalesce(1), 2).collect()
     got = {(r.query_id, r.rank): (r.memory_id, r.score) for r in rows}
     assert got[0, 1] == (996, 996.0) and got[1, 2] == (1993, 996.0) and got[9, 1] == (0, 1.0) and got[9, 2] == (1, 1.0)
 
