@@ -7,8 +7,8 @@ parameters were changed.  The slots then have to be consistent: along one
 alignment of a text with an item, one value of the item always stands for one
 value of the text.  Windows that break this don't count.
 
-Every capitalised word is a name, also where a sentence begins, and a run of names
-or number words is one placeholder.  Texts have this one template.  Items are
+Every capitalised word is a name, also where a sentence begins, as are ``McCoy``,
+``O'Neil`` and a short word in capitals between others in small letters; a run of names or number words is one placeholder.  Texts have this one template.  Items are
 looked for in three readings, as they are, with small letters where a sentence,
 line or quotation begins, and with small letters throughout, so that copies in
 other letters are found too; the one that a text holds most of counts.
@@ -36,29 +36,44 @@ BROADCAST_CHARS = 4_000_000  # of the items that have these windows
 WINDOW, SHORT = 8, 4  # tokens; the second for items of fewer than eight
 LITERALS = 4  # words in a window at least that are no placeholder (half of them in a short one)
 
-# Fixed values.
-NUMBER_WORDS = "two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion"
-MAGNITUDES = "hundred thousand million billion"
-UNITS = "% mm cm m km kilometers kilometres meters metres miles mile feet foot inches inch yards mg g kg grams kilograms pounds lbs oz ounces ml l liters litres gallons s sec seconds min minutes h hours hour days day weeks week months month years year dollars dollar euros euro cents usd eur percent degrees mph kmh gb mb kb"
+# Words for numbers and units in English, German, French and Spanish. Articles ("a", "ein", "une", "una") are no numbers.
+NUMBER_WORDS = """
+zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion
+null eins zwei drei vier fünf sechs sieben acht neun zehn elf zwölf dreizehn vierzehn fünfzehn sechzehn siebzehn achtzehn neunzehn zwanzig dreißig vierzig fünfzig sechzig siebzig achtzig neunzig hundert tausend millionen milliarde milliarden
+zéro deux trois quatre cinq sept huit neuf dix onze douze treize quatorze quinze seize vingt vingts trente quarante cinquante soixante cent cents mille millions milliard milliards
+cero uno dos tres cuatro cinco seis siete ocho nueve diez once doce trece catorce quince dieciséis diecisiete dieciocho diecinueve veinte veintiuno veintidós veintitrés treinta cuarenta cincuenta sesenta setenta ochenta noventa ciento cien mil millón millones
+"""
+MAGNITUDES = "hundred thousand million billion hundert tausend millionen milliarden cent mille millions milliards mil millones"
+UNITS = """
+% mm cm m km kilometers kilometres meters metres miles mile feet foot inches inch yards mg g kg t grams kilograms pounds lbs oz ounces tons tonnes ml cl l liters litres gallons s sec seconds second min minutes minute h hours hour days day weeks week months month years year dollars dollar euros euro cents usd eur percent degrees mph kmh gb mb kb tb
+meter kilometer zentimeter meilen gramm kilo kilogramm pfund tonnen liter sekunden sekunde minuten stunde stunden tage tagen tag wochen woche monate monaten monat jahre jahren jahr prozent grad cent
+mètres mètre kilomètres kilomètre centimètres grammes kilos litres litre secondes seconde heures heure jours jour semaines semaine mois ans an années année degrés
+metros metro kilómetros kilómetro centímetros millas gramos kilogramos litros litro segundos segundo minutos minuto horas hora días día semanas semana meses mes años año dólares grados
+"""
 
 
 def _one_of(words: str) -> str:
     """A pattern for any of the words, in any letters; words with one first letter share it."""
-    groups = groupby(sorted(words.split()), key=lambda w: w[0])
+    groups = groupby(sorted(set(words.split())), key=lambda w: w[0])
     return "(?i:" + "|".join(first + "(?:" + "|".join(w[1:] for w in sorted(some, key=len, reverse=True)) + ")" for first, some in groups) + ")"
 
 
+_FIRST = "".join(sorted({x for w in NUMBER_WORDS.split() for x in w[0] + w[0].upper()}))
+
 # A group that may repeat without end would exhaust the stack of Java's matcher, so repeats are bounded;
 # the look ahead comes first because it is the cheapest test.
 _END = r"(?![\p{L}\p{N}])"
 _DIGITS = r"[0-9]+(?:[.,:/][0-9]+){0,15}"
 _WORD = _one_of(NUMBER_WORDS)
-_NAMES = rf"(?!{_WORD}{_END})(?:\p{{Lu}}\p{{Ll}}+[ \t-]){{0,7}}(\p{{Lu}}\p{{Ll}}+){_END}"
+# "Anna", "McCoy", "O'Neil"; "USA" beside a word in small letters, not among other capitals, as in a text that shouts
+_ONE_NAME = r"(?:\p{Lu}['’])?\p{Lu}\p{Ll}+(?:\p{Lu}\p{Ll}+)?"
+_ACRONYM = r"(?:(?<=\p{Ll}[ \t-])\p{Lu}{2,5}(?![ \t-]\p{Lu}(?!\p{Ll}))|(?<!\p{Lu}[ \t-])\p{Lu}{2,5}(?=[ \t-]\p{Ll}))"
+_NAMES = rf"(?!{_WORD}{_END})(?:{_ONE_NAME}[ \t-]){{0,7}}({_ONE_NAME}|{_ACRONYM}){_END}"
 _NAME = r"(?=\p{Lu})(?<![\p{L}\p{N}])" + _NAMES
 _INNER_NAME = r"(?=\p{Lu})(?<=[\p{L}\p{N},;][ \t])" + _NAMES
-_NUMBER = rf"(?=[0-9tfsenhmbTFSENHMB])(?<![\p{{L}}\p{{N}}\x02])(?:{_DIGITS}(?:[ -]{_one_of(MAGNITUDES)})?|{_WORD}(?:[ -](?:and )?{_WORD}){{0,7}}){_END}"
+_NUMBER = rf"(?=[0-9{_FIRST}])(?<![\p{{L}}\p{{N}}\x02])(?:{_DIGITS}(?:[ -]{_one_of(MAGNITUDES)})?|{_WORD}(?:[ -](?:and |und |et |y )?{_WORD}){{0,7}}){_END}"
 _GLUED = rf"(?=[0-9])(?<![\p{{L}}\p{{N}}])({_DIGITS})({_one_of(UNITS)}){_END}"
-_UNIT = "(" + "|".join(sorted(UNITS.split(), key=len, reverse=True)) + r")(?![\p{L}\p{N}\x02])"
+_UNIT = "(" + "|".join(sorted(set(UNITS.split()), key=lambda u: (-len(u), u))) + r")(?![\p{L}\p{N}\x02])"
 _SLOT = "\x02"
 
 

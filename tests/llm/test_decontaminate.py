@@ -1,4 +1,5 @@
 import random
+import re
 
 from pyspark.sql import functions as F
 
@@ -16,9 +17,11 @@ def run(spark, docs, items, **more):
 def test_template_and_values(spark):
     rows = {
         "We met Anna Smith, then Bob. Carl paid 3.50 dollars for twelve km\x02!": (["\x02n", "met", "\x02n", "then", "\x02n", "\x02n", "paid", "\x02d", "\x02u", "for", "\x02d", "\x02u"], ["we", "smith", "bob", "carl", "3.50", "dollars", "twelve", "km"]),
-        "A1 20km 7:30 \u00dcber uns \u00c4RGER, \u00d6l": (["a1", "\x02d", "\x02u", "\x02d", "\x02n", "uns", "\u00e4rger", "\x02n"], ["20", "km", "7:30", "\u00fcber", "\u00f6l"]),
+        "A1 20km 7:30 \u00dcber uns \u00c4RGER, \u00d6l": (["a1", "\x02d", "\x02u", "\x02d", "\x02n", "uns", "\x02n", "\x02n"], ["20", "km", "7:30", "\u00fcber", "\u00e4rger", "\u00f6l"]),
         "Twenty five men, forty-two and Six 3 thousand 4": (["\x02d", "men", "\x02d", "\x02d", "\x02d"], ["twenty five", "forty-two and six", "3 thousand", "4"]),
-        "Jean-Paul Anna McCoy USA 5-km 50% tens": (["\x02n", "mccoy", "usa", "\x02d", "\x02u", "\x02d", "\x02u", "tens"], ["anna", "5", "km", "50", "%"]),
+        "Jean-Paul Anna McCoy USA 5-km 50% tens": (["\x02n", "\x02d", "\x02u", "\x02d", "\x02u", "tens"], ["usa", "5", "km", "50", "%"]),
+        "O'Neil met IBM men. THE USA OR A UK ISN'T OK": (["\x02n", "met", "\x02n", "men", "the", "usa", "or", "a", "uk", "isn", "t", "ok"], ["o'neil", "ibm"]),
+        "Drei Tage und zwölf stunden, one or zero, quatre-vingt ans, veintidós horas": (["\x02d", "\x02n", "und", "\x02d", "\x02u", "\x02d", "or", "\x02d", "\x02d", "\x02u", "\x02d", "\x02u"], ["drei", "tage", "zwölf", "stunden", "one", "zero", "quatre-vingt", "ans", "veintidós", "horas"]),
         "": ([], []),
         None: ([], []),
     }
@@ -212,3 +215,29 @@ def test_names_and_numbers_against_brute_force(spark):
     found = {(d, i) for d, i, _, _ in want}
     recall = [(d, d % 15) in found for d, _ in docs if d % 5 == 1]
     assert sum(recall) / len(recall) >= 0.9 and all((d, d % 15) in found for d, _ in docs if d % 5 in (0, 3))
+
+
+CLASSES = {
+    "German number words": ("Ein Zug fährt mit drei Wagen nach Norden und holt dort mit zwei Männern Holz für die neue Brücke, die im Winter am alten Fluss gebaut wird.", {"drei": "sieben", "zwei": "fünf"}),
+    "French number words": ("Le train roule avec trois wagons vers le nord et ramène ensuite quatre hommes qui doivent construire le pont avant la fin de la saison.", {"trois": "sept", "quatre": "neuf"}),
+    "Spanish number words": ("El tren lleva tres vagones hacia el norte y trae luego cuatro hombres que deben hacer el puente antes del final de la estación.", {"tres": "siete", "cuatro": "nueve"}),
+    "one": ("how long does one man need to carry the stones over the river if the old bridge is closed for one week in the middle of summer", {"one": "two"}),
+    "names of other forms": ("how long does it take until McCoy has carried all the stones over the river and how many did O'Brien bring before the bridge was closed", {"McCoy": "O'Neil", "O'Brien": "DeWitt"}),
+    "acronyms": ("how much of the coal that the USA sold last winter went over the old river and how much did IBM buy from those who had to carry it home", {"USA": "UK", "IBM": "NASA"}),
+    "units": ("die Reise dauerte 7 Stunden und der Weg war 40 Kilometer lang, wie schnell fuhr dann der Wagen auf dem letzten Teil der Strecke am Fluss", {"Stunden": "Tage", "Kilometer": "Meilen"}),
+}
+
+
+def test_re_parameterised_classes(spark):
+    docs, items = [], []
+    for i, (text, changes) in enumerate(CLASSES.values()):
+        items.append((i, text))
+        other, broken = text, text
+        for old, new in changes.items():
+            other = re.sub(rf"\b{old}\b", new, other)
+            broken = re.sub(rf"\b{old}\b", new, broken, count=1)
+        docs += [(2 * i, "some words before it and " + other + " and some behind it"), (2 * i + 1, broken)]
+    got = {(d, i): f / w for d, i, w, f in run(spark, docs, items, share=0.01)}
+    for i, name in enumerate(CLASSES):
+        assert got[2 * i, i] >= 0.9, name
+    assert got[7, 3] < 1  # one value of "one" for two others: the windows that hold both do not count
