@@ -295,3 +295,59 @@ def contradicts(new: Column, old: Column) -> Column:
     for neg, pos in NEGATED:
         out = out | (F.contains(a, F.lit(neg)) & F.contains(b, F.lit(pos)) & shared)
     return out
+
+
+# Words that tell what somebody did, does, likes, is or has.
+DEEDS = ["went to", "attended", "visited", "joined", "started", "finished", "completed", "began", "ended"]
+DOINGS = ["watching", "playing", "reading", "writing", "cooking", "running", "swimming", "hiking"]
+TASTES = ["love", "like", "enjoy", "prefer", "hate", "dislike"]
+BEINGS = ["am", "work", "live", "have", "own", "study", "teach"]
+OWN = ["name", "job", "age", "hobby", "pet", "car"]
+#: How many relations of each kind a turn gives at most.
+CAPS = {"did": 5, "mentioned": 5, "likes": 3, "is/has": 3, "was_at": 3}
+_REST = r"\s+(.+?)(?:\.|,|!|\?|$)"
+DEED_PATTERNS = [rf"(?i)\b({'|'.join(words)}){_REST}" for words in (DEEDS, DOINGS)]
+TASTE_PATTERNS = [rf"(?i)\bI\s+(?:{'|'.join(TASTES)}){_REST}", r"(?i)\bmy\s+favorite\s+(.+?)\s+is\s+.+?(?:\.|,|!|\?|$)"]
+BEING_PATTERNS = [rf"(?i)\bI\s+(?:{'|'.join(BEINGS)}){_REST}", rf"(?i)\bmy\s+(?:{'|'.join(OWN)})\s+is{_REST}"]
+
+
+def extract_relations(text: Column, speaker: Column) -> Column:
+    """array<struct(subject, predicate, object)>: what the speaker of a text did, mentioned, likes, is or has, and where they were.
+
+    Each kind is a slice of the distinct matches in their order, so a turn gives at most ``CAPS`` of it;
+    objects are cut at 50 characters.  A null text or speaker gives none.
+    """
+    said = F.coalesce(text, F.lit(""))
+    every = lambda p, group=1: F.regexp_extract_all(said, F.lit(p), F.lit(group))
+    short = lambda c: F.substring(F.trim(c), 1, 50)
+    deeds = F.concat(*[F.zip_with(every(p), every(p, 2), lambda a, b: F.when(F.trim(b) != "", F.concat(a, F.lit(" "), short(b)))) for p in DEED_PATTERNS])
+    long = lambda patterns: F.filter(F.transform(F.concat(*[every(p) for p in patterns]), short), lambda x: F.length(x) > 2)
+    known = extract_entities(said)
+    named = lambda kind: F.transform(F.filter(known, lambda e: e["kind"] == kind), lambda e: e["name"])
+    people = F.filter(named("person"), lambda n: F.lower(n) != F.lower(speaker))
+    kinds = {"did": F.array_compact(deeds), "mentioned": people, "likes": long(TASTE_PATTERNS), "is/has": long(BEING_PATTERNS), "was_at": named("location")}
+
+    def told(predicate: str, values: Column) -> Column:
+        return F.transform(F.slice(F.array_distinct(values), 1, CAPS[predicate]), lambda v: F.struct(speaker.alias("subject"), F.lit(predicate).alias("predicate"), v.alias("object")))
+
+    return F.when(text.isNotNull() & speaker.isNotNull(), F.concat(*[told(p, v) for p, v in kinds.items()])).otherwise(F.array().cast("array<struct<subject: string, predicate: string, object: string>>"))
+
+
+# Predicates of an entity and the words for them.
+ENTITY_VERBS = {"is": r"(?:is|was)", "likes": r"(?:likes?|loves?|enjoys?)", "works": r"(?:works?|worked)\s+(?:at|for|as)", "went": r"(?:went|goes)\s+to", "has": r"(?:has|have|had)"}
+
+
+def facts_about_lines(contexts: DataFrame, entities: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """(keys, line, entity, predicate, value): what the lines of contexts say of entities that they name, by five patterns.
+
+    ``entities`` has (entity), single words; a line meets an entity by an equi-join on its words.  Values are cut at 50 characters.
+    """
+    lines = contexts.select(*keys, F.posexplode(F.split(text, "\n")).alias("line", "content"))
+    words = F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit(r"(?U)(\w+)"), F.lit(1)))
+    met = lines.withColumn("_w", F.explode(words)).join(entities.select("entity", F.lower("entity").alias("_w")).distinct(), "_w")
+    found = [_values(F.concat(F.lit(r"(?i)\b\Q"), "entity", F.lit(rf"\E\s+{verb}\s+(.+?)(?:\.|,|$)")), predicate) for predicate, verb in ENTITY_VERBS.items()]
+    return met.select(*keys, "line", "entity", F.explode(F.concat(*found)).alias("f")).select(*keys, "line", "entity", "f.predicate", "f.value")
+
+
+def _values(pattern: Column, predicate: str) -> Column:
+    return F.transform(F.regexp_extract_all("content", pattern, F.lit(1)), lambda v: F.struct(F.lit(predicate).alias("predicate"), F.substring(F.trim(v), 1, 50).alias("value")))

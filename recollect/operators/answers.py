@@ -105,16 +105,6 @@ def speaker_boost(found: DataFrame, asked: DataFrame, by: float = 0.2) -> DataFr
     return hits.withColumn("score", F.col("score") + F.when(F.col("_word").isNotNull(), by).otherwise(0.0)).drop("_word")
 
 
-def search_episodes(asked: DataFrame, turns: DataFrame, k: int = 10) -> DataFrame:
-    """(query_id, memory_id, score, rank): 1.5 for each keyword of the question that a turn has as a whole word."""
-    from recollect.functions.tokens import word_tokens
-
-    sought = asked.select("query_id", F.explode(questions.search_keywords(F.col("text"))).alias("word"))
-    said = turns.select("memory_id", F.explode(F.array_distinct(word_tokens(F.col("text")))).alias("word"))
-    rows = said.join(sought, "word").groupBy("query_id", "memory_id").agg((1.5 * F.count(F.lit(1))).alias("score"))
-    return top(rows, "score", k).select("query_id", "memory_id", "score", "rank")
-
-
 def conversation_context(turns: DataFrame, history: int = 5, relevant: int = 3) -> DataFrame:
     """(session_id, context): a session's last turns, then the earlier ones that share most words with its last turn."""
     line = Window.partitionBy("session_id").orderBy(F.desc("seq"))

@@ -91,12 +91,6 @@ _add(
     lambda spark, d: answers.speaker_boost(answers.search_items(_asked(spark, d), items(spark, d)).join(items(spark, d).select("memory_id", F.col("role").alias("speaker")), "memory_id"), _asked(spark, d).withColumn("text", F.lit("what did the User say"))).select("query_id", "memory_id", F.round("score", 6).alias("score")),
 )
 
-_add(
-    "search_episodes",
-    rf"""WITH q AS (SELECT item_id AS query_id, unnest(list_distinct(list_concat(list_filter(list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}_]+'), lambda w: w <> ''), lambda w: length(w) > 2 AND NOT list_contains({asking._list_sql(questions.STOP_KEYWORDS)}, w)), list_transform(list_filter(regexp_split_to_array(text, '[^\p{{L}}\p{{N}}_]+'), lambda w: regexp_full_match(w, '[A-Z][a-z]+')), lambda w: lower(w))))) AS w FROM benchmark),
-  t AS (SELECT conv_id * 100 + turn AS memory_id, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]{{3,}}'))) AS w FROM conversations), s AS (SELECT query_id, memory_id, CAST(1.5 * count(*) AS DOUBLE) AS score FROM q JOIN t USING (w) GROUP BY ALL) {_ranked('s')}""",
-    lambda spark, d: answers.search_episodes(_asked(spark, d), items(spark, d)),
-)
 _add(
     "conversation_context",
     f"""WITH p AS (SELECT *, {_TOK} AS w, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations), e AS (SELECT p.conv_id, p.turn, p.text, len(list_intersect(p.w, l.w)) AS n FROM p JOIN p l ON l.conv_id = p.conv_id AND l.back = 1 WHERE p.back > 5),

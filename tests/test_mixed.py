@@ -21,7 +21,7 @@ def test_kinds_share_one_ranking(spark):
     facts = spark.createDataFrame([(1, "Ann", "likes", "tea", True), (2, "Ann", "knows", "Bob", True), (3, "Bob", "lives in", "Oslo", True), (4, "Ann", "likes", "beer", False)], FACT)
     edges = facts.where("is_current").select(F.col("fact_id").alias("edge_id"), F.col("subject").alias("source"), F.col("predicate").alias("relation"), F.col("object").alias("target"))
     items = spark.createDataFrame([(1, "Ann came yesterday", 0.5, 0.5, 1), (2, "ann CAME yesterday", 0.4, 0.5, 1), (3, "nothing", 1.0, 1.0, 9), (4, None, 1.0, 1.0, 1)], ITEM)
-    asked = spark.createDataFrame([(1, "When did Ann come"), (2, "Why does Ann like tea"), (3, None)], "query_id long, q string")
+    asked = spark.createDataFrame([(1, "When did Ann come"), (2, "Why does Ann like tea that Bob likes"), (3, None)], "query_id long, q string")
     seeds = spark.createDataFrame([(1, "Ann"), (2, "Ann")], "query_id long, node string")
     rows = mixed.retrieve(asked, facts, {"short": items}, edges, seeds).orderBy("query_id", "rank").collect()
     first = [r for r in rows if r.query_id == 1]
