@@ -105,7 +105,7 @@ def speaker_boost(found: DataFrame, asked: DataFrame, by: float = 0.2) -> DataFr
     return hits.withColumn("score", F.col("score") + F.when(F.col("_word").isNotNull(), by).otherwise(0.0)).drop("_word")
 
 
-def conversation_context(turns: DataFrame, history: int = 5, relevant: int = 3) -> DataFrame:
+def conversation_context(turns: DataFrame, history: int = 5, relevant: int = 5) -> DataFrame:
     """(session_id, context): a session's last turns, then the earlier ones that share most words with its last turn."""
     line = Window.partitionBy("session_id").orderBy(F.desc("seq"))
     placed = turns.withColumn("_back", F.row_number().over(line))
@@ -114,7 +114,7 @@ def conversation_context(turns: DataFrame, history: int = 5, relevant: int = 3)
     best = early.withColumn("_r", F.row_number().over(Window.partitionBy("session_id").orderBy(F.desc("_n"), "seq"))).where(F.col("_r") <= relevant)
     kept = placed.where(F.col("_back") <= history).select("session_id", F.lit(0).alias("part"), "seq", "text").unionByName(best.select("session_id", F.lit(1).alias("part"), F.col("_r").cast("long").alias("seq"), "text"))
     lines = kept.groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("part", "seq", "text"))).alias("l"))
-    return lines.select("session_id", F.array_join(F.transform("l", lambda x: F.concat(F.when(x["part"] == 0, "- ").otherwise("* "), F.substring(x["text"], 1, 60))), "\n").alias("context"))
+    return lines.select("session_id", F.array_join(F.transform("l", lambda x: F.concat(F.when(x["part"] == 0, "- ").otherwise("* "), x["text"])), "\n").alias("context"))
 
 
 def extract_answer(question: Column, context: Column) -> Column:

@@ -93,14 +93,31 @@ def new_words(candidate: Column, existing: Column) -> Column:
 def decide(pairs: DataFrame, candidates: DataFrame, most: int = 5) -> DataFrame:
     """(id, action, target) of every candidate, from its ``most`` nearest (id, other, similarity, fresh, contradicts).
 
-    Nothing alike: ADD.  Over .95 alike: NOOP.  A contradiction: DELETE of it.  Three
-    new words or more: UPDATE.  Else ADD.  The nearest that calls for something counts.
+    Nothing over .1 alike: ADD.  Else, in this order: one over .95 alike, NOOP; a (newer) contradiction
+    of one, DELETE it; three new words or more beside the nearest, UPDATE that; else ADD.
     """
     order = Window.partitionBy("id").orderBy(F.desc("similarity"), "other")
     near = pairs.where("similarity > 0.1").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= most)
-    action = F.when(F.col("similarity") > 0.95, "NOOP").when(F.col("contradicts"), "DELETE").when(F.col("fresh") >= 3, "UPDATE")
-    first = near.withColumn("_action", action).where("_action is not null").groupBy("id").agg(F.min_by(F.struct("_action", "other"), "_r").alias("_f"))
-    return candidates.select("id").join(first, "id", "left").select("id", F.coalesce("_f._action", F.lit("ADD")).alias("action"), F.col("_f.other").alias("target"))
+    first = lambda when: F.min(F.when(when, F.struct("_r", "other")))["other"]
+    found = near.groupBy("id").agg(first(F.col("similarity") > 0.95).alias("_same"), first(F.col("contradicts")).alias("_against"), first((F.col("_r") == 1) & (F.col("fresh") >= 3)).alias("_more"))
+    action = F.when(F.col("_same").isNotNull(), "NOOP").when(F.col("_against").isNotNull(), "DELETE").when(F.col("_more").isNotNull(), "UPDATE").otherwise("ADD")
+    return candidates.select("id").join(found, "id", "left").select("id", action.alias("action"), F.coalesce("_same", "_against", "_more").alias("target"))
+
+
+def apply_decisions(memories: DataFrame, candidates: DataFrame, decisions: DataFrame) -> DataFrame:
+    """The next version of ``memories`` (memory_id, text) after decisions (id, action, target) about candidates (id, memory_id, text).
+
+    DELETE takes its target away, and the candidate comes in its place as ADD's do; UPDATE gives its target the
+    sentences of both, of all candidates if there are several.  A target that is also deleted in the same batch
+    stays deleted.  NOOP changes nothing.
+    """
+    both = candidates.join(decisions, "id")
+    gone = both.where("action = 'DELETE'").select(F.col("target").alias("memory_id")).distinct()
+    added = both.where("action in ('ADD', 'DELETE')").select("memory_id", "text")
+    more = both.where("action = 'UPDATE'").groupBy(F.col("target").alias("memory_id")).agg(F.array_join(F.array_sort(F.collect_list("text")), ". ").alias("_more"))
+    kept = memories.join(gone, "memory_id", "left_anti").join(more, "memory_id", "left")
+    kept = kept.select("memory_id", F.when(F.col("_more").isNotNull(), sentence_union(F.col("text"), F.col("_more"))).otherwise(F.col("text")).alias("text"))
+    return kept.unionByName(added)
 
 
 def feedback_boost(candidates: DataFrame, learned: DataFrame, rates: DataFrame) -> DataFrame:

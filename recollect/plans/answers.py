@@ -94,8 +94,8 @@ _add(
 _add(
     "conversation_context",
     f"""WITH p AS (SELECT *, {_TOK} AS w, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back FROM conversations), e AS (SELECT p.conv_id, p.turn, p.text, len(list_intersect(p.w, l.w)) AS n FROM p JOIN p l ON l.conv_id = p.conv_id AND l.back = 1 WHERE p.back > 5),
-  b AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY n DESC, turn) AS r FROM e WHERE n > 0), k AS (SELECT conv_id, 0 AS part, turn AS seq, text FROM p WHERE back <= 5 UNION ALL SELECT conv_id, 1, r, text FROM b WHERE r <= 3)
-  SELECT conv_id AS session_id, string_agg(CASE part WHEN 0 THEN '- ' ELSE '* ' END || left(text, 60), chr(10) ORDER BY part, seq) AS context FROM k GROUP BY conv_id""",
+  b AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY n DESC, turn) AS r FROM e WHERE n > 0), k AS (SELECT conv_id, 0 AS part, turn AS seq, text FROM p WHERE back <= 5 UNION ALL SELECT conv_id, 1, r, text FROM b WHERE r <= 5)
+  SELECT conv_id AS session_id, string_agg(CASE part WHEN 0 THEN '- ' ELSE '* ' END || text, chr(10) ORDER BY part, seq) AS context FROM k GROUP BY conv_id""",
     lambda spark, d: answers.conversation_context(_read(spark, d, "conversations").select(F.col("conv_id").alias("session_id"), F.col("turn").alias("seq"), "text")),
 )
 _TEXT = "who || ' moved to ' || place || ' on 7 May 2023, ' || (query_id % 9 + 2) || ' years ago.' || chr(10) || 'It is correct.'"

@@ -597,7 +597,7 @@ _turn("stm_by_role", "SELECT conv_id, turn FROM conversations WHERE role = 'user
 _TOPIC = "SELECT doc_id, coalesce(arg_max(topic, (n, -o)) FILTER (n > 0), 'general') AS topic FROM (" + " UNION ALL ".join(f"SELECT doc_id, '{t}' AS topic, {i} AS o, {_mention_sql(kw)} AS n FROM documents" for i, (t, kw) in enumerate(lexicons.TOPICS.items())) + ") GROUP BY doc_id"
 _doc(
     "topic_digest",
-    f"SELECT topic, string_agg(left(text, 40), '; ' ORDER BY doc_id) AS digest FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY doc_id) AS r FROM documents JOIN ({_TOPIC}) USING (doc_id)) WHERE r <= 5 GROUP BY topic",
-    lambda d: tables.first_rows(d.select("doc_id", F.substring("text", 1, 40).alias("text"), scores.topic_of(F.col("text")).alias("topic")), ["topic"], [F.col("doc_id")], 5).groupBy("topic").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), "; ").alias("digest")),
+    f"SELECT topic, string_agg(text, '; ' ORDER BY doc_id) AS digest FROM (SELECT *, row_number() OVER (PARTITION BY topic ORDER BY doc_id) AS r FROM documents JOIN ({_TOPIC}) USING (doc_id)) WHERE r <= 5 GROUP BY topic",
+    lambda d: tables.first_rows(d.select("doc_id", "text", scores.topic_of(F.col("text")).alias("topic")), ["topic"], [F.col("doc_id")], 5).groupBy("topic").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), "; ").alias("digest")),
 )
 _doc("tier_stats", f"SELECT topic, count(*) AS items, count(DISTINCT source) AS speakers, count(DISTINCT lang) AS langs FROM documents JOIN ({_TOPIC}) USING (doc_id) GROUP BY topic", lambda d: d.withColumn("topic", scores.topic_of(F.col("text"))).groupBy("topic").agg(F.count(F.lit(1)).alias("items"), F.count_distinct("source").alias("speakers"), F.count_distinct("lang").alias("langs")))

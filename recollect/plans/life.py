@@ -75,9 +75,9 @@ _mem(
 )
 _turn(
     "merge_semantic",
-    """WITH t AS (SELECT conv_id % 7 AS g, conv_id * 100 + turn AS id, trim(left(text, 12)) AS text FROM conversations), u AS (SELECT g, arg_min(text, id) AS text, min(id) AS id FROM t GROUP BY g, lower(text))
+    """WITH t AS (SELECT conv_id AS g, conv_id * 100 + turn AS id, trim(text, ' ') AS text FROM conversations), u AS (SELECT g, arg_min(text, id) AS text, min(id) AS id FROM t GROUP BY g, lower(text))
   SELECT t.g AS "group", min(t.id) AS id, (SELECT string_agg(text, chr(10) || chr(10) ORDER BY id) FROM u WHERE u.g = t.g) AS content, arg_max(text, (length(text), -id)) AS summary, count(*) AS members, round(least(1.0, 0.5 + 0.05 * count(*)), 6) AS confidence FROM t GROUP BY t.g""",
-    lambda c: lifecycle.merge_semantic(c.select((F.col("conv_id") % 7).alias("group"), (F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.trim(F.substring("text", 1, 12)).alias("text"), F.trim(F.substring("text", 1, 12)).alias("summary"), F.lit(0.5).alias("confidence"))).withColumn("confidence", F.round("confidence", 6)),
+    lambda c: lifecycle.merge_semantic(c.select(F.col("conv_id").alias("group"), (F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.trim("text").alias("text"), F.trim("text").alias("summary"), F.lit(0.5).alias("confidence"))).withColumn("confidence", F.round("confidence", 6)),
 )
 _mem(
     "merge_episodic", "SELECT user_id, memory_type, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids, min(created_at) AS start, max(created_at) AS stop FROM MEM WHERE memory_type = 'purchase' GROUP BY user_id, memory_type",

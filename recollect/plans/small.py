@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from recollect.functions import scores
+from recollect.functions import extract, scores
 from recollect.functions.tokens import tokens
 from recollect.operators import evaluation, facts, tables
 from recollect.plans.catalog import _TOK, _add, _doc, _mem, _mention_sql, _norm_sql, _read, _turn
@@ -121,21 +121,32 @@ _turn(
 
 # ---- what happens to a candidate, and feedback
 
-_NEAR = rf"""t AS (SELECT conv_id, turn, {_TOK} AS w FROM conversations), m AS (SELECT conv_id, max(turn) AS last FROM conversations GROUP BY conv_id),
-  s AS (SELECT b.conv_id AS id, a.turn AS other, len(list_intersect(a.w, b.w)) / greatest(1, len(list_distinct(list_concat(a.w, b.w)))) AS similarity, len(list_filter(b.w, lambda x: NOT list_contains(a.w, x) AND NOT list_contains({_STOPS}, x))) AS fresh
-    FROM m JOIN t b ON b.conv_id = m.conv_id AND b.turn = m.last JOIN t a ON a.conv_id = b.conv_id AND a.turn < b.turn),
-  r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, other) AS r FROM s WHERE similarity > 0.1),
-  act AS (SELECT id, other, r, CASE WHEN similarity > 0.95 THEN 'NOOP' WHEN fresh >= 3 THEN 'UPDATE' END AS action FROM r WHERE r <= 5),
-  d AS (SELECT m.conv_id AS id, coalesce(arg_min(action, act.r) FILTER (action IS NOT NULL), 'ADD') AS action, arg_min(other, act.r) FILTER (action IS NOT NULL) AS target FROM m LEFT JOIN act ON act.id = m.conv_id GROUP BY m.conv_id)"""
+_CITIES = "CASE WHEN conv_id % 4 = 1 AND turn = 0 THEN 'I live in Rome. ' WHEN conv_id % 4 = 1 AND turn = last THEN 'I live in Oslo. ' ELSE '' END"
+_NEAR = rf"""m AS (SELECT conv_id, max(turn) AS last FROM conversations GROUP BY conv_id), p AS (SELECT conv_id, turn, last, CASE WHEN conv_id % 4 = 2 AND turn IN (0, last) THEN 'I said this before in the very same words.' ELSE {_CITIES} || text END AS text FROM conversations JOIN m USING (conv_id)),
+  t AS (SELECT *, {_TOK} AS w, regexp_extract(lower(text), '\b(live|lives|living)\s+in\s+(\w+)\b', 0) AS home FROM p),
+  s AS (SELECT b.conv_id AS id, a.turn AS other, len(list_intersect(a.w, b.w)) / greatest(1, len(list_distinct(list_concat(a.w, b.w)))) AS similarity, len(list_filter(b.w, lambda x: NOT list_contains(a.w, x) AND NOT list_contains({_STOPS}, x))) AS fresh, a.home <> '' AND b.home <> '' AND a.home <> b.home AS against
+    FROM t b JOIN t a ON a.conv_id = b.conv_id AND a.turn < b.turn WHERE b.turn = b.last),
+  r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, other) AS r FROM s WHERE similarity > 0.1) WHERE r <= 5),
+  act AS (SELECT id, arg_min(other, r) FILTER (similarity > 0.95) AS same, arg_min(other, r) FILTER (against) AS gone, arg_min(other, r) FILTER (r = 1 AND fresh >= 3) AS more FROM r GROUP BY id),
+  d AS (SELECT m.conv_id AS id, CASE WHEN same IS NOT NULL THEN 'NOOP' WHEN gone IS NOT NULL THEN 'DELETE' WHEN more IS NOT NULL THEN 'UPDATE' ELSE 'ADD' END AS action, coalesce(same, gone, more) AS target FROM m LEFT JOIN act ON act.id = m.conv_id)"""
+
+
+def _moved(c: DataFrame) -> DataFrame:
+    """Turns; of every four conversations one begins and ends with another home, one with the same words."""
+    last = c.groupBy("conv_id").agg(F.max("turn").alias("last"))
+    home = F.when((F.col("conv_id") % 4 == 1) & (F.col("turn") == 0), "I live in Rome. ").when((F.col("conv_id") % 4 == 1) & (F.col("turn") == F.col("last")), "I live in Oslo. ").otherwise("")
+    again = (F.col("conv_id") % 4 == 2) & ((F.col("turn") == 0) | (F.col("turn") == F.col("last")))
+    return c.join(last, "conv_id").select("conv_id", "turn", "last", F.when(again, "I said this before in the very same words.").otherwise(F.concat(home, "text")).alias("text"))
 
 
 def _decided(c: DataFrame) -> DataFrame:
     """The last turn of every conversation against the turns before it."""
-    t = c.select("conv_id", "turn", "text")
-    last = t.groupBy("conv_id").agg(F.max(F.struct("turn", "text")).alias("l")).select(F.col("conv_id").alias("id"), F.col("l.turn").alias("last"), F.col("l.text").alias("said"))
-    pairs = t.join(last, t["conv_id"] == last["id"]).where("turn < last")
+    t = _moved(c)
+    last = t.where("turn = last").select(F.col("conv_id").alias("id"), F.col("text").alias("said"))
+    t = t.where("turn < last")
+    pairs = t.join(last, t["conv_id"] == last["id"])
     a, b = tokens(F.col("text")), tokens(F.col("said"))
-    near = pairs.select("id", F.col("turn").alias("other"), (F.size(F.array_intersect(a, b)) / F.greatest(F.lit(1), F.size(F.array_union(a, b)))).alias("similarity"), F.size(facts.new_words(F.col("said"), F.col("text"))).alias("fresh"), F.lit(False).alias("contradicts"))
+    near = pairs.select("id", F.col("turn").alias("other"), (F.size(F.array_intersect(a, b)) / F.greatest(F.lit(1), F.size(F.array_union(a, b)))).alias("similarity"), F.size(facts.new_words(F.col("said"), F.col("text"))).alias("fresh"), extract.contradicts(F.col("said"), F.col("text")).alias("contradicts"))
     return facts.decide(near, last)
 
 
@@ -144,10 +155,22 @@ _turn(
     "operation_stats", f"WITH {_NEAR} SELECT action, (SELECT count(*) FROM d WHERE d.action = o.action) AS n FROM (VALUES ('ADD'), ('UPDATE'), ('DELETE'), ('NOOP')) o(action)",
     lambda c: c.sparkSession.createDataFrame([("ADD",), ("UPDATE",), ("DELETE",), ("NOOP",)], "action string").join(_decided(c).groupBy("action").agg(F.count(F.lit(1)).alias("k")), "action", "left").select("action", F.coalesce("k", F.lit(0)).alias("n")),
 )
-_mem(
+_UNION = "array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_split_to_array({0} || '.' || {1}, '[.!?]'), lambda s: trim(s, ' ')), lambda s: s <> ''))), '. ') || '.'"
+
+
+def _applied(c: DataFrame) -> DataFrame:
+    t, key = _moved(c), F.col("conv_id") * 100 + F.col("turn")
+    decided = _decided(c).select("id", "action", (F.col("id") * 100 + F.col("target")).alias("target"))
+    return facts.apply_decisions(t.where("turn < last").select(key.alias("memory_id"), "text"), t.where("turn = last").select(F.col("conv_id").alias("id"), key.alias("memory_id"), "text"), decided)
+
+
+_turn(
     "manager_apply",
-    "SELECT id, CASE WHEN id % 3 = 1 THEN 'patched' ELSE memory_type END AS memory_type FROM MEM WHERE id % 3 <> 2",
-    lambda m: tables.update_fields(tables.delete_many(m, m.where("id % 3 = 2")), m.where("id % 3 = 1").select("id", F.lit("patched").alias("memory_type")), "id", ["memory_type"]).select("id", "memory_type"),
+    f"""WITH {_NEAR}, u AS (SELECT id * 100 + target AS memory_id, text AS more FROM d JOIN p ON conv_id = id AND turn = last WHERE action = 'UPDATE'),
+  n AS (SELECT conv_id * 100 + turn AS memory_id, CASE WHEN more IS NOT NULL THEN {_UNION.format('text', 'more')} ELSE text END AS text FROM p LEFT JOIN u ON u.memory_id = conv_id * 100 + turn WHERE turn < last AND conv_id * 100 + turn NOT IN (SELECT id * 100 + target FROM d WHERE action = 'DELETE')
+    UNION ALL SELECT conv_id * 100 + turn, text FROM d JOIN p ON conv_id = id AND turn = last WHERE action IN ('ADD', 'DELETE'))
+  SELECT memory_id, md5(text) AS text FROM n""",
+    lambda c: _applied(c).select("memory_id", F.md5(F.col("text").cast("binary")).alias("text")),
 )
 _mem(
     "feedback_boost",
@@ -215,8 +238,8 @@ _mem(
     lambda m: m.groupBy("user_id").agg(F.collect_set(F.when(F.col("strength") >= 0.5, F.col("memory_type"))).alias("f"), F.collect_set(F.when(F.col("access_count") >= 5, F.col("memory_type"))).alias("w")).where("size(f) > 0 and size(w) > 0").select("user_id", F.round(evaluation.session_recall(F.col("f"), F.col("w")), 6).alias("recall")),
 )
 _turn(
-    "judge_verdict_parse", "SELECT conv_id, turn, turn % 2 = 0 AS correct, trim(left(split_part(text, chr(10), 1), 30)) AS reason FROM (SELECT conv_id, turn, 'x' || trim(split_part(text, chr(10), 1)) AS text FROM conversations)",
-    lambda c: c.withColumn("line", F.trim(F.substring(F.concat(F.lit("x"), F.trim(F.split_part("text", F.lit("\n"), F.lit(1)))), 1, 30))).select("conv_id", "turn", evaluation.verdict(F.concat(F.when(F.col("turn") % 2 == 0, "Verdict: Correct\n").otherwise("VERDICT: WRONG\n"), F.lit("Reason: "), "line")).alias("v")).select("conv_id", "turn", "v.correct", "v.reason"),
+    "judge_verdict_parse", "SELECT conv_id, turn, turn % 2 = 0 AS correct, trim(split_part(text, chr(10), 1)) AS reason FROM (SELECT conv_id, turn, 'x' || trim(split_part(text, chr(10), 1)) AS text FROM conversations)",
+    lambda c: c.withColumn("line", F.trim(F.concat(F.lit("x"), F.trim(F.split_part("text", F.lit("\n"), F.lit(1)))))).select("conv_id", "turn", evaluation.verdict(F.concat(F.when(F.col("turn") % 2 == 0, "Verdict: Correct\n").otherwise("VERDICT: WRONG\n"), F.lit("Reason: "), "line")).alias("v")).select("conv_id", "turn", "v.correct", "v.reason"),
 )
 _turn(
     "yes_no_vote",
