@@ -79,3 +79,26 @@ def test_stages_take_odd_tables(spark):
 def test_run(spark):
     assert corpus_pipeline.run(spark, DATA).count() > 0
     assert public_tokenizers.path("word_bpe_49k.json")
+
+
+def test_a_failed_run_goes_on_where_it_stopped(spark, tmp_path, monkeypatch):
+    ran = []
+
+    def stage(name, fails=False):
+        def run(spark, docs, sf_dir):
+            ran.append(name)
+            if fails and ran.count(name) == 1:
+                raise RuntimeError(name)
+            return docs.limit(0).unionByName(docs.where("doc_id % 2 = 0"))
+
+        return name, run
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [stage("a"), stage("b", fails=True), stage("c")])
+    folder = str(tmp_path / "run")
+    with pytest.raises(RuntimeError):
+        corpus_pipeline.run(spark, DATA, folder)
+    first = corpus_pipeline.run(spark, DATA, folder)
+    assert ran == ["a", "b", "b", "c"]
+    assert sorted(r.doc_id for r in first.collect()) == sorted(r.doc_id for r in spark.read.parquet(f"{DATA}/documents.parquet").where("doc_id % 2 = 0").collect())
+    corpus_pipeline.run(spark, DATA, folder)
+    assert ran == ["a", "b", "b", "c"]
