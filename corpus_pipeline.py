@@ -57,12 +57,24 @@ STAGES = [("quality classifier", quality), ("line dedup", lines), ("n-gram Jacca
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to ``documents``; what each keeps goes through the shared folder."""
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+def _is_whole(spark: SparkSession, folder: str) -> bool:
+    """Whether a stage's output was written to its end."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
+
+
+def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    """Apply the stages to ``documents``; what each keeps is written below ``folder`` and read again.
+
+    Without ``folder`` a new one in the shared folder is taken.  After a failure the outputs of the
+    finished stages stay there; a run with the same folder, also of another driver, reads those and goes on with the
+    first stage that is not whole, whose parts it writes anew.  The folder belongs to the caller, who removes it.
+    """
+    folder = folder or f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         out = f"{folder}/{k}"
-        stage(spark, docs, sf_dir).write.parquet(out)
+        if not _is_whole(spark, out):
+            stage(spark, docs, sf_dir).write.mode("overwrite").parquet(out)
         docs = spark.read.parquet(out)
     return docs
