@@ -9,13 +9,6 @@ from recollect.operators.joins import jaccard_pairs, token_sets
 from recollect.operators.shared import cut
 
 
-def merge_facts(facts: DataFrame) -> DataFrame:
-    """One fact of every lower-cased (subject, predicate, object): first id, summed evidence, raised confidence."""
-    key = [F.lower(F.col(c).cast("string")).alias(c) for c in ("subject", "predicate", "object")]
-    merged = facts.groupBy(*key).agg(F.min_by("fact_id", F.struct("dated", "fact_id")).alias("fact_id"), F.min_by("confidence", F.struct("dated", "fact_id")).alias("_first"), F.count(F.lit(1)).alias("evidence"))
-    return merged.withColumn("confidence", F.least(F.lit(1.0), F.col("_first") + 0.1 * (F.col("evidence") - 1))).drop("_first")
-
-
 def leaders(rows: DataFrame, pairs: DataFrame) -> DataFrame:
     """(id, leader): each row with no earlier leader among its pairs leads; the others follow the least.
 

@@ -107,3 +107,34 @@ def retrieve(asked: DataFrame, facts: DataFrame, tiers: dict[str, DataFrame], ed
     rows = rows.withColumn("_r", F.row_number().over(Window.partitionBy("query_id", "_alike").orderBy(*order))).where("_r = 1")
     rows = rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
     return rows.select("query_id", "kind", "source", "source_id", "content", "score", "rank")
+
+
+# Headings of a context, in their order, and how many results each has.
+PARTS = {"graph": ("FACTS:", 10), "path": ("\nREASONING PATHS:", 3), "tier": ("\nMEMORIES:", 10)}
+
+
+def build_context(found: DataFrame, limit: int = 8000, edges: int = 3) -> DataFrame:
+    """(query_id, context): results of ``retrieve`` as text: facts, paths (their first ``edges`` steps), remembered turns, each one line.
+
+    A line goes in while all lines together stay under ``limit`` characters; one that
+    does not fit is left out and the next one tried.  Headings stand over every kind that was found.
+    """
+    caps = F.lit(0)
+    order = F.lit(len(PARTS))
+    for i, (kind, (_, most)) in enumerate(PARTS.items()):
+        caps, order = F.when(F.col("kind") == kind, most).otherwise(caps), F.when(F.col("kind") == kind, i).otherwise(order)
+    place = F.row_number().over(Window.partitionBy("query_id", "kind").orderBy("rank"))
+    rows = found.withColumns({"_o": order, "_n": place}).where(F.col("_n") <= caps)
+    shown = F.when(F.col("kind") == "path", F.array_join(F.slice(F.split("content", " -> "), 1, edges), " -> ")).otherwise(F.col("content"))
+    rows = rows.select("query_id", F.struct("_o", "_n", F.lit(False).alias("head"), F.concat(F.lit("- "), shown).alias("line")).alias("l"), "kind")
+    title = F.element_at(F.create_map(*[F.lit(x) for k, (t, _) in PARTS.items() for x in (k, t)]), F.col("kind"))
+    heads = rows.select("query_id", "kind", "l._o").distinct().select("query_id", F.struct("_o", F.lit(0).alias("_n"), F.lit(True).alias("head"), title.alias("line")).alias("l"))
+    lines = rows.select("query_id", "l").unionByName(heads).groupBy("query_id").agg(F.array_sort(F.collect_list("l")).alias("ls"))
+    start = F.struct(F.lit(0).alias("used"), F.array().cast("array<string>").alias("out"))
+
+    def add(have: Column, x: Column) -> Column:
+        size = F.length(x["line"])
+        grown = F.struct((have["used"] + size).alias("used"), F.array_append(have["out"], x["line"]).alias("out"))
+        return F.when(x["head"], F.struct(have["used"].alias("used"), F.array_append(have["out"], x["line"]).alias("out"))).when(have["used"] + size < limit, grown).otherwise(have)
+
+    return lines.select("query_id", F.aggregate("ls", start, add, lambda have: F.array_join(have["out"], "\n")).alias("context"))

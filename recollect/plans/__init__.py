@@ -1,3 +1,3 @@
 """Registered queries by area; importing the package registers all of them."""
 
-from recollect.plans import answers, catalog, chains, conflicts, dated, extraction, graphs, hybrid, life, lines, mixed, questions, retrieval, small, streams  # noqa: F401
+from recollect.plans import answers, catalog, chains, conflicts, dated, extraction, graphs, hybrid, life, lines, mixed, questions, retrieval, rollups, small, streams  # noqa: F401

@@ -388,7 +388,6 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return some("supplier", "s", "s_suppkey", "located_in", "n", "s_nationkey").unionAll(some("customer", "c", "c_custkey", "lives_in", "n", "c_nationkey")).unionAll(some("nation", "n", "n_nationkey", "part_of", "r", "n_regionkey"))
 
 
-_add("graph_stats", f"SELECT coalesce(relation, 'all') AS relation, count(*) AS n FROM {_EDGES} GROUP BY ROLLUP (relation)", lambda spark, d: edges(spark, d).rollup("relation").count().select(F.coalesce("relation", F.lit("all")).alias("relation"), F.col("count").alias("n")))
 _add("concept_degree", f"SELECT node, count(*) AS degree FROM (SELECT source AS node FROM {_EDGES} UNION ALL SELECT target FROM {_EDGES}) GROUP BY node", lambda spark, d: graph.degree(edges(spark, d)))
 _add("kg_match", f"SELECT source, relation, target FROM {_EDGES} WHERE source = 'n3' OR target = 'n3'", lambda spark, d: graph.match(edges(spark, d), entity="n3"))
 _add(
@@ -460,11 +459,6 @@ _turn("classify_intent", _intent_sql("conversations", "conv_id, turn"), lambda c
 
 # ---- lifecycle
 
-_add(
-    "merge_facts",
-    f"SELECT CAST(subject AS VARCHAR) AS subject, 'status' AS predicate, lower(object) AS object, arg_min(fact_id, (dated, fact_id)) AS fact_id, count(*) AS evidence, round(least(1.0, 0.5 + 0.1 * (count(*) - 1)), 6) AS confidence FROM {_ORDERS} GROUP BY subject, lower(object)",
-    lambda spark, d: lifecycle.merge_facts(_history(spark, d).withColumns({"predicate": F.lit("status"), "confidence": F.lit(0.5)})).withColumn("confidence", F.round("confidence", 6)),
-)
 _turn(
     "units_all_levels",
     """WITH t AS (SELECT *, lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS follows FROM conversations)
@@ -545,21 +539,6 @@ _add(
     .withColumn("shift", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "memory_id")) - F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.col("score") * (1 + 1.0 / F.length("text"))), "memory_id")))
     .select("query_id", "memory_id", "shift"),
 )
-_add(
-    "entity_rollup",
-    "SELECT lower(trim(replace(c_mktsegment, '_', ' '))) AS name, arg_min(c_mktsegment, c_custkey) AS spelling, count(*) AS mentions FROM customer GROUP BY 1",
-    lambda spark, d: _read(spark, d, "customer").groupBy(F.lower(F.trim(F.replace("c_mktsegment", F.lit("_"), F.lit(" ")))).alias("name")).agg(F.min_by("c_mktsegment", "c_custkey").alias("spelling"), F.count(F.lit(1)).alias("mentions")),
-)
-_add(
-    "relation_rollup",
-    "SELECT l_suppkey AS source, l_partkey AS target, max(l_quantity) AS confidence, count(*) AS n FROM lineitem GROUP BY ALL",
-    lambda spark, d: _read(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("source"), F.col("l_partkey").alias("target")).agg(F.max("l_quantity").alias("confidence"), F.count(F.lit(1)).alias("n")),
-)
-_add(
-    "triplet_rollup",
-    "SELECT l_suppkey AS source, l_partkey AS target, arg_min(l_orderkey, (l_shipdate, l_orderkey)) AS first_order FROM lineitem GROUP BY ALL",
-    lambda spark, d: _read(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("source"), F.col("l_partkey").alias("target")).agg(F.min_by("l_orderkey", F.struct("l_shipdate", "l_orderkey")).alias("first_order")),
-)
 _add(
     "load_graph_tables",
     "SELECT s_suppkey, n_name, r_name FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey",
