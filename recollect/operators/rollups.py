@@ -1,6 +1,6 @@
 """One row for each entity, relation, triplet and fact out of many mentions of it.
 
-``order`` are the columns that tell which mention is the first; all sums are partial before they are
+``order`` are the columns that tell which mention is the first (of equal ones that of the least values); all sums are partial before they are
 shuffled, and what is kept of a group is bounded by its distinct properties or sources.
 """
 
@@ -17,7 +17,7 @@ def entity_name(name: Column) -> Column:
 
 def entity_rollup(mentions: DataFrame, order: list[str]) -> DataFrame:
     """(name, spelling, kind, mentions) of mentions (name, kind): the first spelling and the first kind of every name.  Null names are left out."""
-    first = F.struct(*order)
+    first = F.struct(*order, "name", "kind")
     rows = mentions.where("name is not null").groupBy(entity_name(F.col("name")).alias("_n"))
     return rows.agg(F.min_by("name", first).alias("spelling"), F.min_by("kind", first).alias("kind"), F.count(F.lit(1)).alias("mentions")).withColumnRenamed("_n", "name")
 
@@ -30,7 +30,7 @@ def relation_rollup(relations: DataFrame, order: list[str]) -> DataFrame:
     keys = ["source", "relation", "target"]
     heads = relations.groupBy(*keys).agg(F.max("confidence").alias("confidence"), F.count(F.lit(1)).alias("n"))
     entries = relations.select(*keys, F.struct(*order).alias("_o"), F.explode("properties").alias("key", "value"))
-    last = entries.groupBy(*keys, "key").agg(F.max_by("value", "_o").alias("value"))
+    last = entries.groupBy(*keys, "key").agg(F.max_by("value", F.struct("_o", "value")).alias("value"))
     merged = last.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("properties"))
     joined = heads.join(merged, [heads[c].eqNullSafe(merged[c]) for c in keys], "left")
     return joined.select(*[heads[c] for c in keys], "confidence", F.coalesce("properties", F.create_map().cast("map<string,string>")).alias("properties"), "n")
@@ -38,7 +38,7 @@ def relation_rollup(relations: DataFrame, order: list[str]) -> DataFrame:
 
 def triplet_rollup(triplets: DataFrame, order: list[str], provenance: list[str]) -> DataFrame:
     """(source, relation, target, provenance columns, n): a triplet with where its first mention came from."""
-    first = F.min_by(F.struct(*provenance), F.struct(*order)).alias("_p")
+    first = F.min_by(F.struct(*provenance), F.struct(F.struct(*order).alias("o"), F.struct(*provenance).alias("p"))).alias("_p")
     return triplets.groupBy("source", "relation", "target").agg(first, F.count(F.lit(1)).alias("n")).select("source", "relation", "target", "_p.*", "n")
 
 

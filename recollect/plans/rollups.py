@@ -31,19 +31,19 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 _add(
     "entity_rollup",
     f"""WITH m AS (SELECT source AS name, 'supplier' AS kind, 0 AS side, l_orderkey AS o, l_linenumber AS l FROM {_TRIPLETS} UNION ALL SELECT CASE WHEN l_linenumber % 3 = 0 THEN upper(replace(target, ' ', '_')) ELSE target END, CASE WHEN l_linenumber % 2 = 0 THEN 'part' ELSE 'article' END, 1, l_orderkey, l_linenumber FROM {_TRIPLETS})
-  SELECT lower(trim(replace(name, '_', ' '))) AS name, arg_min(name, (o, l, side)) AS spelling, arg_min(kind, (o, l, side)) AS kind, count(*) AS mentions FROM m GROUP BY 1""",
+  SELECT lower(trim(replace(name, '_', ' '))) AS name, arg_min(name, (o, l, side, name, kind)) AS spelling, arg_min(kind, (o, l, side, name, kind)) AS kind, count(*) AS mentions FROM m GROUP BY 1""",
     lambda spark, d: rollups.entity_rollup(mentions(spark, d), [*ORDER, "side"]),
 )
 _add(
     "relation_rollup",
     f"""WITH t AS {_TRIPLETS}, e AS (SELECT source, relation, target, 'status' AS k, l_linestatus AS v, l_orderkey AS o, l_linenumber AS l FROM t UNION ALL SELECT source, relation, target, 'flag_' || l_returnflag, CAST(l_linenumber AS VARCHAR), l_orderkey, l_linenumber FROM t),
-  p AS (SELECT source, relation, target, string_agg(k || '=' || v, ';' ORDER BY k) AS properties FROM (SELECT source, relation, target, k, arg_max(v, (o, l)) AS v FROM e GROUP BY ALL) GROUP BY ALL),
+  p AS (SELECT source, relation, target, string_agg(k || '=' || v, ';' ORDER BY k) AS properties FROM (SELECT source, relation, target, k, arg_max(v, (o, l, v)) AS v FROM e GROUP BY ALL) GROUP BY ALL),
   h AS (SELECT source, relation, target, max(confidence) AS confidence, count(*) AS n FROM t GROUP BY ALL) SELECT source, relation, target, confidence, properties, n FROM h JOIN p USING (source, relation, target)""",
     lambda spark, d: rollups.relation_rollup(triplets(spark, d), ORDER).withColumn("properties", F.array_join(F.transform(F.array_sort(F.map_entries("properties")), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")),
 )
 _add(
     "triplet_rollup",
-    f"SELECT source, relation, target, arg_min(l_orderkey, (l_orderkey, l_linenumber)) AS l_orderkey, arg_min(l_shipdate, (l_orderkey, l_linenumber)) AS l_shipdate, count(*) AS n FROM {_TRIPLETS} GROUP BY source, relation, target",
+    f"SELECT source, relation, target, arg_min(l_orderkey, (l_orderkey, l_linenumber)) AS l_orderkey, arg_min(l_shipdate, (l_orderkey, l_linenumber, l_shipdate)) AS l_shipdate, count(*) AS n FROM {_TRIPLETS} GROUP BY source, relation, target",
     lambda spark, d: rollups.triplet_rollup(triplets(spark, d), ORDER, ["l_orderkey", "l_shipdate"]),
 )
 _add(
