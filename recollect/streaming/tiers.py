@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
+from itertools import groupby
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -55,7 +56,9 @@ class ShortTerm(StatefulProcessor):
 
     At the end of an hour in which something happened: what arrived in it is applied in
     order (time, id), then the tick lowers activation and promotes.  Quiet hours are
-    made up for by lowering it that many times.
+    made up for by lowering it that many times.  A timer stands at the first hour that is
+    not done; when it fires, all hours that the watermark has passed are done at once, so
+    the state is read and written once a key and batch, not once an hour.
     """
 
     def __init__(self, capacity: int, decay: int, gain: int):
@@ -67,29 +70,40 @@ class ShortTerm(StatefulProcessor):
         self.memory = handle.getValueState("memory", "tick long, items array<struct<event_id: long, topic: string, importance: long, activation: long, rehearsals: long, promoted: boolean>>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        for r in rows:
-            self.pending.appendValue((r.at, r.event_id, r.topic, r.importance, r.access))
-            self.handle.registerTimer((r.at // HOUR + 1) * HOUR * 1000)
+        new = [(r.at, r.event_id, r.topic, r.importance, r.access) for r in rows]
+        if new:
+            self.pending.appendList(new)
+            self.handle.registerTimer((min(r[0] for r in new) // HOUR + 1) * HOUR * 1000)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        tick = expiredTimerInfo.getExpiryTimeInMs() // 1000
+        # an earlier timer of this batch may have done this hour already
+        until = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) // 1000 // HOUR * HOUR
         have = sorted(tuple(r) for r in self.pending.get())
-        due = [r for r in have if r[0] < tick]
+        due = [r for r in have if r[0] < until]
         if not due:
             return
-        if len(due) < len(have):
-            self.pending.put(have[len(due) :])
+        later = have[len(due) :]
+        if later:
+            self.pending.put(later)
+            self.handle.registerTimer((later[0][0] // HOUR + 1) * HOUR * 1000)
         else:
             self.pending.clear()
         before = self.memory.get() if self.memory.exists() else None
-        items = [list(i) for i in before[1]] if before else []  # in order of arrival
-        quiet = (tick - before[0]) // HOUR - 1 if before else 0
+        last, items = (before[0], [list(i) for i in before[1]]) if before else (None, [])  # in order of arrival
+        for hour, rows in groupby(due, lambda r: r[0] // HOUR):
+            tick = (hour + 1) * HOUR
+            yield from self._hour(key[0], tick, (tick - last) // HOUR - 1 if last is not None else 0, items, rows)
+            last = tick
+        self.memory.update((last, [tuple(i) for i in items]))
+
+    def _hour(self, agent, tick: int, quiet: int, items: list[list], rows) -> Iterator[Row]:
+        """One hour's rows applied to ``items``, then its tick."""
         for i in items:
             i[3] = max(0, i[3] - self.decay * quiet)
-        evicted = accessed = 0
+        accessed = 0
         log = []
-        for at, event_id, topic, importance, access in due:
+        for at, event_id, topic, importance, access in rows:
             if access:
                 for i in items:
                     if i[1] == topic:
@@ -100,7 +114,6 @@ class ShortTerm(StatefulProcessor):
             if len(items) >= self.capacity:
                 weakest = min(range(len(items)), key=lambda n: items[n][3] * items[n][2])
                 log.append((items.pop(weakest)[0], "evicted", at))
-                evicted += 1
             items.append([event_id, topic, importance, 1000, 0, importance >= 800])
             if importance >= 800:
                 log.append((event_id, "promoted", at))
@@ -109,10 +122,9 @@ class ShortTerm(StatefulProcessor):
             if not i[5] and i[2] >= 600 and i[4] >= 2:
                 i[5] = True
                 log.append((i[0], "promoted", tick))
-        self.memory.update((tick, [tuple(i) for i in items]))
         for event_id, change, at in log:
-            yield Row(agent=key[0], tick=tick, event_id=event_id, change=change, at=at, items=None, activation=None, accessed=None)
-        yield Row(agent=key[0], tick=tick, event_id=None, change="tick", at=tick, items=len(items), activation=sum(i[3] for i in items), accessed=accessed)
+            yield Row(agent=agent, tick=tick, event_id=event_id, change=change, at=at, items=None, activation=None, accessed=None)
+        yield Row(agent=agent, tick=tick, event_id=None, change="tick", at=tick, items=len(items), activation=sum(i[3] for i in items), accessed=accessed)
 
 
 @contextmanager
