@@ -128,3 +128,41 @@ def test_lines_are_not_broadcast_to_entities(spark, tmp_path, monkeypatch):
         plan = found._jdf.queryExecution().sparkPlan().toString()
         assert ("BuildRight" if most == 10 else "SortMergeJoin") in plan and "BuildLeft" not in plan
         assert sorted(r.value for r in found.collect()) == ["Rome", "tall"]
+
+
+@pytest.mark.parametrize("rare", [1, 4, 1000])
+def test_searches_of_classes_equal_all_pairs(spark, monkeypatch, rare):
+    import random
+
+    from recollect.functions import questions
+    from recollect.operators import retrieval
+
+    draw = random.Random(5)
+    people, places = ["Ann", "An", "User", "Bob", "Rome", "Zed"], ["Rome", "Oslo", "tea", "green tea", "Ann", "Bobville", "in town"]
+    facts = [(i, draw.choice(people), draw.choice(["lives in", "likes", "knows"]), draw.choice(places), i % 5 != 0) for i in range(160)]
+    asked = [(i, draw.choice(["Where lives {} in {}", "Does Annabel like {} or {}", "What likes my {} and me in {}", "who knows {} {}"]).format(draw.choice(people), draw.choice(places))) for i in range(24)]
+    f = spark.createDataFrame(facts, "fact_id long, subject string, predicate string, object string, is_current boolean")
+    a = spark.createDataFrame(asked, "query_id long, q string")
+    named = {r.query_id: r.e for r in a.select("query_id", questions.entities(F.col("q")).alias("e")).collect()}
+    want = {"facts": set(), "keyword": set(), "entity": set(), "graph": set()}
+    for q, text in asked:
+        low, es = text.lower(), set(named[q])
+        t = set(low.split())
+        words = (t - set(retrieval.STOP_WORDS)) | ({"user"} if t & set(questions.SELF) else set())
+        near = {y for _, s, _, o, _ in facts for x, y in ((s.lower(), o.lower()), (o.lower(), s.lower())) if x in es} - es
+        scored = {n: [] for n in want}
+        for i, s, p, o, current in facts:
+            w, s, o = set(f"{s} {p} {o}".lower().split()), s.lower(), o.lower()
+            if current and t & w:
+                scored["facts"].append((-round(len(t & w) / (len(t) + 1) + 0.3 * (s in low) + 0.2 * (p in low), 6), i))
+            if current and words & w:
+                scored["keyword"].append((-round(len(words & w) / len(words) + 0.4 * (s in low) + 0.2 * any(x in o for x in words) + 0.5 * (s == "user" and bool(t & {"me", "my"})), 6), i))
+            if current and es & {s, o}:
+                scored["entity"].append((-round(0.3 + 0.2 * len(es & {s, o}), 6), i))
+            if current and near & {s, o}:
+                scored["graph"].append((-0.25, i))
+        for n, rows in scored.items():
+            want[n] |= {(q, i, rank) for rank, (_, i) in enumerate(sorted(rows)[:3], 1)}
+    monkeypatch.setattr(retrieval, "RARE", rare)
+    for n, search in {"facts": retrieval.search_facts, "keyword": retrieval.search_keyword, "entity": retrieval.search_entity, "graph": retrieval.search_graph}.items():
+        assert {(r.query_id, r.fact_id, r["rank"]) for r in search(a, f, 3).collect()} == want[n], n
