@@ -166,3 +166,42 @@ def test_searches_of_classes_equal_all_pairs(spark, monkeypatch, rare):
     monkeypatch.setattr(retrieval, "RARE", rare)
     for n, search in {"facts": retrieval.search_facts, "keyword": retrieval.search_keyword, "entity": retrieval.search_entity, "graph": retrieval.search_graph}.items():
         assert {(r.query_id, r.fact_id, r["rank"]) for r in search(a, f, 3).collect()} == want[n], n
+
+
+def test_sparse_products_hold_few_python_objects():
+    import tracemalloc
+
+    import numpy as np
+    import pyarrow as pa
+
+    from recollect.operators import sparse
+
+    keys = [[{"key": f"w{(i * 7 + j) % 500}", "weight": 1.0} for j in range(100)] for i in range(4000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(4000)), pa.array(keys), pa.array([0.0] * 4000)], names=["memory_id", "keys", "base"])
+    run = sparse._best(SimpleNamespace(value=(1, {"w3": (np.zeros(1, np.int64), np.ones(1))})), 5, 9, 0.0, pa.int64())
+    tracemalloc.start()
+    found = pa.Table.from_batches(run(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found["memory_id"].to_pylist() == [i for i in range(4000) if any((i * 7 + j) % 500 == 3 for j in range(100))][:5]
+    assert peak < 10_000_000
+
+
+def test_mmr_gets_bounded_candidates(spark, monkeypatch):
+    from recollect.operators import ranking
+    from recollect.plans import catalog
+
+    seen, plain = [], ranking.mmr_rerank
+    monkeypatch.setattr(ranking, "mmr_rerank", lambda rows, **options: seen.append(rows.groupBy("query_id").count().agg(F.max("count")).first()[0]) or plain(rows, **options))
+    catalog.QUERIES["mmr_rerank"](spark, "/root/testdata/sf0.001")
+    assert seen == [20]
+
+
+def test_best_line_of_equals(spark):
+    from recollect.operators import answers
+
+    texts = spark.createDataFrame([(-5, "x\nred fox"), (10, "fox red here\nno"), (-4, "red fox"), (3, None)], "memory_id long, text string")
+    asked = spark.createDataFrame([(1, "red fox"), (2, "owl"), (3, "here")], "query_id long, text string")
+    found = answers.best_line(asked, texts)
+    assert "first(substring(line" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.query_id: r.line for r in found.collect()} == {1: "red fox", 2: "Not mentioned", 3: "fox red here"}
