@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from recollect.functions import extract, scores
-from recollect.operators import graph
+from recollect.operators import graph, joins, lifecycle
 from recollect.streaming import events, tiers
 
 
@@ -205,3 +205,24 @@ def test_best_line_of_equals(spark):
     found = answers.best_line(asked, texts)
     assert "first(substring(line" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert {r.query_id: r.line for r in found.collect()} == {1: "red fox", 2: "Not mentioned", 3: "fox red here"}
+
+
+def test_candidates_of_a_jaccard_join_are_bounded_by_signatures(spark, monkeypatch):
+    # 60 texts of 40 words that share 6 with all others, and one near copy
+    words = lambda i: [f"w{i}_{j}" for j in range(34)] + [f"all{j}" for j in range(6)]
+    rows = [(i, " ".join(words(i))) for i in range(60)] + [(60, " ".join([*words(7)[:-1], "other"])), (61, " ".join(words(8)))]
+    kept = []
+    cut = joins.cut
+    monkeypatch.setattr(joins, "cut", lambda df: kept.append(cut(df)) or kept[-1])
+    got = {(r.a, r.b, r.both) for r in joins.jaccard_pairs(spark.createDataFrame(rows, "id int, text string"), 60).collect()}
+    assert got == {(7, 60, 39), (8, 61, 40)}
+    assert [df.count() for df in kept if df.columns == ["a", "b"]] == [1]
+
+
+def test_leaders_do_not_wait_for_a_chain_below_a_leader(spark, monkeypatch):
+    pairs = [(0, b) for b in range(1, 25)] + [(a, a + 1) for a in range(1, 30)]
+    calls, cut = [], lifecycle.cut
+    monkeypatch.setattr(lifecycle, "cut", lambda df: calls.append(1) or cut(df))
+    got = {r.id: r.leader for r in lifecycle.leaders(spark.range(32), spark.createDataFrame(pairs, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(25)} | {25: 25, 26: 25, 27: 27, 28: 27, 29: 29, 30: 29, 31: 31}
+    assert len(calls) <= 9
