@@ -5,16 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recollect.functions.extract import parse_date_any
-
 _DAY, _MONTH_DAY, _ISO, _MONTH = r"^(\d{1,2}\s+[A-Za-z]+\s+\d{4})", r"^([A-Za-z]+\s+\d{1,2},?\s+\d{4})", r"^(\d{4}-\d{2}-\d{2})", r"^([A-Za-z]+\s+\d{4})"
 
 
 def leading_date(text: Column) -> Column:
     """The date that a text begins with: ``7 May 2023``, ``May 7, 2023``, ISO, ``May 2023``, or that it is, a bare year."""
-    plain = F.initcap(F.regexp_replace(F.trim(text), r"\s+", " "))
-    found = [parse_date_any(F.regexp_extract(plain, p, 1)) for p in (_DAY, _MONTH_DAY, _ISO, _MONTH)]
-    return F.coalesce(*found, parse_date_any(F.regexp_extract(plain, r"^(\d{4})$", 1)))
+    return F.get(F.transform(F.array(_plain(text)), _parsed), F.lit(0))
+
+
+def _plain(text: Column) -> Column:
+    return F.initcap(F.regexp_replace(F.trim(text), r"\s+", " "))
+
+
+def _parsed(plain: Column) -> Column:
+    """Each form is parsed in its own format only, and only where it stands: a text that does not parse costs an exception."""
+    found = lambda p: F.regexp_extract(plain, p, 1)
+    forms = [
+        (_DAY, "d MMMM yyyy", found(_DAY)), (_MONTH_DAY, "MMMM d yyyy", F.replace(found(_MONTH_DAY), F.lit(","), F.lit(""))),
+        (_ISO, "yyyy-MM-dd", found(_ISO)), (_MONTH, "d MMMM yyyy", F.concat(F.lit("15 "), found(_MONTH))),
+    ]
+    days = [F.when(plain.rlike(p), F.try_to_date(x, form)) for p, form, x in forms]
+    return F.coalesce(*days, F.when(plain.rlike(r"^\d{4}$"), F.make_date(plain.try_cast("int"), F.lit(6), F.lit(15))))
 
 
 def dated_lines(contexts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -27,8 +38,9 @@ def dated_lines(contexts: DataFrame, keys: list[str], text: str = "text") -> Dat
     rows = contexts.select(*keys, F.posexplode(F.split(text, "\n")).alias("line", "content")).where("trim(content) <> ''")
     line = F.col("content")
     written = [F.regexp_extract(line, p, 1) for p in (r"\[([^\]]+)\]", r"\(Date:\s*([^)]+)\)", r"(\d{1,2}\s+\w+\s+\d{4})", r"(\w+\s+\d{1,2},?\s+\d{4})", r"(\d{4})")]
-    tries = [F.struct(leading_date(w).alias("day"), w.alias("date_text")) for w in written]
-    dated = F.filter(F.array(*tries), lambda t: t["day"].isNotNull())
+    # array elements, so that each step is worked out once and not again wherever it is used
+    tries = F.transform(F.transform(F.array(*written), lambda w: F.struct(w.alias("w"), _plain(w).alias("p"))), lambda t: F.struct(_parsed(t["p"]).alias("day"), t["w"].alias("date_text")))
+    dated = F.when(line.rlike(r"\d{4}"), F.filter(tries, lambda t: t["day"].isNotNull()))
     rows = rows.withColumn("_d", F.get(dated, F.lit(0)))
     speaker = F.nullif(F.regexp_extract(line, r"^-?\s*\[?([A-Z][a-z]+)\]?:", 1), F.lit(""))
     before = Window.partitionBy(*keys).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
