@@ -226,3 +226,22 @@ def test_leaders_do_not_wait_for_a_chain_below_a_leader(spark, monkeypatch):
     got = {r.id: r.leader for r in lifecycle.leaders(spark.range(32), spark.createDataFrame(pairs, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(25)} | {25: 25, 26: 25, 27: 27, 28: 27, 29: 29, 30: 29, 31: 31}
     assert len(calls) <= 9
+
+
+def test_a_date_is_parsed_in_its_own_format_only(spark):
+    from recollect.operators import dated
+
+    texts = ["7 May 2023", " may 7,  2023", "2023-05-07 or so", "May 2023", "2023", "20 people 2023", "", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select(dated.leading_date(F.col("t")).alias("d"))
+    assert [str(r.d) for r in df.collect()] == ["2023-05-07", "2023-05-07", "2023-05-07", "2023-05-15", "2023-06-15", "None", "None", "None"]
+    # before, each of five forms was tried in five formats
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.lower().count("gettimestamp") + plan.lower().count("try_to_date") <= 8
+
+
+def test_scores_of_intents_stand_once_in_a_plan(spark):
+    from recollect.functions import intents
+
+    df = spark.createDataFrame([("How do I fix this?",)], "q string").select(intents.plan(F.col("q")).alias("p"))
+    assert df.first().p.intent == "problem_solving"
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("pros and cons") <= 1
