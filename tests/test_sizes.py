@@ -245,3 +245,22 @@ def test_scores_of_intents_stand_once_in_a_plan(spark):
     df = spark.createDataFrame([("How do I fix this?",)], "q string").select(intents.plan(F.col("q")).alias("p"))
     assert df.first().p.intent == "problem_solving"
     assert df._jdf.queryExecution().optimizedPlan().toString().count("pros and cons") <= 1
+
+
+def test_rankings_of_all_candidates_join_no_texts(spark):
+    from recollect.plans import catalog
+
+    for name in ("dedupe_first", "rank_shift"):
+        plan = catalog.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        windows = plan[: plan.index("Join Inner")]
+        assert "text" not in windows and ("head" in windows or "chars" in windows)
+
+
+def test_postings_of_questions_are_arrays(spark):
+    import pyarrow as pa
+
+    from recollect.operators import sparse
+
+    keys = pa.chunked_array([pa.array([[{"key": "a", "weight": 1.0}, {"key": "b", "weight": 2.0}], None, [], [{"key": "b", "weight": 3.0}]])])
+    known, starts, places, worth = sparse._postings(keys)
+    assert [(places[s:e].tolist(), worth[s:e].tolist()) for k in "ab" for s, e in [starts[known[k] : known[k] + 2]]] == [([0], [1.0]), ([0, 3], [2.0, 3.0])]
