@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recollect.functions import extract
+from recollect.operators import shared
 from recollect.plans.catalog import _add, _doc, _mention_sql, _turn
 from recollect.plans.questions import PEOPLE, people
 
@@ -14,7 +15,8 @@ _P = f"(SELECT query_id AS id, who, place, thing, query_id % 9 + 2 AS n, query_i
 
 
 def _rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return people(spark, sf_dir).select(F.col("query_id").alias("id"), "who", "place", "thing", (F.col("query_id") % 9 + 2).cast("int").alias("n"), (F.col("query_id") % 12).cast("int").alias("k"))
+    rows = people(spark, sf_dir).select(F.col("query_id").alias("id"), "who", "place", "thing", (F.col("query_id") % 9 + 2).cast("int").alias("n"), (F.col("query_id") % 12).cast("int").alias("k"))
+    return shared.spread(rows, "id")
 
 
 def _say(*parts: str | Column) -> Column:

@@ -264,3 +264,18 @@ def test_postings_of_questions_are_arrays(spark):
     keys = pa.chunked_array([pa.array([[{"key": "a", "weight": 1.0}, {"key": "b", "weight": 2.0}], None, [], [{"key": "b", "weight": 3.0}]])])
     known, starts, places, worth = sparse._postings(keys)
     assert [(places[s:e].tolist(), worth[s:e].tolist()) for k in "ab" for s, e in [starts[known[k] : known[k] + 2]]] == [([0], [1.0]), ([0, 3], [2.0, 3.0])]
+
+
+def test_rows_of_one_small_file_are_dealt_to_tasks(spark):
+    from recollect.plans import catalog
+
+    for name in ("extract_facts", "duration_expression", "key_terms", "strip_timestamps"):
+        assert catalog.QUERIES[name](spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def test_facts_are_told_apart_as_before(spark):
+    texts = ["Hi, I like b , tea and tea, and b.\nI like c", "é_i like x. -i like tea ; mi like no", "I've been friends with Bob for 3 weeks", None]
+    found = extract.extract_facts(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k int, text string"))
+    assert sorted((r.k, r.relation, r.object) for r in found.collect()) == [(0, "likes", "tea"), (1, "likes", "tea"), (2, "friends_with", "bob"), (2, "lasts", "3 weeks")]
+    # before, every pattern put the text in lower case again
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
