@@ -6,9 +6,11 @@ shuffled, and what is kept of a group is bounded by its distinct properties or s
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recollect.operators.shared import spread
+
 
 def entity_name(name: Column) -> Column:
     """A name in lower case, trimmed, blanks for underscores."""
@@ -22,18 +24,35 @@ def entity_rollup(mentions: DataFrame, order: list[str]) -> DataFrame:
     return rows.agg(F.min_by("name", first).alias("spelling"), F.min_by("kind", first).alias("kind"), F.count(F.lit(1)).alias("mentions")).withColumnRenamed("_n", "name")
 
 
+#: Mentions of a relation from which on they are merged in parts before they meet.
+MANY = 1_000_000
+
+
 def relation_rollup(relations: DataFrame, order: list[str]) -> DataFrame:
     """(source, relation, target, confidence, properties, n): the highest confidence of a relation and its properties, the last value of each.
 
-    ``properties`` is a map; its entries are merged one by one, so a relation with very many mentions is no large group.
+    ``properties`` is a map; its entries are merged one by one, so a relation with very many mentions is no large group.  Mentions meet
+    once, by a hash of their relation, which they are sorted by first (names that begin alike make long comparisons).  Relations
+    of over ``MANY`` mentions (a few at most) are merged task by task before.
     """
-    keys = ["source", "relation", "target"]
-    heads = relations.groupBy(*keys).agg(F.max("confidence").alias("confidence"), F.count(F.lit(1)).alias("n"))
-    entries = relations.select(*keys, F.struct(*order).alias("_o"), F.explode("properties").alias("key", "value"))
-    last = entries.groupBy(*keys, "key").agg(F.max_by("value", F.struct("_o", "value")).alias("value"))
-    merged = last.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("key", "value")))).alias("properties"))
-    joined = heads.join(merged, [heads[c].eqNullSafe(merged[c]) for c in keys], "left")
-    return joined.select(*[heads[c] for c in keys], "confidence", F.coalesce("properties", F.create_map().cast("map<string,string>")).alias("properties"), "n")
+    hashed = relations.withColumn("_h", F.xxhash64("source", "relation", "target"))
+    many = F.broadcast(hashed.groupBy("_h").count().where(F.col("count") > MANY).select("_h"))
+    return _merged(spread(hashed.join(many, "_h", "left_anti"), "_h"), order).unionByName(_merged(hashed.join(many, "_h", "left_semi"), order))
+
+
+def _merged(relations: DataFrame, order: list[str]) -> DataFrame:
+    """One row for each relation; nothing is shuffled if its mentions are in one task."""
+    keys = ["_h", "source", "relation", "target"]
+    entries = relations.select(*keys, "confidence", F.struct(*order).alias("_o"), F.posexplode_outer("properties").alias("_i", "key", "value"))
+    # a mention without properties is one entry without a key
+    once = F.sum((F.coalesce("_i", F.lit(0)) == 0).cast("long")).alias("n")
+    last = entries.groupBy(*keys, "key").agg(F.max_by("value", F.struct("_o", "value")).alias("value"), F.max("confidence").alias("confidence"), once)
+    # the rows of a relation are its distinct properties
+    line = Window.partitionBy(*keys).orderBy(F.asc_nulls_first("key"))
+    group = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    pairs = F.collect_list(F.when(F.col("key").isNotNull(), F.struct("key", "value"))).over(group)
+    rows = last.select(*keys[1:], F.row_number().over(line).alias("_r"), F.max("confidence").over(group).alias("confidence"), F.map_from_entries(pairs).alias("properties"), F.sum("n").over(group).alias("n"))
+    return rows.where("_r = 1").drop("_r")
 
 
 def triplet_rollup(triplets: DataFrame, order: list[str], provenance: list[str]) -> DataFrame:

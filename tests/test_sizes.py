@@ -279,3 +279,28 @@ def test_facts_are_told_apart_as_before(spark):
     assert sorted((r.k, r.relation, r.object) for r in found.collect()) == [(0, "likes", "tea"), (1, "likes", "tea"), (2, "friends_with", "bob"), (2, "lasts", "3 weeks")]
     # before, every pattern put the text in lower case again
     assert found._jdf.queryExecution().optimizedPlan().toString().count("lower(") == 1
+
+
+@pytest.mark.parametrize("many", [1_000_000, 3, 0])
+def test_relations_meet_in_one_shuffle(spark, monkeypatch, many):
+    import random
+
+    from recollect.operators import rollups
+
+    draw, names = random.Random(3), ["Supplier_1", "Supplier_2", None]
+    rows = [(draw.choice(names), "r", draw.choice(names), draw.choice([0.1, 0.2, None]), draw.choice([None, {}, {"x": draw.choice("ab")}, {"y": None, "x": draw.choice("cd")}]), draw.randrange(4)) for _ in range(60)]
+    relations = spark.createDataFrame(rows, "source string, relation string, target string, confidence double, properties map<string,string>, at int")
+    want = {}
+    for source, _, target, confidence, properties, at in rows:
+        group = want.setdefault((source, target), [None, {}, 0])
+        group[0] = max(group[0] or 0, confidence or 0) or None
+        group[2] += 1
+        for k, v in (properties or {}).items():
+            group[1][k] = max(group[1].get(k, (-1, "")), (at, v or ""))
+    monkeypatch.setattr(rollups, "MANY", many)
+    merged = rollups.relation_rollup(relations, ["at"])
+    got = {(r.source, r.target): [r.confidence, r.properties, r.n] for r in merged.collect()}
+    assert got == {k: [c, {x: v or None for x, (_, v) in p.items()}, n] for k, (c, p, n) in want.items()}
+    # before, heads and merged properties were shuffled and joined; relations of many mentions are still merged before they meet
+    plan = rollups._merged(rollups.spread(relations.withColumn("_h", F.xxhash64("source", "relation", "target")), "_h"), ["at"])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and plan.count("Sort [") == 1 and "Join" not in plan
