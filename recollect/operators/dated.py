@@ -5,16 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_DAY, _MONTH_DAY, _ISO, _MONTH = r"^(\d{1,2}\s+[A-Za-z]+\s+\d{4})", r"^([A-Za-z]+\s+\d{1,2},?\s+\d{4})", r"^(\d{4}-\d{2}-\d{2})", r"^([A-Za-z]+\s+\d{4})"
+_DAY, _MONTH_DAY, _ISO, _MONTH = r"^(\d{1,2} [A-Za-z]+ \d{4})", r"^([A-Za-z]+ \d{1,2},? \d{4})", r"^(\d{4}-\d{2}-\d{2})", r"^([A-Za-z]+ \d{4})"
+_WHITE = r"[\t\n\f\r ]"  # white space within a line's date; at the ends of a text blanks of any width (Zs) go
 
 
 def leading_date(text: Column) -> Column:
-    """The date that a text begins with: ``7 May 2023``, ``May 7, 2023``, ISO, ``May 2023``, or that it is, a bare year."""
+    """The date that a text begins with: ``7 May 2023``, ``May 7, 2023``, ISO, ``May 2023``, or that it is, a bare year; there is no year 0000."""
     return F.get(F.transform(F.array(_plain(text)), _parsed), F.lit(0))
 
 
 def _plain(text: Column) -> Column:
-    return F.initcap(F.regexp_replace(F.trim(text), r"\s+", " "))
+    return F.initcap(F.regexp_replace(F.regexp_replace(text, r"^\p{Zs}+|\p{Zs}+\z", ""), f"{_WHITE}+", " "))
 
 
 def _parsed(plain: Column) -> Column:
@@ -25,7 +26,7 @@ def _parsed(plain: Column) -> Column:
         (_ISO, "yyyy-MM-dd", found(_ISO)), (_MONTH, "d MMMM yyyy", F.concat(F.lit("15 "), found(_MONTH))),
     ]
     days = [F.when(plain.rlike(p), F.try_to_date(x, form)) for p, form, x in forms]
-    return F.coalesce(*days, F.when(plain.rlike(r"^\d{4}$"), F.make_date(plain.try_cast("int"), F.lit(6), F.lit(15))))
+    return F.coalesce(*days, F.when(plain.rlike(r"^\d{4}\z") & (plain != "0000"), F.make_date(plain.try_cast("int"), F.lit(6), F.lit(15))))
 
 
 def dated_lines(contexts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -35,14 +36,14 @@ def dated_lines(contexts: DataFrame, keys: list[str], text: str = "text") -> Dat
     it is written there.  ``speaker`` begins the line.  ``carried`` is the date of
     the line or else of the last dated line above it in the same context.
     """
-    rows = contexts.select(*keys, F.posexplode(F.split(text, "\n")).alias("line", "content")).where("trim(content) <> ''")
+    rows = contexts.select(*keys, F.posexplode(F.split(text, "\n")).alias("line", "content")).where(~F.col("content").rlike(r"^\p{Zs}*\z"))
     line = F.col("content")
-    written = [F.regexp_extract(line, p, 1) for p in (r"\[([^\]]+)\]", r"\(Date:\s*([^)]+)\)", r"(\d{1,2}\s+\w+\s+\d{4})", r"(\w+\s+\d{1,2},?\s+\d{4})", r"(\d{4})")]
+    written = [F.regexp_extract(line, p, 1) for p in (r"\[([^\]]+)\]", rf"\(Date:{_WHITE}*([^)]+)\)", rf"(\d{{1,2}}{_WHITE}+\w+{_WHITE}+\d{{4}})", rf"(\w+{_WHITE}+\d{{1,2}},?{_WHITE}+\d{{4}})", r"(\d{4})")]
     # array elements, so that each step is worked out once and not again wherever it is used
     tries = F.transform(F.transform(F.array(*written), lambda w: F.struct(w.alias("w"), _plain(w).alias("p"))), lambda t: F.struct(_parsed(t["p"]).alias("day"), t["w"].alias("date_text")))
     dated = F.when(line.rlike(r"\d{4}"), F.filter(tries, lambda t: t["day"].isNotNull()))
     rows = rows.withColumn("_d", F.get(dated, F.lit(0)))
-    speaker = F.nullif(F.regexp_extract(line, r"^-?\s*\[?([A-Z][a-z]+)\]?:", 1), F.lit(""))
+    speaker = F.nullif(F.regexp_extract(line, rf"^-?{_WHITE}*\[?([A-Z][a-z]+)\]?:", 1), F.lit(""))
     before = Window.partitionBy(*keys).orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
     return rows.select(*keys, "line", "content", F.col("_d.day").alias("day"), F.coalesce("_d.date_text", F.lit("")).alias("date_text"), speaker.alias("speaker"), F.last("_d.day", ignorenulls=True).over(before).alias("carried"))
 
