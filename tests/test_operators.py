@@ -261,3 +261,14 @@ def test_folder_is_only_local_on_one_machine(spark, monkeypatch):
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         shared.shared_folder(Elsewhere)
     assert shared.shared_folder(spark)
+
+
+def test_what_copies_are_alike_with_counts_too(spark):
+    from recollect.operators import lifecycle
+
+    # 1 and 2 have one set of words, 3 is near it; the copy 2 is longer than 3, so 3 goes although the first of the set is shorter
+    words = [f"w{i}" for i in range(20)]
+    rows = [(1, " ".join(words)), (2, " ".join(words + words)), (3, " ".join([*words, "more"])), (4, "else"), (5, ""), (6, " ".join([*words, "else"]))]
+    docs = spark.createDataFrame(rows, "id int, text string").withColumn("size", F.length("text"))
+    kept = lifecycle.keep_better(docs, joins.jaccard_pairs(docs, 80), [F.col("size")])
+    assert {r.id for r in kept.collect()} == {2, 4, 5}
