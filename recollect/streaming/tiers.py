@@ -8,9 +8,10 @@ Times are whole seconds; activation and importance are whole thousandths, so sum
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from contextlib import contextmanager
-from itertools import groupby
+from itertools import groupby, islice
 
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
@@ -19,36 +20,69 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessorHandle
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 HOUR = 3600
+HELD = 100_000  # rows of an agent that are Python objects at once
 
 
 class Sensory(StatefulProcessor):
-    """Rows leave the buffer after ``seconds``, or earlier when ``most`` newer ones have come."""
+    """Rows leave the buffer after ``seconds``, or earlier when ``most`` newer ones have come.
+
+    The ids of a second are written once, in parts of a batch, and read once, when the second leaves; what pushes a row
+    out is told by how many rows the next seconds have, which is kept beside.  One timer stands at the first second
+    that has not left; when it fires, all seconds that the watermark has passed leave at once.
+    """
 
     def __init__(self, seconds: int, most: int):
         self.seconds, self.most = seconds, most
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.rows = handle.getListState("rows", "at long, event_id long")
+        self.ids = handle.getMapState("ids", "at long, part long", "ids array<long>")
+        self.held = handle.getValueState("held", "seconds array<struct<at: long, n: long, parts: long>>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        for r in rows:
-            self.rows.appendValue((r.at, r.event_id))
-            self.handle.registerTimer((r.at + self.seconds) * 1000)
+        held = {at: [n, parts] for at, n, parts in self.held.get()[0]} if self.held.exists() else {}
+        first = None
+        while some := list(islice(rows, HELD)):
+            new = defaultdict(list)
+            for r in some:
+                new[r.at].append(r.event_id)
+            for at, ids in new.items():
+                have = held.setdefault(at, [0, 0])
+                self.ids.updateValue((at, have[1]), (ids,))
+                have[0] += len(ids)
+                have[1] += 1
+            first = min(new) if first is None else min(first, *new)
+        if first is not None:
+            self.held.update(([(at, *held[at]) for at in sorted(held)],))
+            self.handle.registerTimer((first + self.seconds) * 1000)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        now = expiredTimerInfo.getExpiryTimeInMs() // 1000
-        have = sorted(tuple(r) for r in self.rows.get())
-        gone = [r for r in have if r[0] + self.seconds <= now]
-        if len(gone) < len(have):
-            self.rows.put(have[len(gone) :])
+        # an earlier timer of this batch may have done this second already
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs()) // 1000
+        held = [tuple(s) for s in self.held.get()[0]] if self.held.exists() else []
+        due = sum(at + self.seconds <= now for at, _, _ in held)
+        if not due:
+            return
+        if due < len(held):
+            self.held.update((held[due:],))
+            self.handle.registerTimer((held[due][0] + self.seconds) * 1000)
         else:
-            self.rows.clear()
-        for i, (at, event_id) in enumerate(gone):
-            pushed = have[i + self.most][0] if i + self.most < len(have) else None
-            early = pushed is not None and pushed <= at + self.seconds
-            yield Row(agent=key[0], event_id=event_id, left_at=pushed if early else at + self.seconds, reason="overflow" if early else "expired")
+            self.held.clear()
+        before = 0  # rows of the seconds before this one
+        pusher, until = 0, held[0][1]  # the second that holds the row that pushes out, and the rows up to its end
+        for at, n, parts in held[:due]:
+            ids = []
+            for part in range(parts):
+                ids += self.ids.getValue((at, part))[0]
+                self.ids.removeKey((at, part))
+            for i, event_id in enumerate(sorted(ids), before + self.most):
+                while pusher < len(held) and i >= until:
+                    pusher += 1
+                    until += held[pusher][1] if pusher < len(held) else 0
+                early = pusher < len(held) and held[pusher][0] <= at + self.seconds
+                yield Row(agent=key[0], event_id=event_id, left_at=held[pusher][0] if early else at + self.seconds, reason="overflow" if early else "expired")
+            before += n
 
 
 class ShortTerm(StatefulProcessor):

@@ -159,3 +159,94 @@ def test_published_log_is_a_stream(spark, tmp_path):
     changes.publish(second, folder, 2)
     got = {(r.event, r.total) for r in events.drain(counts, work).groupBy("event").agg(F.sum("n").alias("total")).collect()}
     assert got == {("memory_created", 30), ("consolidation_started", 2), ("consolidation_completed", 1), ("decay_updated", 24)}
+
+
+class Counted:
+    """State of one key in plain Python that counts the ids that are read."""
+
+    def __init__(self):
+        self.read, self.timers, self.held, self.parts, self.list = 0, set(), None, {}, []
+
+    def getListState(self, name, schema):
+        outer = self
+
+        class State:
+            def appendValue(self, row):
+                outer.list.append(row)
+
+            def put(self, rows):
+                outer.list = list(rows)
+
+            def clear(self):
+                outer.list = []
+
+            def get(self):
+                outer.read += len(outer.list)
+                return iter(outer.list)
+
+        return State()
+
+    def getMapState(self, name, key, value):
+        outer = self
+
+        class State:
+            def updateValue(self, key, value):
+                outer.parts[key] = value
+
+            def getValue(self, key):
+                outer.read += len(outer.parts[key][0])
+                return outer.parts[key]
+
+            def removeKey(self, key):
+                del outer.parts[key]
+
+        return State()
+
+    def getValueState(self, name, schema):
+        outer = self
+
+        class State:
+            def exists(self):
+                return outer.held is not None
+
+            def get(self):
+                return outer.held
+
+            def update(self, value):
+                outer.held = value
+
+            def clear(self):
+                outer.held = None
+
+        return State()
+
+    def registerTimer(self, at):
+        self.timers.add(at)
+
+
+@pytest.mark.parametrize("held", [100_000, 7])
+@pytest.mark.parametrize("cuts", [[], [100, 333]])
+def test_sensory_buffer_reads_a_row_once(monkeypatch, cuts, held):
+    import random
+    from types import SimpleNamespace
+
+    monkeypatch.setattr(tiers, "HELD", held, raising=False)
+    draw = random.Random(5)
+    rows = sorted((draw.choice([3, 4, 5, draw.randrange(300)]) if i < 300 else draw.randrange(200, 900), i) for i in range(600))
+    state, out = Counted(), []
+    buffer = tiers.Sensory(60, 10)
+    buffer.init(state)
+    for a, b in zip([0, *cuts], [*cuts, len(rows)], strict=True):
+        shuffled = draw.sample(rows[a:b], b - a)
+        out += buffer.handleInputRows(("a",), iter([SimpleNamespace(at=at, event_id=i) for at, i in shuffled]), None)
+        watermark = rows[b][0] * 1000 - 1 if b < len(rows) else 800_000
+        now = SimpleNamespace(getCurrentWatermarkInMs=lambda w=watermark: w)
+        while due := sorted(t for t in state.timers if t <= watermark):
+            state.timers.remove(due[0])
+            out += buffer.handleExpiredTimer(("a",), now, SimpleNamespace(getExpiryTimeInMs=lambda t=due[0]: t))
+    want = []
+    for n, (at, i) in enumerate(rows):
+        pushed = rows[n + 10][0] if n + 10 < len(rows) else 10**9
+        want += [(i, pushed, "overflow") if pushed <= at + 60 else (i, at + 60, "expired")] if at + 60 <= 800 else []
+    assert sorted((r.event_id, r.left_at, r.reason) for r in out) == sorted(want)
+    assert state.read <= len(rows)  # before, each timer read the whole buffer
