@@ -304,3 +304,27 @@ def test_relations_meet_in_one_shuffle(spark, monkeypatch, many):
     # before, heads and merged properties were shuffled and joined; relations of many mentions are still merged before they meet
     plan = rollups._merged(rollups.spread(relations.withColumn("_h", F.xxhash64("source", "relation", "target")), "_h"), ["at"])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and plan.count("Sort [") == 1 and "Join" not in plan
+
+
+@pytest.mark.parametrize("rare", [0, 2, 1000])
+def test_short_memories_are_met_as_classes(spark, rare):
+    import random
+
+    from recollect.operators import mixed, sparse
+
+    draw = random.Random(7)
+    kind = "array<struct<key: string, weight: double>>"
+    keys = lambda names, n: [(x, draw.choice([0.1, 0.2, 0.5])) for x in draw.sample(names, n)]
+    asked = [(q, keys("abcdef", 3) + keys([f"n{i}" for i in range(40)], 2)) for q in range(25)] + [(90, []), (91, [("none", 1.0)])]
+    memories = [(m, [(x, 1.0) for x in draw.sample("abc", draw.randrange(3))] + ([(f"n{draw.randrange(60)}", 0.5)] if m % 3 == 0 else [])) for m in range(300)]
+    want = set()
+    for q, ask in asked:
+        scored = [(-round(sum(a * b for x, a in ask for y, b in held if x == y), 9), m) for m, held in memories]
+        want |= {(q, m, -s, rank) for rank, (s, m) in enumerate(sorted(x for x in scored if x[0] < 0)[:6], 1)}
+    found = sparse.classed_top(spark.createDataFrame(asked, f"query_id int, keys {kind}"), spark.createDataFrame(memories, f"memory_id int, keys {kind}"), 6, rare=rare)
+    assert {(r.query_id, r.memory_id, r.score, r["rank"]) for r in found.collect()} == want
+    # before, every fact was multiplied with all questions
+    facts = spark.createDataFrame([(i, f"Z{i}", "likes", "tea", True) for i in range(50)], "fact_id int, subject string, predicate string, object string, is_current boolean")
+    found = mixed.search_triplets(spark.createDataFrame([(1, "Who likes tea like Z7?")], "query_id int, q string"), facts, 3)
+    assert [r.fact_id for r in found.orderBy("rank").collect()] == [7, 0, 1]
+    assert "MapInArrow" not in found._jdf.queryExecution().optimizedPlan().toString()
