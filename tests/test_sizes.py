@@ -328,3 +328,24 @@ def test_short_memories_are_met_as_classes(spark, rare):
     found = mixed.search_triplets(spark.createDataFrame([(1, "Who likes tea like Z7?")], "query_id int, q string"), facts, 3)
     assert [r.fact_id for r in found.orderBy("rank").collect()] == [7, 0, 1]
     assert "MapInArrow" not in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_questions_of_one_form_are_one_class(spark, monkeypatch):
+    import random
+
+    from recollect.operators import sparse
+
+    draw = random.Random(11)
+    kind = "array<struct<key: string, weight: double>>"
+    forms = [[("a", 0.5), ("b", 0.25)], [("a", 0.5), ("c", 0.125)], [("d", 0.25)]]
+    asked = [(q, forms[q % 3] + [(f"n{draw.randrange(60)}", 0.5)]) for q in range(150)] + [(900, []), (901, [("n3", 1.0)])]
+    memories = [(m, [(x, 1.0) for x in draw.sample("abcd", draw.randrange(4))] + [(f"n{i}", 0.5) for i in draw.sample(range(80), draw.randrange(3))], draw.choice([None, 0.25])) for m in range(400)]
+    want = set()
+    for q, ask in asked:
+        scored = [(sum(a * b for x, a in ask for y, b in held if x == y), m, base or 0.0) for m, held, base in memories]
+        want |= {(q, m, -s, rank) for rank, (s, m) in enumerate(sorted((-round(s + base, 9), m) for s, m, base in scored if s > 0)[:5], 1)}
+    counts, best = [], sparse._best
+    monkeypatch.setattr(sparse, "_best", lambda shared, *options: counts.append(shared.value[0]) or best(shared, *options))
+    found = sparse.sparse_top(spark.createDataFrame(asked, f"query_id int, keys {kind}"), spark.createDataFrame(memories, f"memory_id int, keys {kind}, base double").repartition(3), 5)
+    assert {(r.query_id, r.memory_id, r.score, r["rank"]) for r in found.collect()} == want
+    assert counts == [4]  # before, 152
