@@ -349,3 +349,19 @@ def test_questions_of_one_form_are_one_class(spark, monkeypatch):
     found = sparse.sparse_top(spark.createDataFrame(asked, f"query_id int, keys {kind}"), spark.createDataFrame(memories, f"memory_id int, keys {kind}, base double").repartition(3), 5)
     assert {(r.query_id, r.memory_id, r.score, r["rank"]) for r in found.collect()} == want
     assert counts == [4]  # before, 152
+
+
+def test_two_named_ends_meet_before_the_facts_of_a_hub(spark):
+    import re
+
+    from recollect.operators import retrieval
+
+    rows = [(i, f"Z{chr(97 + i % 26)}{chr(97 + i // 26)}", "lives in", "Africa", True) for i in range(200)] + [(500, "Africa", "knows", "Zaa", True), (501, "Africa", "knows", "Africa", True)]
+    facts = spark.createDataFrame(rows, "fact_id int, subject string, predicate string, object string, is_current boolean")
+    asked = spark.createDataFrame([(1, "Does Zaa like Africa?"), (2, "Who lives in Africa?"), (3, "Where is Zba?")], "query_id int, q string")
+    found = retrieval.search_entity(asked, facts, 3)
+    got = {(r.query_id, r.fact_id, round(r.score, 6), r["rank"]) for r in found.collect()}
+    assert got == {(1, 0, 0.7, 1), (1, 500, 0.7, 2), (1, 1, 0.5, 3), (2, 0, 0.5, 1), (2, 1, 0.5, 2), (2, 2, 0.5, 3), (3, 1, 0.5, 1)}
+    # before, all ends of a hub met all questions that name it, and only then the other end was looked at
+    joins = re.findall(r"Join Inner, \((.*)\)\n", found._jdf.queryExecution().optimizedPlan().toString())
+    assert any("entity" in j and "other" in j for j in joins) and not any("query_id" in j and "other" in j for j in joins)
